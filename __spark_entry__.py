@@ -563,7 +563,8 @@ def oracle_sql() -> dict[str, str]:
         + f' SELECT osv_id, "Package", {_EVENTS_TEXT.format("events")} AS events FROM ranges_in',
         "advisory_lookup": with_feeds
         + ' SELECT "Package", osv_id, introduced_v, fixed_v FROM lookup',
-        "archive_parse": with_feeds + " SELECT * FROM archive_parsed",
+        "archive_parse": with_feeds
+        + ' SELECT file_name, "Package", "Version" FROM archive_parsed',
         "union_catalogue": with_feeds + " SELECT * FROM packages",
         "version_key": with_feeds
         + ' SELECT "Package", "Version", array_to_string(list_transform('
@@ -582,8 +583,7 @@ def oracle_sql() -> dict[str, str]:
         ' FROM packages LEFT JOIN lookup USING ("Package")',
         "left_join_cells": with_feeds
         + ' SELECT concat(\'pkg\', p_partkey) AS "Package", p_name, "Version", size FROM part'
-        " LEFT JOIN (SELECT p.*, a.size FROM archive_parsed p POSITIONAL JOIN archive a)"
-        " ON concat('pkg', p_partkey) = \"Package\"",
+        " LEFT JOIN archive_parsed ON concat('pkg', p_partkey) = \"Package\"",
         "safety_report": with_feeds + f" SELECT {_REPORT} FROM report",
         "safety_counts": with_feeds
         + " SELECT status, osv_safety_status, count(*) AS n FROM report GROUP BY ALL",

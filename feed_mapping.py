@@ -6,18 +6,48 @@ key/value records from ``orders``, log entries from ``events``. Every row of a t
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _resolved_once(build: Callable) -> Callable:
+    """Keep the (unevaluated) frame that ``build`` defines, like a view of the session."""
+    views: dict[tuple, DataFrame] = {}
+
+    @functools.wraps(build)
+    def view(spark: SparkSession, sf_dir: str, *name: str) -> DataFrame:
+        known = (spark.sparkContext.applicationId, sf_dir, *name)
+        if known not in views:
+            views[known] = build(spark, sf_dir, *name)
+        return views[known]
+
+    return view
+
+
+@_resolved_once
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread_if_coarse(df: DataFrame) -> DataFrame:
+    """Rows over all cores if the table is stored in fewer pieces than there are cores.
+
+    A table of many files, as any large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *df.columns)
+
+
 def _text(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
 
+@_resolved_once
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     published = F.concat(F.lit("2024-01-"), F.lpad(_text(key % 28 + 1), 2, "0"))
@@ -37,6 +67,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_resolved_once
 def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     package = F.concat(F.lit("pkg"), _text("l_partkey"))
     quantity = _text(F.col("l_quantity").cast("int"))
@@ -46,7 +77,10 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     name = F.concat(package, F.lit("/"), package, F.lit("_"), version, F.lit(".tar.gz"))
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
+    )
+    return _spread_if_coarse(lines).select(
         name.alias("file_name"), F.concat(quantity, F.lit("K")).alias("size")
     )
 
@@ -65,6 +99,7 @@ def _affected(name: Column, ecosystem: Column, ranges: Column) -> Column:
     )
 
 
+@_resolved_once
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per part with two affected packages; every seventh is of ecosystem CRAN."""
     key = F.col("p_partkey")
@@ -101,6 +136,7 @@ def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_resolved_once
 def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One key/value record per order; the order key decides which of the four keys it is."""
     part = F.col("o_orderkey") % 4
@@ -121,6 +157,7 @@ def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_resolved_once
 def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as log entries with a level."""
     return table(spark, sf_dir, "events").select(
@@ -128,6 +165,7 @@ def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_resolved_once
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as releases."""
     return table(spark, sf_dir, "orders").select(
@@ -139,6 +177,7 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_resolved_once
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as refresh runs."""
     return table(spark, sf_dir, "events").select(
@@ -178,7 +217,7 @@ archive AS (
                l_quantity
         FROM lineitem)),
 archive_parsed AS (
-  SELECT file_name,
+  SELECT file_name, size,
          split_part(file_name, '/', 1) AS "Package",
          CASE WHEN file_name LIKE '%_x.tar.gz' THEN ''
               ELSE replace(split_part(file_name, '_', 2), '.tar.gz', '') END AS "Version"

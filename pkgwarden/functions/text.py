@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 # in a term are plain text while ``%`` and ``_`` stay wildcards.
 LIKE_ESCAPE = "\u0001"
 
-# How an archive path names its package and its version. ``\z`` is the very end of
-# the text (``$`` would also match before a trailing newline).
-ARCHIVE_PACKAGE = r"^([^/]+)"
+# How an archive path names its version. ``\z`` is the very end of the text (``$``
+# would also match before a trailing newline).
 ARCHIVE_VERSION = r"_([0-9.-]+)\.tar\.gz\z"
 
 
@@ -32,8 +31,8 @@ def contains_any(columns: Sequence[str], term: str) -> Column:
 
 
 def archive_package(file_name: Column) -> Column:
-    """Package part of an archive path (text up to the first slash); ``''`` if there is none."""
-    return F.regexp_extract(file_name, ARCHIVE_PACKAGE, 1)
+    """Package part of an archive path: the text up to the first slash, which may be empty."""
+    return F.substring_index(file_name, "/", 1)
 
 
 def archive_version(file_name: Column) -> Column:

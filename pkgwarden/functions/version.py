@@ -11,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-# The characters that separate version segments, and the number that stands for a
-# segment that is no 32-bit integer (one above the largest).
-SEGMENT_SEPARATORS = "[.-]"
+# The two characters that separate version segments, and the number that stands for
+# a segment that is no 32-bit integer (one above the largest).
+DOT, DASH = ".", "-"
 UNPARSABLE_SEGMENT = 2147483648
 
 
 def version_key(version: Column) -> Column:
     """``array<bigint>`` that sorts like the version; null for a null version."""
+    # With one separator the split needs no regular expression, which is most of its cost.
+    segments = F.split(F.replace(version, F.lit(DASH), F.lit(DOT)), rf"\{DOT}", -1)
     return F.transform(
-        F.split(version, SEGMENT_SEPARATORS, -1),
+        segments,
         lambda segment: F.coalesce(
             segment.try_cast("int").cast("bigint"), F.lit(UNPARSABLE_SEGMENT)
         ),
@@ -47,6 +49,6 @@ def register_version_function(spark: SparkSession, name: str = "r_ver") -> None:
     """Make the version key callable from SQL text in this session."""
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v STRING) RETURNS ARRAY<BIGINT> RETURN "
-        f"transform(split(v, '{SEGMENT_SEPARATORS}'), segment -> "
+        f"transform(split(replace(v, '{DASH}', '{DOT}'), '[{DOT}]', -1), segment -> "
         f"coalesce(CAST(try_cast(segment AS INT) AS BIGINT), {UNPARSABLE_SEGMENT}L))"
     )

@@ -8,10 +8,11 @@ whatever a failed refresh left behind is never named. One refresh runs at a time
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +35,14 @@ from pkgwarden.plans.safety import (
 )
 from pkgwarden.plans.search import search_view
 from pkgwarden.sources import feeds, tables
-from pkgwarden.sources.schemas import LOGS, REFRESH_LOG, RELEASE_HISTORY
+from pkgwarden.sources.schemas import (
+    LOGS,
+    REFRESH_LOG,
+    RELEASE_HISTORY,
+    STRING,
+    TIME,
+    struct,
+)
 
 # Names of the relations that SQL users see, and the status of a finished run.
 CURRENT = "stage_cran_current"
@@ -52,9 +60,13 @@ SUCCESS = "SUCCESS"
 # The tables of one version, in the order in which they are written.
 VERSIONED = (CURRENT, ARCHIVE, FLAT, LOOKUP, RELEASE, HISTORY, RUNS, SEARCH)
 
-MANIFEST = T.StructType.fromDDL(
-    "run_id INT, version STRING, published_at TIMESTAMP_NTZ,"
-    " row_counts MAP<STRING, BIGINT>, lookup_bytes BIGINT"
+MANIFEST = struct(
+    run_id=T.IntegerType(),
+    version=STRING,
+    published_at=TIME,
+    row_counts=T.MapType(STRING, T.LongType()),
+    schemas=T.MapType(STRING, STRING),
+    lookup_bytes=T.LongType(),
 )
 
 
@@ -162,23 +174,23 @@ class PackageStore:
 
         # Rows of one status lie together, in files of even size, so that a status filter reads
         # only those. Only current packages are stored this way; the full report stays a query.
-        searchable = packages_search(catalogue, lookup, size=size, limits=self.limits)
         search_path = self._path(f"{version}/{SEARCH}")
-        searchable.hint("rebalance", "osv_safety_status").write.mode("overwrite").partitionBy(
+        found = packages_search(catalogue, lookup, size=size, limits=self.limits)
+        found.hint("rebalance", "osv_safety_status").write.mode("overwrite").partitionBy(
             "osv_safety_status"
         ).parquet(search_path)
-
-        counts = {
-            CURRENT: catalogue.count(),
-            ARCHIVE: archive.count(),
-            FLAT: flat.count(),
-            LOOKUP: size.rows,
-            RELEASE: release.count(),
-            HISTORY: history.count(),
-            RUNS: runs.count(),
-            SEARCH: tables.scan(spark, search_path, searchable.schema).count(),
-        }
-        self._publish(version, runs, counts, size.bytes)
+        searchable = tables.scan(spark, search_path, found.schema)
+
+        staged = dict(
+            zip(
+                VERSIONED,
+                (catalogue, archive, flat, lookup, release, history, runs, searchable),
+                strict=True,
+            )
+        )
+        counts = {name: df.count() for name, df in staged.items() if name != LOOKUP}
+        counts[LOOKUP] = size.rows
+        self._publish(version, staged, counts, size.bytes)
         self.log(message)
         return self.current()
 
@@ -193,17 +205,27 @@ class PackageStore:
         return parse_archive(raw).withColumn(VERSION_KEY, version_key(F.col("Version")))
 
     def _publish(
-        self, version: str, runs: DataFrame, counts: dict[str, int], lookup_bytes: int
+        self,
+        version: str,
+        staged: dict[str, DataFrame],
+        counts: dict[str, int],
+        lookup_bytes: int,
     ) -> None:
-        pairs = [F.lit(part) for item in counts.items() for part in item]
-        row = runs.agg(F.max("run_id").alias("run_id")).select(
+        row = staged[RUNS].agg(F.max("run_id").alias("run_id")).select(
             "run_id",
             F.lit(version).alias("version"),
             now().alias("published_at"),
-            F.create_map(*pairs).cast("map<string,bigint>").alias("row_counts"),
+            _literal_map(counts).alias("row_counts"),
+            _literal_map({n: df.schema.json() for n, df in staged.items()}).alias("schemas"),
             F.lit(lookup_bytes).cast("bigint").alias("lookup_bytes"),
         )
-        tables.append(row, self._path("manifest"))
+        tables.append(
+            row.select(*[F.col(f.name).cast(f.dataType) for f in MANIFEST]), self._path("manifest")
+        )
+
+
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(part) for item in values.items() for part in item])
 
 
 @dataclass(frozen=True)
@@ -225,7 +247,9 @@ class PublishedVersion:
         """A stored table of this version, with its helper columns."""
         if name not in VERSIONED:
             raise KeyError(name)
-        return tables.scan(self.store.spark, self.store._path(f"{self.entry['version']}/{name}"))
+        schema = T.StructType.fromJson(json.loads(self.entry["schemas"][name]))
+        path = self.store._path(f"{self.entry['version']}/{name}")
+        return tables.scan(self.store.spark, path, schema)
 
     def row_counts(self) -> DataFrame:
         """Rows per published table."""

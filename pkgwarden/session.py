@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build_session(app_name: str = "pkgwarden", master: str | None = None, **settings: str):
+def build_session(app_name: str = "pkgwarden", master: str | None = None, **settings: str) -> SparkSession:
     """A session with UTC times, ANSI errors and adaptive execution.
 
     Sizes such as the number of shuffle partitions are left to the cluster and to adaptive
@@ -21,6 +21,8 @@ def build_session(app_name: str = "pkgwarden", master: str | None = None, **sett
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        # Recording the Python line of every expression makes plans slow to build.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for name, value in {**fixed, **settings}.items():
         builder = builder.config(name, value)

@@ -4,14 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-ADVISORY = T.StructType.fromDDL(
-    "id STRING,"
-    " affected ARRAY<STRUCT<"
-    "package: STRUCT<name: STRING, ecosystem: STRING>,"
-    " ranges: ARRAY<STRUCT<events: ARRAY<STRUCT<introduced: STRING, fixed: STRING>>>>>>"
+STRING, DATE, TIME = T.StringType(), T.DateType(), T.TimestampNTZType()
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+# The fields of the feeds and of the stored tables.
+_RANGE = struct(events=T.ArrayType(struct(introduced=STRING, fixed=STRING)))
+_AFFECTED = struct(package=struct(name=STRING, ecosystem=STRING), ranges=T.ArrayType(_RANGE))
+ADVISORY = struct(id=STRING, affected=T.ArrayType(_AFFECTED))
+
+KEY_VALUE = struct(key=STRING, value=STRING)
+
+RELEASE_HISTORY = struct(
+    r_version=STRING, nickname=STRING, release_date=DATE, devel_version=STRING, detected_at=TIME
 )
 
-KEY_VALUE = T.StructType.fromDDL("key STRING, value STRING")
+REFRESH_LOG = struct(
+    run_id=T.IntegerType(),
+    refresh_timestamp=TIME,
+    cran_packages_source=STRING,
+    cran_archive_source=STRING,
+    osv_source_pattern=STRING,
+    status=STRING,
+)
+
+LOGS = struct(ts=TIME, msg=STRING)
 
 # Feed columns that are always text, whatever their values look like: a version such as 1.10 read
 # as a number would lose its last digit.
@@ -25,15 +45,3 @@ CATALOGUE_TEXT = (
     "Date/Publication",
 )
 ARCHIVE_TEXT = ("file_name", "size")
-
-RELEASE_HISTORY = T.StructType.fromDDL(
-    "r_version STRING, nickname STRING, release_date DATE, devel_version STRING,"
-    " detected_at TIMESTAMP_NTZ"
-)
-
-REFRESH_LOG = T.StructType.fromDDL(
-    "run_id INT, refresh_timestamp TIMESTAMP_NTZ, cran_packages_source STRING,"
-    " cran_archive_source STRING, osv_source_pattern STRING, status STRING"
-)
-
-LOGS = T.StructType.fromDDL("ts TIMESTAMP_NTZ, msg STRING")
