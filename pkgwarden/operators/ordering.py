@@ -84,10 +84,15 @@ class Position:
         """True for rows that sort strictly after this place."""
         return ~(self.rows_before() | self.rows_equal())
 
-    def copies(self, df: DataFrame, n: int) -> DataFrame:
-        """``n`` rows that have the values of this place in all columns of ``df``."""
-        place = {
+    def literals(self) -> dict[str, Column]:
+        """The values of this place by column."""
+        return {
             key.column: F.lit(text).cast(data_type).alias(key.column)
             for key, data_type, text in zip(self.keys, self.types, self.values, strict=True)
         }
-        return df.sparkSession.range(n).select(*[place[name] for name in df.columns])
+
+
+def copies(df: DataFrame, places: Sequence[Position], n: int) -> DataFrame:
+    """``n`` equal rows with the columns of ``df``, all of whose values the places give."""
+    values = {name: value for place in places for name, value in place.literals().items()}
+    return df.sparkSession.range(n).select(*[values[name] for name in df.columns])

@@ -9,7 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pkgwarden.operators.ordering import Position, SortKey, comparable, ordered, total_order
+from pkgwarden.operators.ordering import (
+    Position,
+    SortKey,
+    comparable,
+    copies,
+    ordered,
+    total_order,
+)
 from pkgwarden.streaming.delivery import json_rows
 
 DEFAULT_LIMIT = 100
@@ -85,6 +92,7 @@ def _seek(
     limit: int,
     offset: int,
     top_k_rows: int,
+    common: tuple[Position, ...] = (),
 ) -> DataFrame:
     """A page of ``df`` ordered by the columns of all levels.
 
@@ -93,7 +101,8 @@ def _seek(
     between two places that holds the offset is searched in the next pass. The sample decides how
     fast this is, never what is found. If the offset lies among rows that are equal in these
     columns, however many, they are ordered by the next level; rows equal in every column are the
-    same row and are written down without reading them.
+    same row and are written down without reading them. ``common`` holds the values that all rows
+    of ``df`` share.
     """
     order = [key for level in levels for key in level]
     if offset + limit <= top_k_rows:
@@ -118,12 +127,12 @@ def _seek(
         if offset < skipped + before + equal:
             within = offset - skipped - before
             taken = min(limit, equal - within)
+            shared = (*common, places[at])
             if deeper:
-                head = _seek(
-                    df.filter(places[at].rows_equal()), deeper, taken, within, top_k_rows
-                )
+                group = df.filter(places[at].rows_equal())
+                head = _seek(group, deeper, taken, within, top_k_rows, shared)
             else:
-                head = places[at].copies(df, taken)
+                head = copies(df, shared, taken)
             tail = ordered(_between(df, places[at], None), order).limit(limit - taken)
             return ordered(head.unionByName(tail), order).limit(limit)
         if at + 1 < len(places):
