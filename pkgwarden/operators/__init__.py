@@ -7,10 +7,10 @@ from pkgwarden.operators.joins import (
     lookup_join,
     measure,
     rows_absent,
-    with_spread,
 )
-from pkgwarden.operators.ordering import SortKey, ordered, total_order
+from pkgwarden.operators.ordering import SortKey, ordered, ordered_whole, total_order
 from pkgwarden.operators.paging import Page, page, paged
+from pkgwarden.operators.spread import spread_stored, with_spread
 from pkgwarden.operators.tables import (
     KeyViolation,
     append_message,
@@ -38,11 +38,13 @@ __all__ = [
     "lookup_join",
     "measure",
     "ordered",
+    "ordered_whole",
     "page",
     "paged",
     "pivot_keys",
     "require_unique",
     "rows_absent",
+    "spread_stored",
     "status_is",
     "total_order",
     "union_padded",

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pkgwarden.sources.tables import settle
+from pkgwarden.operators.spread import SPREAD, spread_stored
 
-SPREAD = "spread"
 _CELL = "_cell"
 _CELLS = "_cells"
 _MATCHED = "_matched"
@@ -55,21 +54,18 @@ def _value_bytes(field: T.StructField) -> Column:
     return F.lit(8).cast("bigint")
 
 
-def measure(df: DataFrame) -> Size:
-    """Count the rows and the bytes of their values (one aggregation, one row to the driver)."""
+def _size_columns(df: DataFrame) -> list[Column]:
     row_bytes = reduce(add, [_value_bytes(f) for f in df.schema.fields], F.lit(16))
-    found = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes")
-    ).first()
-    return Size(found["rows"], found["bytes"])
-
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(row_bytes), F.lit(0)).alias("bytes"),
+    ]
 
-def with_spread(df: DataFrame) -> DataFrame:
-    """Add a random number that splits any group of rows evenly, copies included.
 
-    Write the result before using the number, see ``settle``.
-    """
-    return df.withColumn(SPREAD, F.floor(F.rand() * F.lit(2**31 - 1)).cast("int"))
+def measure(df: DataFrame) -> Size:
+    """Count the rows and the bytes of their values (one aggregation, one row to the driver)."""
+    found = df.agg(*_size_columns(df)).first()
+    return Size(found["rows"], found["bytes"])
 
 
 def lookup_join(
@@ -98,8 +94,7 @@ def lookup_join(
 def _cell_join(
     rows: DataFrame, lookup: DataFrame, key: str, how: str, size: Size, limits: JoinLimits
 ) -> DataFrame:
-    if SPREAD not in lookup.columns:
-        lookup = settle(with_spread(lookup))
+    lookup = spread_stored(lookup)
     share = max(limits.cell_rows, -(-size.rows // limits.max_hot_keys))
     hot = (
         lookup.filter(F.col(key).isNotNull())
@@ -139,11 +134,14 @@ def rows_absent(
     keys leaves none; otherwise a null candidate key is dropped.
     """
     keys = existing.select(F.col(existing_key or key).alias(key))
-    nulls = keys.agg(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys")).first()
-    if nulls["rows"] == 0:
+    found = keys.agg(F.count(key).alias("not_null"), *_size_columns(keys)).first()
+    if found["rows"] == 0:
         return candidates
-    if nulls["keys"] < nulls["rows"]:
+    if found["not_null"] < found["rows"]:
         return candidates.filter(F.lit(False))
-    if measure(keys).fits(limits):
+    if Size(found["rows"], found["bytes"]).fits(limits):
         keys = F.broadcast(keys)
+    else:
+        # Repeated keys are dropped before they are sent; the join uses the same exchange.
+        keys = keys.distinct()
     return candidates.filter(F.col(key).isNotNull()).join(keys, key, "left_anti")

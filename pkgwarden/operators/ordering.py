@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pkgwarden.operators.spread import SPREAD, spread_stored
+
 
 @dataclass(frozen=True)
 class SortKey:
@@ -45,6 +49,18 @@ def ordered(df: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
     return df.orderBy(*[key.expression() for key in keys])
 
 
+def ordered_whole(df: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
+    """The whole frame in order, for an export.
+
+    The rows are cut into ranges of the order. The spread number, last in the order, keeps a large
+    group of copies from falling into a single range. A range sort reads its input twice, to find
+    the ranges and to sort, so reading stored rows also saves computing the result twice.
+    """
+    stored = spread_stored(df)
+    order = [*total_order(stored.drop(SPREAD), keys), SortKey(SPREAD)]
+    return ordered(stored, order).drop(SPREAD)
+
+
 @dataclass(frozen=True)
 class Position:
     """A place in an order, given by one row's values of the sort columns (as text)."""
@@ -53,36 +69,37 @@ class Position:
     types: tuple[T.DataType, ...]
     values: tuple[str | None, ...]
 
-    def _parts(self) -> list[tuple[Column, Column]]:
-        """For each sort column: whether a row sorts before this place, and whether it is equal."""
-        parts = []
+    def _comparisons(self) -> list[tuple[Column, Column, Column]]:
+        """For each sort column: row sorts before this place, is equal, sorts after it."""
+        found = []
         for key, data_type, text in zip(self.keys, self.types, self.values, strict=True):
             column = F.col(f"`{key.column}`")
             if text is None:
-                parts.append((column.isNotNull(), column.isNull()))
+                found.append((column.isNotNull(), column.isNull(), F.lit(False)))
                 continue
             value = F.lit(text).cast(data_type)
-            first = column > value if key.descending else column < value
-            parts.append((F.coalesce(first, F.lit(False)), column.eqNullSafe(value)))
-        return parts
+            lower, higher = column < value, column > value
+            first, last = (higher, lower) if key.descending else (lower, higher)
+            found.append((first, column.eqNullSafe(value), last | column.isNull()))
+        return found
 
     def rows_before(self) -> Column:
-        """True for rows that sort strictly before this place."""
+        """True for rows that sort strictly before this place (else false or null)."""
         before = F.lit(False)
-        for earlier, equal in reversed(self._parts()):
+        for earlier, equal, _ in reversed(self._comparisons()):
             before = earlier | (equal & before)
         return before
 
     def rows_equal(self) -> Column:
         """True for rows with exactly the values of this place."""
-        equal_all = F.lit(True)
-        for _, equal in self._parts():
-            equal_all = equal_all & equal
-        return equal_all
+        return reduce(and_, [equal for _, equal, _ in self._comparisons()])
 
     def rows_after(self) -> Column:
-        """True for rows that sort strictly after this place."""
-        return ~(self.rows_before() | self.rows_equal())
+        """True for rows that sort strictly after this place (else false or null)."""
+        after = F.lit(False)
+        for _, equal, later in reversed(self._comparisons()):
+            after = later | (equal & after)
+        return after
 
     def literals(self) -> dict[str, Column]:
         """The values of this place by column."""

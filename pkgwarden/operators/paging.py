@@ -162,7 +162,9 @@ def _sample_places(df: DataFrame, keys: Sequence[SortKey], rows: int) -> list[Po
     sampled: list = []
     while not sampled:
         sample = columns.sample(min(1.0, fraction), seed)
-        sampled = [tuple(row) for row in ordered(sample, keys).select(*texts).collect()]
+        # The limit makes this a top-k, which needs no range sort; it is above the sample's size.
+        rows_in_order = ordered(sample, keys).limit(100 * SPLITTERS)
+        sampled = [tuple(row) for row in rows_in_order.select(*texts).collect()]
         fraction, seed = 2 * fraction, seed + 1
     step = max(1, len(sampled) // SPLITTERS)
     picked = dict.fromkeys(sampled[step // 2 :: step])

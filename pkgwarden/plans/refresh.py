@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgwarden.functions.version import register_version_function, version_key
-from pkgwarden.operators.joins import DEFAULT_LIMITS, JoinLimits, Size, measure, with_spread
+from pkgwarden.operators.joins import DEFAULT_LIMITS, JoinLimits, Size, measure
 from pkgwarden.operators.paging import Page
+from pkgwarden.operators.spread import SPREAD, with_spread
 from pkgwarden.operators.tables import log_entry, next_run, now, require_unique
 from pkgwarden.plans import records
 from pkgwarden.plans.advisories import (
@@ -28,6 +29,7 @@ from pkgwarden.plans.advisories import (
     with_version_keys,
 )
 from pkgwarden.plans.safety import (
+    SEARCH_COLUMNS,
     VERSION_KEY,
     package_safety_report,
     packages_search,
@@ -57,6 +59,9 @@ REPORT = "package_safety_report"
 LOG = "logs"
 SUCCESS = "SUCCESS"
 
+# The partition column comes last, as Spark reads it back.
+SEARCH_STORED = (*SEARCH_COLUMNS[:-1], SPREAD, SEARCH_COLUMNS[-1])
+
 # The tables of one version, in the order in which they are written.
 VERSIONED = (CURRENT, ARCHIVE, FLAT, LOOKUP, RELEASE, HISTORY, RUNS, SEARCH)
 
@@ -80,6 +85,7 @@ class Feeds:
     advisories: str = "ALL/*.json"
     release: str = "VERSION-INFO.json"
     json_lines: bool = False
+    multi_line: bool | None = None
     catalogue_schema: T.StructType | None = None
     archive_schema: T.StructType | None = None
     ecosystem: str = DEFAULT_ECOSYSTEM
@@ -175,11 +181,11 @@ class PackageStore:
         # Rows of one status lie together, in files of even size, so that a status filter reads
         # only those. Only current packages are stored this way; the full report stays a query.
         search_path = self._path(f"{version}/{SEARCH}")
-        found = packages_search(catalogue, lookup, size=size, limits=self.limits)
+        found = with_spread(packages_search(catalogue, lookup, size=size, limits=self.limits))
         found.hint("rebalance", "osv_safety_status").write.mode("overwrite").partitionBy(
             "osv_safety_status"
         ).parquet(search_path)
-        searchable = tables.scan(spark, search_path, found.schema)
+        searchable = tables.scan(spark, search_path, found.select(*SEARCH_STORED).schema)
 
         staged = dict(
             zip(
@@ -196,12 +202,14 @@ class PackageStore:
 
     def _catalogue(self, source: Feeds) -> DataFrame:
         raw = feeds.read_catalogue(
-            self.spark, source.path(source.packages), source.catalogue_schema
+            self.spark, source.path(source.packages), source.catalogue_schema, source.multi_line
         )
         return raw.withColumn(VERSION_KEY, version_key(F.col("Version")))
 
     def _archive(self, source: Feeds) -> DataFrame:
-        raw = feeds.read_archive(self.spark, source.path(source.archive), source.archive_schema)
+        raw = feeds.read_archive(
+            self.spark, source.path(source.archive), source.archive_schema, source.multi_line
+        )
         return parse_archive(raw).withColumn(VERSION_KEY, version_key(F.col("Version")))
 
     def _publish(
@@ -261,7 +269,7 @@ class PublishedVersion:
 
     def packages_search(self) -> DataFrame:
         """Classified current packages, as stored by the refresh."""
-        return self.table(SEARCH)
+        return self.table(SEARCH).select(*SEARCH_COLUMNS)
 
     def package_safety_report(self, status: str | None = None) -> DataFrame:
         """Classified current and archived versions, from the staged tables and their keys."""
@@ -285,7 +293,7 @@ class PublishedVersion:
         format=None,
     ) -> DataFrame | Page:
         return search_view(
-            self.packages_search(), term, status, sort_by, sort_order, limit, offset, format
+            self.table(SEARCH), term, status, sort_by, sort_order, limit, offset, format
         )
 
     def release_history(self, limit=None, offset=None, format=None) -> DataFrame | Page:
@@ -303,6 +311,7 @@ class PublishedVersion:
         relations[LOOKUP] = relations[LOOKUP].select(
             "Package", "osv_id", "introduced_v", "fixed_v"
         )
+        relations[SEARCH] = self.packages_search()
         relations[REPORT] = self.package_safety_report()
         relations[LOG] = self.store.log_table()
         for name, df in relations.items():

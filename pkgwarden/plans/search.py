@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pkgwarden.functions.text import contains_any
 from pkgwarden.operators.filters import all_of, status_is, wanted_status
 from pkgwarden.operators.joins import DEFAULT_LIMITS, JoinLimits, Size
-from pkgwarden.operators.ordering import SortKey, ordered, total_order
+from pkgwarden.operators.ordering import SortKey, ordered_whole
 from pkgwarden.operators.paging import DEFAULT_LIMIT, DEFAULT_OFFSET, Page, paged
+from pkgwarden.operators.spread import SPREAD
 from pkgwarden.plans.safety import packages_search
 
 # The columns that a search term is looked up in, the columns that a caller may
@@ -76,9 +77,9 @@ def deliver(
 ) -> DataFrame | Page:
     """A page with its total, or for ``ndjson`` the whole result, ordered if keys are given."""
     if format == NDJSON:
-        return df if keys is None else ordered(df, total_order(df, keys))
+        return df.drop(SPREAD) if keys is None else ordered_whole(df, keys)
     return paged(
-        df,
+        df.drop(SPREAD),
         default_order if keys is None else keys,
         DEFAULT_LIMIT if limit is None else limit,
         DEFAULT_OFFSET if offset is None else offset,

@@ -76,15 +76,23 @@ def read_delimited(
 
 
 def read_catalogue(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """Current packages, one row each; columns beyond the named ones pass through."""
-    return read_delimited(spark, path, CATALOGUE_TEXT, schema)
+    return read_delimited(spark, path, CATALOGUE_TEXT, schema, multi_line=multi_line)
 
 
-def read_archive(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_archive(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    multi_line: bool | None = None,
+) -> DataFrame:
     """Archived package files, one row each."""
-    return read_delimited(spark, path, ARCHIVE_TEXT, schema)
+    return read_delimited(spark, path, ARCHIVE_TEXT, schema, multi_line=multi_line)
 
 
 def _read_json(

@@ -7,8 +7,14 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pkgwarden.operators import JoinLimits, Size, lookup_join, measure, rows_absent, with_spread
-from pkgwarden.sources.tables import settle
+from pkgwarden.operators import (
+    JoinLimits,
+    Size,
+    lookup_join,
+    measure,
+    rows_absent,
+    spread_stored,
+)
 
 TIGHT = JoinLimits(broadcast_rows=0, cell_rows=5, max_hot_keys=1000)
 
@@ -46,7 +52,7 @@ def test_small_lookup_is_broadcast_and_rows_are_not_shuffled(spark, plan_of):
 
 def test_large_lookup_is_shuffled_and_its_hot_key_is_spread(spark, plan_of):
     rows, lookup = frames(spark)
-    stored = settle(with_spread(lookup))
+    stored = spread_stored(lookup)
     joined = lookup_join(rows, stored, "k", limits=TIGHT)
     plan = plan_of(joined)
     assert "SortMergeJoin [k#" in plan and "_cell#" in plan

@@ -20,7 +20,7 @@ from pkgwarden.plans import records
 from pkgwarden.sources.schemas import RELEASE_HISTORY
 
 CATALOGUE = """Package;Version;Title;Description;Published;License;Date/Publication;Size
-abc;1.10;A "quoted" title;"one; two
+abc;1.10;"A ""quoted"" title";"one; two
 lines";2024-01-02;MIT;2024-01-02;5
 def;0.9;D;;2024-01-03;GPL;2024-01-03;6
 """
@@ -40,10 +40,9 @@ ADVISORY = {
 }
 
 
-def write_feeds(base, release="4.5.3", day="2026-03-11", catalogue=CATALOGUE):
+def write_feeds(base, release="4.5.3", day="2026-03-11"):
     (base / "ALL").mkdir(parents=True, exist_ok=True)
-    (base / "packages.csv").write_text(catalogue.replace('A "quoted"', '"A ""quoted""').replace(
-        "title;", 'title";'))
+    (base / "packages.csv").write_text(CATALOGUE)
     (base / "archive.csv").write_text(ARCHIVE)
     (base / "ALL" / "a.json").write_text(json.dumps(ADVISORY, indent=2))
     values = {"Release": release, "Nickname": "Nick", "Date": day, "Devel": "4.7.0", "Other": "x"}
