@@ -87,7 +87,10 @@ def pivot_keys(
         F.max(F.when(F.col(key) == wanted, F.trim(value))).alias(name)
         for wanted, name in names.items()
     ]
-    return (records.groupBy(*group_by) if group_by else records).agg(*columns)
+    if group_by:
+        return records.groupBy(*group_by).agg(*columns)
+    # Other keys cannot change the one row, so they need not be read.
+    return records.filter(F.col(key).isin(*names)).agg(*columns)
 
 
 def union_padded(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -242,6 +242,7 @@ class PublishedVersion:
 
     store: PackageStore
     entry: Row
+    _scans: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def run_id(self) -> int:
@@ -253,11 +254,11 @@ class PublishedVersion:
 
     def table(self, name: str) -> DataFrame:
         """A stored table of this version, with its helper columns."""
-        if name not in VERSIONED:
-            raise KeyError(name)
-        schema = T.StructType.fromJson(json.loads(self.entry["schemas"][name]))
-        path = self.store._path(f"{self.entry['version']}/{name}")
-        return tables.scan(self.store.spark, path, schema)
+        if name not in self._scans:
+            schema = T.StructType.fromJson(json.loads(self.entry["schemas"][name]))
+            path = self.store._path(f"{self.entry['version']}/{name}")
+            self._scans[name] = tables.scan(self.store.spark, path, schema)
+        return self._scans[name]
 
     def row_counts(self) -> DataFrame:
         """Rows per published table."""
