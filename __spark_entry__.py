@@ -153,17 +153,22 @@ def unique_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_violations(feeds.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+def write_feeds(spark: SparkSession, sf_dir: str) -> Feeds:
+    """The mapped feeds as files in the shared folder."""
+    base = tables.scratch_path(spark, "feeds")
+    feeds.catalogue(spark, sf_dir).write.options(**CSV).csv(f"{base}/packages.csv")
+    feeds.archive(spark, sf_dir).write.options(**CSV).csv(f"{base}/archive.csv")
+    feeds.advisories(spark, sf_dir).write.json(f"{base}/ALL")
+    feeds.key_values(spark, sf_dir).write.json(f"{base}/VERSION-INFO.json")
+    return Feeds(base, json_lines=True)
+
+
 def published(spark: SparkSession, sf_dir: str) -> PublishedVersion:
     """A version published from feeds written for this session; made once per session."""
     known = (spark.sparkContext.applicationId, sf_dir)
     if known not in _stores:
-        base = tables.scratch_path(spark, "feeds")
-        feeds.catalogue(spark, sf_dir).write.options(**CSV).csv(f"{base}/packages.csv")
-        feeds.archive(spark, sf_dir).write.options(**CSV).csv(f"{base}/archive.csv")
-        feeds.advisories(spark, sf_dir).write.json(f"{base}/ALL")
-        feeds.key_values(spark, sf_dir).write.json(f"{base}/VERSION-INFO.json")
         store = PackageStore(spark, tables.scratch_path(spark, "store"))
-        _stores[known] = store.refresh(Feeds(base, json_lines=True), "refreshed")
+        _stores[known] = store.refresh(write_feeds(spark, sf_dir), "refreshed")
     return _stores[known]
 
 

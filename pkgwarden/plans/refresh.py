@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,32 +155,48 @@ class PackageStore:
                 return spark.createDataFrame([], schema)
             return tables.scan(spark, self._path(f"{previous['version']}/{name}"), schema)
 
-        catalogue = stage(CURRENT, self._catalogue(source))
-        archive = stage(ARCHIVE, self._archive(source))
-        documents = feeds.read_advisories(
-            spark, source.path(source.advisories), source.json_lines
-        )
-        flat = stage(FLAT, flatten_advisories(documents, source.ecosystem))
-        lookup = stage(LOOKUP, with_spread(with_version_keys(vulnerability_lookup(flat))))
-        size = measure(lookup)
-
-        described = feeds.read_key_values(spark, source.path(source.release), source.json_lines)
-        release = stage(RELEASE, records.release_info(described))
-        history = stage(HISTORY, records.record_release(release, before(HISTORY, RELEASE_HISTORY)))
-        require_unique(history, ["r_version"], HISTORY)
-
-        past = before(RUNS, REFRESH_LOG)
-        run = next_run(
-            past,
-            {
-                "cran_packages_source": source.path(source.packages),
-                "cran_archive_source": source.path(source.archive),
-                "osv_source_pattern": source.path(source.advisories),
-                "status": SUCCESS,
-            },
+        def stage_lookup() -> tuple[DataFrame, DataFrame, Size]:
+            documents = feeds.read_advisories(
+                spark, source.path(source.advisories), source.json_lines
+            )
+            flat = stage(FLAT, flatten_advisories(documents, source.ecosystem))
+            keyed = with_version_keys(vulnerability_lookup(flat))
+            lookup = stage(LOOKUP, with_spread(keyed))
+            return flat, lookup, measure(lookup)
+
+        def stage_releases() -> tuple[DataFrame, DataFrame]:
+            described = feeds.read_key_values(
+                spark, source.path(source.release), source.json_lines
+            )
+            release = stage(RELEASE, records.release_info(described))
+            known = before(HISTORY, RELEASE_HISTORY)
+            history = stage(HISTORY, records.record_release(release, known))
+            require_unique(history, ["r_version"], HISTORY)
+            return release, history
+
+        def stage_runs() -> DataFrame:
+            past = before(RUNS, REFRESH_LOG)
+            run = next_run(
+                past,
+                {
+                    "cran_packages_source": source.path(source.packages),
+                    "cran_archive_source": source.path(source.archive),
+                    "osv_source_pattern": source.path(source.advisories),
+                    "status": SUCCESS,
+                },
+            )
+            runs = stage(RUNS, past.unionByName(run))
+            require_unique(runs, ["run_id"], RUNS)
+            return runs
+
+        catalogue, archive, (flat, lookup, size), (release, history), runs = _side_by_side(
+            spark,
+            lambda: stage(CURRENT, self._catalogue(source)),
+            lambda: stage(ARCHIVE, self._archive(source)),
+            stage_lookup,
+            stage_releases,
+            stage_runs,
         )
-        runs = stage(RUNS, past.unionByName(run))
-        require_unique(runs, ["run_id"], RUNS)
 
         # Rows of one status lie together, in files of even size, so that a status filter reads
         # only those. Only current packages are stored this way; the full report stays a query.
@@ -194,9 +214,7 @@ class PackageStore:
                 strict=True,
             )
         )
-        counts = {name: df.count() for name, df in staged.items() if name != LOOKUP}
-        counts[LOOKUP] = size.rows
-        self._publish(version, staged, counts, size.bytes)
+        self._publish(version, staged, _row_counts(staged), size.bytes)
         self.log(message)
         return self.current()
 
@@ -232,6 +250,22 @@ class PackageStore:
         )
 
 
+def _side_by_side(spark: SparkSession, *steps: Callable) -> list:
+    """Results of steps that do not need each other; their Spark jobs may share the executors."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    return [step.result() for step in started]
+
+
+def _row_counts(staged: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows per table: one job, one row per table."""
+    counted = [
+        df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+        for name, df in staged.items()
+    ]
+    return {row["name"]: row["rows"] for row in reduce(DataFrame.unionByName, counted).collect()}
+
+
 def _literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(part) for item in values.items() for part in item])
 
