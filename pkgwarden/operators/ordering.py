@@ -112,4 +112,5 @@ class Position:
 def copies(df: DataFrame, places: Sequence[Position], n: int) -> DataFrame:
     """``n`` equal rows with the columns of ``df``, all of whose values the places give."""
     values = {name: value for place in places for name, value in place.literals().items()}
-    return df.sparkSession.range(n).select(*[values[name] for name in df.columns])
+    rows = df.sparkSession.range(0, n, numPartitions=1 + n // 100_000)
+    return rows.select(*[values[name] for name in df.columns])

@@ -63,7 +63,8 @@ def append_run(run_log: DataFrame, values: Mapping[str, str]) -> DataFrame:
 
 def log_entry(log: DataFrame, message: str) -> DataFrame:
     """One log row with the current time."""
-    return log.sparkSession.range(1).select(now().alias("ts"), F.lit(message).alias("msg"))
+    one_row = log.sparkSession.range(0, 1, numPartitions=1)
+    return one_row.select(now().alias("ts"), F.lit(message).alias("msg"))
 
 
 def append_message(log: DataFrame, message: str) -> DataFrame:

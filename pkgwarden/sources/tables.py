@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def create_if_missing(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Write an empty table unless something is stored at the path already."""
     spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
@@ -44,9 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    created = tempfile.mkdtemp(prefix="pkgwarden-")
-    spark.conf.set("spark.checkpoint.dir", created)
-    return created
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="pkgwarden-")
+    return _local_dirs[application]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

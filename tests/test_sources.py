@@ -13,6 +13,7 @@ from pkgwarden.sources import (
     read_delimited,
     read_key_values,
     records_span_lines,
+    tables,
 )
 
 QUOTED = 'a;b;c\n1;"x;y ""q""";z\n2;"line1\nline2";""\n3;;"t"\n'
@@ -103,3 +104,24 @@ def test_key_values_as_array_and_as_lines(spark, tmp_path):
     expected = [tuple(i.values()) for i in items]
     assert [tuple(r) for r in read_key_values(spark, array).collect()] == expected
     assert [tuple(r) for r in read_key_values(spark, lines, True).collect()] == expected
+
+
+def test_shared_folder_comes_from_the_session(spark):
+    configured = spark.conf.get("spark.checkpoint.dir")
+    assert tables.scratch_path(spark, "x").startswith(configured)
+    assert tables.scratch_path(spark, "x") != tables.scratch_path(spark, "x")
+
+
+class FakeSession:
+    """Only what the choice of a shared folder looks at."""
+
+    def __init__(self, **settings):
+        self.conf = {name.replace("_", "."): value for name, value in settings.items()}
+        self.sparkContext = type("Context", (), {"applicationId": "app-1"})
+
+
+def test_only_a_local_session_gets_a_temporary_folder():
+    local = FakeSession(spark_master="local[2]")
+    assert tables.shared_dir(local) == tables.shared_dir(local)
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        tables.shared_dir(FakeSession(spark_master="yarn"))
