@@ -358,10 +358,9 @@ def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page looked up by counting: here everything beyond 1,000 rows is treated as deep."""
-    return page(
-        feeds.table(spark, sf_dir, "lineitem"), SHIP_ORDER, 200, 31_000, top_k_rows=1_000
-    )
+    """The page in the middle, looked up by counting: here 1,000 rows are treated as deep."""
+    lines = feeds.table(spark, sf_dir, "lineitem")
+    return page(lines, SHIP_ORDER, 200, lines.count() // 2, top_k_rows=1_000)
 
 
 def page_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -617,7 +616,8 @@ def oracle_sql() -> dict[str, str]:
         + " SELECT * FROM log_entries ORDER BY ts DESC NULLS LAST, event_id LIMIT 100",
         "page_offset": feeds.WITH_LOGS
         + " SELECT * FROM log_entries ORDER BY ts DESC NULLS LAST, event_id LIMIT 250 OFFSET 1000",
-        "page_deep": f"SELECT * FROM lineitem ORDER BY {ship_order} LIMIT 200 OFFSET 31000",
+        "page_deep": f"SELECT * FROM lineitem ORDER BY {ship_order} "
+        " LIMIT 200 OFFSET (SELECT count(*) // 2 FROM lineitem)",
         "page_envelope": feeds.WITH_LOGS
         + f' SELECT {log_json} AS json, 100::BIGINT AS "limit", 300::BIGINT AS "offset",'
         " (SELECT count(*) FROM log_entries) AS total FROM log_entries"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +69,7 @@ class Position:
     types: tuple[T.DataType, ...]
     values: tuple[str | None, ...]
 
+    @cached_property
     def _comparisons(self) -> list[tuple[Column, Column, Column]]:
         """For each sort column: row sorts before this place, is equal, sorts after it."""
         found = []
@@ -77,7 +78,7 @@ class Position:
             if text is None:
                 found.append((column.isNotNull(), column.isNull(), F.lit(False)))
                 continue
-            value = F.lit(text).cast(data_type)
+            value = F.lit(text).cast(data_type.simpleString())
             lower, higher = column < value, column > value
             first, last = (higher, lower) if key.descending else (lower, higher)
             found.append((first, column.eqNullSafe(value), last | column.isNull()))
@@ -85,26 +86,26 @@ class Position:
 
     def rows_before(self) -> Column:
         """True for rows that sort strictly before this place (else false or null)."""
-        before = F.lit(False)
-        for earlier, equal, _ in reversed(self._comparisons()):
+        *leading, (before, _, _) = self._comparisons
+        for earlier, equal, _ in reversed(leading):
             before = earlier | (equal & before)
         return before
 
     def rows_equal(self) -> Column:
         """True for rows with exactly the values of this place."""
-        return reduce(and_, [equal for _, equal, _ in self._comparisons()])
+        return reduce(and_, [equal for _, equal, _ in self._comparisons])
 
     def rows_after(self) -> Column:
         """True for rows that sort strictly after this place (else false or null)."""
-        after = F.lit(False)
-        for _, equal, later in reversed(self._comparisons()):
+        *leading, (_, _, after) = self._comparisons
+        for _, equal, later in reversed(leading):
             after = later | (equal & after)
         return after
 
     def literals(self) -> dict[str, Column]:
         """The values of this place by column."""
         return {
-            key.column: F.lit(text).cast(data_type).alias(key.column)
+            key.column: F.lit(text).cast(data_type.simpleString()).alias(key.column)
             for key, data_type, text in zip(self.keys, self.types, self.values, strict=True)
         }
 

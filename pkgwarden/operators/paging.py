@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pkgwarden.operators.ordering import (
@@ -24,8 +24,10 @@ DEFAULT_OFFSET = 0
 
 # A page that ends within this many rows is a plain top-k: each task keeps that many rows.
 TOP_K_ROWS = 50_000
-# Places compared in one counting pass when looking for a deep offset.
-SPLITTERS = 24
+# Looking for a deep offset: rows sampled at a time, and places compared in one counting pass. More
+# places per pass make a comparison that the JVM no longer compiles well.
+SAMPLED_ROWS = 5_000
+SPLITTERS = 15
 
 
 @dataclass(frozen=True)
@@ -96,10 +98,11 @@ def _seek(
 ) -> DataFrame:
     """A page of ``df`` ordered by the columns of all levels.
 
-    Places in the order of the first level's columns are sampled and the rows before each are
-    counted: one pass that reads these columns only and sends one counter row per task. The gap
-    between two places that holds the offset is searched in the next pass. The sample decides how
-    fast this is, never what is found. If the offset lies among rows that are equal in these
+    Places in the order of the first level's columns are sampled, and the rows before some of them
+    are counted: one pass that reads these columns only and sends a few counters per task. The gap
+    between two places that holds the offset is searched in the next pass, with the sampled places
+    inside it, or with new ones when none is left. The sample decides how fast this is, never what
+    is found. If the offset lies among rows that are equal in these
     columns, however many, they are ordered by the next level; rows equal in every column are the
     same row and are written down without reading them. ``common`` holds the values that all rows
     of ``df`` share.
@@ -114,30 +117,36 @@ def _seek(
     lower: Position | None = None
     upper: Position | None = None
     skipped = 0
+    pool: list[Position] = []
     while offset - skipped > top_k_rows:
         gap = _between(df, lower, upper)
-        places = _sample_places(gap, lead, rows)
+        pool = pool or _sample_places(gap, lead, rows)
+        step = -(-len(pool) // SPLITTERS)
+        chosen = range(step // 2, len(pool), step)
+        places = [pool[i] for i in chosen]
         counts = _count_around(gap, places)
         reached = [i for i, (before, _) in enumerate(counts) if skipped + before <= offset]
-        if not reached:
-            upper, rows = places[0], counts[0][0]
-            continue
-        at = reached[-1]
-        before, equal = counts[at]
-        if offset < skipped + before + equal:
-            within = offset - skipped - before
-            taken = min(limit, equal - within)
-            shared = (*common, places[at])
-            if deeper:
-                group = df.filter(places[at].rows_equal())
-                head = _seek(group, deeper, taken, within, top_k_rows, shared)
-            else:
-                head = copies(df, shared, taken)
-            tail = ordered(_between(df, places[at], None), order).limit(limit - taken)
-            return ordered(head.unionByName(tail), order).limit(limit)
+        at = reached[-1] if reached else -1
+        if at >= 0:
+            before, equal = counts[at]
+            if offset < skipped + before + equal:
+                within = offset - skipped - before
+                taken = min(limit, equal - within)
+                shared = (*common, places[at])
+                if deeper:
+                    group = df.filter(places[at].rows_equal())
+                    head = _seek(group, deeper, taken, within, top_k_rows, shared)
+                else:
+                    head = copies(df, shared, taken)
+                tail = ordered(_between(df, places[at], None), order).limit(limit - taken)
+                return ordered(head.unionByName(tail), order).limit(limit)
+        first, last = 0, len(pool)
         if at + 1 < len(places):
-            upper, rows = places[at + 1], counts[at + 1][0]
-        lower, skipped, rows = places[at], skipped + before + equal, rows - before - equal
+            upper, rows, last = places[at + 1], counts[at + 1][0], chosen[at + 1]
+        if at >= 0:
+            passed = before + equal
+            lower, skipped, rows, first = places[at], skipped + passed, rows - passed, chosen[at] + 1
+        pool = pool[first:last]
     # The page may reach beyond the gap.
     if offset + limit > skipped + rows:
         upper = None
@@ -153,29 +162,45 @@ def _between(df: DataFrame, lower: Position | None, upper: Position | None) -> D
 
 
 def _sample_places(df: DataFrame, keys: Sequence[SortKey], rows: int) -> list[Position]:
-    """Up to ``SPLITTERS`` different places in ascending order, taken from about 4 times as many
-    sampled rows."""
+    """Different places in ascending order, from about ``SAMPLED_ROWS`` of the frame's rows."""
     columns = df.select(*[F.col(f"`{key.column}`") for key in keys])
     types = tuple(f.dataType for f in columns.schema.fields)
     texts = [F.col(f"`{key.column}`").cast("string") for key in keys]
-    fraction, seed = 4 * SPLITTERS / rows, 0
-    sampled: list = []
+    fraction, seed = SAMPLED_ROWS / rows, 0
+    sampled: list[tuple] = []
     while not sampled:
         sample = columns.sample(min(1.0, fraction), seed)
         # The limit makes this a top-k, which needs no range sort; it is above the sample's size.
-        rows_in_order = ordered(sample, keys).limit(100 * SPLITTERS)
+        rows_in_order = ordered(sample, keys).limit(2 * SAMPLED_ROWS)
         sampled = [tuple(row) for row in rows_in_order.select(*texts).collect()]
         fraction, seed = 2 * fraction, seed + 1
-    step = max(1, len(sampled) // SPLITTERS)
-    picked = dict.fromkeys(sampled[step // 2 :: step])
-    return [Position(tuple(keys), types, values) for values in picked]
+    return [Position(tuple(keys), types, values) for values in dict.fromkeys(sampled)]
 
 
 def _count_around(df: DataFrame, places: Sequence[Position]) -> list[tuple[int, int]]:
-    """For each place the number of rows before it and the number of rows equal to it."""
-    counters = []
-    for i, place in enumerate(places):
-        counters.append(F.count_if(place.rows_before()).alias(f"before_{i}"))
-        counters.append(F.count_if(place.rows_equal()).alias(f"equal_{i}"))
-    counted = df.agg(*counters).first()
-    return [(counted[f"before_{i}"], counted[f"equal_{i}"]) for i in range(len(places))]
+    """For each place the number of rows before it and the number of rows equal to it.
+
+    A row is compared with the middle place first and then only with the places on its side.
+    Numbers from 0 on stand for: before the first place, equal to it, between it and the second,
+    and so on. Each task sends one counter per number.
+    """
+
+    def number(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(2 * first)
+        middle = (first + last) // 2
+        return (
+            F.when(places[middle].rows_before(), number(first, middle))
+            .when(places[middle].rows_equal(), F.lit(2 * middle + 1))
+            .otherwise(number(middle + 1, last))
+        )
+
+    counted = df.groupBy(number(0, len(places)).alias("number")).agg(F.count(F.lit(1)).alias("n"))
+    found = {row["number"]: row["n"] for row in counted.collect()}
+    before, counts = 0, []
+    for i in range(len(places)):
+        before += found.get(2 * i, 0)
+        equal = found.get(2 * i + 1, 0)
+        counts.append((before, equal))
+        before += equal
+    return counts

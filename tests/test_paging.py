@@ -10,7 +10,7 @@ from functools import cmp_to_key
 import pytest
 from pyspark.sql import functions as F
 
-from pkgwarden.operators import SortKey, page, paged
+from pkgwarden.operators import SortKey, page, paged, paging
 from pkgwarden.streaming import json_rows, stream_ndjson, write_ndjson
 
 COLUMNS = ["name", "n", "note"]
@@ -73,6 +73,16 @@ def test_deep_page(data, order, offset):
     assert found == brute_force(rows, order)[offset : offset + 25]
 
 
+def test_deep_page_with_a_sample_that_runs_out(data, monkeypatch):
+    """A small sample has to be drawn again inside the gap; the page stays the same."""
+    rows, df = data
+    monkeypatch.setattr(paging, "SAMPLED_ROWS", 12)
+    monkeypatch.setattr(paging, "SPLITTERS", 3)
+    order = [("n", False), ("name", True), ("note", False)]
+    found = page(df, [SortKey(c, d) for c, d in order], 40, 333, top_k_rows=4).collect()
+    assert [tuple(r) for r in found] == brute_force(rows, order)[333:373]
+
+
 @pytest.mark.parametrize("top_k_rows", [20, 10_000])
 def test_pages_together_are_the_whole_result(data, top_k_rows):
     rows, df = data
