@@ -98,3 +98,31 @@ def test_rows_absent_is_not_in(spark, existing, expected, limits):
     known.createOrReplaceTempView("known")
     by_sql = spark.sql("SELECT k FROM candidates WHERE k NOT IN (SELECT k FROM known)").collect()
     assert Counter(found) == Counter(expected) == Counter(r["k"] for r in by_sql)
+
+
+def test_key_with_many_rows_is_split_at_run_time(spark, plan_of):
+    """A third of all rows has one key: with thresholds for small data, its partition is split."""
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+        rows = spark.range(0, 30_000, 1, 8).select(
+            key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("a")
+        )
+        lookup = spark.range(300).select(F.concat(F.lit("k"), "id").alias("k"), "id")
+        lookup = lookup.unionByName(spark.range(20).select(F.lit("hot").alias("k"), "id"))
+        limits = JoinLimits(broadcast_rows=0, cell_rows=10, max_hot_keys=1000)
+        joined = lookup_join(rows, lookup, "k", limits=limits)
+        assert len(joined.collect()) == rows.join(lookup, "k", "left").count()
+        plan = plan_of(joined)
+        assert "SortMergeJoin(skew=true)" in plan
+        assert "ReusedExchange" in plan
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
