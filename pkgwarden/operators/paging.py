@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pkgwarden.operators.filters import all_of
 from pkgwarden.operators.ordering import (
     Position,
     SortKey,
@@ -22,10 +24,13 @@ from pkgwarden.streaming.delivery import json_rows
 DEFAULT_LIMIT = 100
 DEFAULT_OFFSET = 0
 
-# A page that ends within this many rows is a plain top-k: each task keeps that many rows.
+# In a top-k each task keeps as many rows as the page ends at and hands them to one last task. A
+# page is a plain top-k only within these two bounds, counting a task per million rows.
 TOP_K_ROWS = 50_000
-# Looking for a deep offset: rows sampled at a time, and places compared in one counting pass. More
-# places per pass make a comparison that the JVM no longer compiles well.
+HANDED_ROWS = 20_000_000
+ROWS_PER_TASK = 1_000_000
+# Looking for the rows of a page: rows sampled at a time, and places compared in one counting
+# pass. More places per pass make a comparison that the JVM no longer compiles well.
 SAMPLED_ROWS = 5_000
 SPLITTERS = 15
 
@@ -62,7 +67,8 @@ def paged(
     offset: int = DEFAULT_OFFSET,
 ) -> Page:
     """A page and the total, which is counted from the columns that the filters need."""
-    return Page(page(df, keys, limit, offset), limit, offset, df.count())
+    total = df.count()
+    return Page(page(df, keys, limit, offset, total), limit, offset, total)
 
 
 def page(
@@ -70,95 +76,126 @@ def page(
     keys: Sequence[SortKey],
     limit: int = DEFAULT_LIMIT,
     offset: int = DEFAULT_OFFSET,
+    total: int | None = None,
     top_k_rows: int = TOP_K_ROWS,
+    handed_rows: int = HANDED_ROWS,
 ) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of the ordered frame.
+    """Rows ``offset`` to ``offset + limit`` of the ordered frame, which has ``total`` rows.
 
     The order is completed by all other columns, so that consecutive pages fit together. A page
-    near the start is a top-k. A deep one is looked up first, so that no task holds the skipped
-    rows; this needs columns whose values can be written as text.
+    near the start is a top-k, unless the result is very large. Otherwise the rows of the page are looked up
+    first, so that no task holds the skipped rows or a candidate page from every other task; this
+    needs columns whose values can be written as text.
     """
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
     order = total_order(df, keys)
-    if not all(comparable(f.dataType) for f in df.schema.fields):
+    if total is None:
+        total = df.count()
+    end = min(offset + limit, total)
+    if offset >= end:
+        return df.filter(F.lit(False))
+    tasks = -(-total // ROWS_PER_TASK)
+    plain = end <= top_k_rows and end * tasks <= handed_rows
+    if plain or not all(comparable(f.dataType) for f in df.schema.fields):
         return ordered(df, order).offset(offset).limit(limit)
-    lead = order[: len(keys)]
-    levels = [level for level in (lead, order[len(keys) :]) if level]
-    return _seek(df, levels, limit, offset, top_k_rows)
+    levels = [level for level in (order[: len(keys)], order[len(keys) :]) if level]
+    pieces = _look_up(_Gap(df, None, None, total), levels, offset, end, top_k_rows)
+    return ordered(reduce(DataFrame.unionByName, pieces), order).limit(end - offset)
 
 
-def _seek(
-    df: DataFrame,
-    levels: Sequence[Sequence[SortKey]],
-    limit: int,
-    offset: int,
-    top_k_rows: int,
-    common: tuple[Position, ...] = (),
-) -> DataFrame:
-    """A page of ``df`` ordered by the columns of all levels.
-
-    Places in the order of the first level's columns are sampled, and the rows before some of them
-    are counted: one pass that reads these columns only and sends a few counters per task. The gap
-    between two places that holds the offset is searched in the next pass, with the sampled places
-    inside it, or with new ones when none is left. The sample decides how fast this is, never what
-    is found. If the offset lies among rows that are equal in these
-    columns, however many, they are ordered by the next level; rows equal in every column are the
-    same row and are written down without reading them. ``common`` holds the values that all rows
-    of ``df`` share.
+@dataclass(frozen=True)
+class _Gap:
+    """The rows strictly between two places of the order, their number, and places among them.
+
+    ``common`` holds the places that give the values which all rows of ``df`` share.
+    """
+
+    df: DataFrame
+    lower: Position | None
+    upper: Position | None
+    rows: int
+    pool: Sequence[Position] = ()
+    common: tuple[Position, ...] = ()
+
+    def frame(self) -> DataFrame:
+        bounds = []
+        if self.lower is not None:
+            bounds.append(self.lower.rows_after())
+        if self.upper is not None:
+            bounds.append(self.upper.rows_before())
+        return self.df.filter(all_of(bounds)) if bounds else self.df
+
+
+def _look_up(
+    gap: _Gap, levels: Sequence[Sequence[SortKey]], start: int, end: int, top_k_rows: int
+) -> list[DataFrame]:
+    """Frames that together hold rows ``start`` to ``end`` of a gap, ordered by all levels.
+
+    Places in the order of the first level's columns are sampled, and the rows around some of them
+    are counted: one pass that reads these columns only and sends a few counters per task. What
+    lies wholly inside the page is taken as it is. A smaller gap that is cut by the start or the
+    end is looked up in turn, with the sampled places inside it, or with new ones when none is
+    left. The sample decides how fast this is, never what is found. Rows that are equal in these
+    columns, however many, are looked up by the next level; rows equal in every column are the
+    same row and are written down without reading them.
     """
-    order = [key for level in levels for key in level]
-    if offset + limit <= top_k_rows:
-        return ordered(df, order).offset(offset).limit(limit)
     lead, deeper = levels[0], levels[1:]
-    rows = df.count()
-    if offset >= rows:
-        return df.filter(F.lit(False))
-    lower: Position | None = None
-    upper: Position | None = None
-    skipped = 0
-    pool: list[Position] = []
-    while offset - skipped > top_k_rows:
-        gap = _between(df, lower, upper)
-        pool = pool or _sample_places(gap, lead, rows)
-        step = -(-len(pool) // SPLITTERS)
-        chosen = range(step // 2, len(pool), step)
-        places = [pool[i] for i in chosen]
-        counts = _count_around(gap, places)
-        reached = [i for i, (before, _) in enumerate(counts) if skipped + before <= offset]
-        at = reached[-1] if reached else -1
-        if at >= 0:
-            before, equal = counts[at]
-            if offset < skipped + before + equal:
-                within = offset - skipped - before
-                taken = min(limit, equal - within)
-                shared = (*common, places[at])
-                if deeper:
-                    group = df.filter(places[at].rows_equal())
-                    head = _seek(group, deeper, taken, within, top_k_rows, shared)
-                else:
-                    head = copies(df, shared, taken)
-                tail = ordered(_between(df, places[at], None), order).limit(limit - taken)
-                return ordered(head.unionByName(tail), order).limit(limit)
-        first, last = 0, len(pool)
-        if at + 1 < len(places):
-            upper, rows, last = places[at + 1], counts[at + 1][0], chosen[at + 1]
-        if at >= 0:
-            passed = before + equal
-            lower, skipped, rows, first = places[at], skipped + passed, rows - passed, chosen[at] + 1
-        pool = pool[first:last]
-    # The page may reach beyond the gap.
-    if offset + limit > skipped + rows:
-        upper = None
-    return ordered(_between(df, lower, upper), order).offset(offset - skipped).limit(limit)
-
-
-def _between(df: DataFrame, lower: Position | None, upper: Position | None) -> DataFrame:
-    if lower is not None:
-        df = df.filter(lower.rows_after())
-    if upper is not None:
-        df = df.filter(upper.rows_before())
-    return df
+    df = gap.frame()
+    if start == 0 and end == gap.rows:
+        return [df]
+    if gap.rows <= top_k_rows:
+        order = [key for level in levels for key in level]
+        return [ordered(df, order).offset(start).limit(end - start)]
+    pool = gap.pool or _sample_places(df, lead, gap.rows)
+    step = -(-len(pool) // SPLITTERS)
+    chosen = range(step // 2, len(pool), step)
+    places = [pool[i] for i in chosen]
+    counts = _count_around(df, places)
+
+    pieces: list[DataFrame] = []
+    inside: list[Column] | None = None  # bounds of the rows that lie wholly inside the page
+
+    def close() -> None:
+        nonlocal inside
+        if inside is not None:
+            pieces.append(df.filter(all_of(inside)))
+        inside = None
+
+    passed, below, first = 0, gap.lower, 0
+    for i in range(len(places) + 1):
+        place = places[i] if i < len(places) else None
+        above, last = (place, chosen[i]) if place is not None else (gap.upper, len(pool))
+        rows = (counts[i][0] if place is not None else gap.rows) - passed
+        cut = max(start - passed, 0), min(end - passed, rows)
+        if cut == (0, rows) and rows:
+            low = [] if below is None else [below.rows_after()]
+            inside = [inside[0] if inside else all_of(low)]
+            inside.append(all_of([] if above is None else [above.rows_before()]))
+        elif cut[0] < cut[1]:
+            close()
+            part = _Gap(gap.df, below, above, rows, pool[first:last], gap.common)
+            pieces += _look_up(part, levels, *cut, top_k_rows)
+        passed += rows
+        if place is None:
+            break
+        equal = counts[i][1]
+        cut = max(start - passed, 0), min(end - passed, equal)
+        if cut == (0, equal):
+            from_here = place.rows_equal() | place.rows_after()
+            inside = [inside[0] if inside else from_here]
+            inside.append(place.rows_equal() | place.rows_before())
+        elif cut[0] < cut[1]:
+            close()
+            shared = (*gap.common, place)
+            if deeper:
+                group = _Gap(df.filter(place.rows_equal()), None, None, equal, (), shared)
+                pieces += _look_up(group, deeper, *cut, top_k_rows)
+            else:
+                pieces.append(copies(gap.df, shared, cut[1] - cut[0]))
+        passed, below, first = passed + equal, place, last + 1
+    close()
+    return pieces
 
 
 def _sample_places(df: DataFrame, keys: Sequence[SortKey], rows: int) -> list[Position]:

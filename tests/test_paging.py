@@ -73,6 +73,16 @@ def test_deep_page(data, order, offset):
     assert found == brute_force(rows, order)[offset : offset + 25]
 
 
+@pytest.mark.parametrize(("limit", "offset"), [(7, 0), (300, 0), (320, 150), (600, 0), (1000, 5)])
+def test_page_of_a_large_result(data, limit, offset):
+    """Any page of a very large result is looked up, a shallow or a long one too."""
+    rows, df = data
+    order = [("name", True), ("n", False)]
+    keys = [SortKey(c, d) for c, d in order]
+    found = page(df, keys, limit, offset, top_k_rows=20, handed_rows=0).collect()
+    assert [tuple(r) for r in found] == brute_force(rows, order)[offset : offset + limit]
+
+
 def test_deep_page_with_a_sample_that_runs_out(data, monkeypatch):
     """A small sample has to be drawn again inside the gap; the page stays the same."""
     rows, df = data
@@ -89,7 +99,7 @@ def test_pages_together_are_the_whole_result(data, top_k_rows):
     keys = [SortKey("name", True)]
     found = []
     for offset in range(0, 601, 150):
-        found += [tuple(r) for r in page(df, keys, 150, offset, top_k_rows).collect()]
+        found += [tuple(r) for r in page(df, keys, 150, offset, None, top_k_rows).collect()]
     assert found == brute_force(rows, [("name", True)])
 
 
