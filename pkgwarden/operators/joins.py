@@ -81,11 +81,15 @@ def lookup_join(
     A lookup whose measured size is within the limits is broadcast, so ``rows`` is not shuffled
     at all. A larger one is joined by shuffle: a lookup key with many entries is cut into cells
     that are joined in different tasks, while a key with many ``rows`` is split by the adaptive
-    skew handling of the shuffle join. ``size`` saves the measurement where it is known.
+    skew handling of the shuffle join. ``size`` saves the measurement where it is known; with
+    ``broadcast_rows=0`` only an empty lookup is broadcast.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type: {how}")
-    size = size or measure(lookup)
+    if size is None:
+        if limits.broadcast_rows == 0:
+            lookup = spread_stored(lookup)
+        size = measure(lookup)
     if size.fits(limits):
         return rows.join(F.broadcast(lookup.drop(SPREAD)), key, how)
     return _cell_join(rows, lookup, key, how, size, limits)

@@ -80,24 +80,27 @@ def page(
     top_k_rows: int = TOP_K_ROWS,
     handed_rows: int = HANDED_ROWS,
 ) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` of the ordered frame, which has ``total`` rows.
+    """Rows ``offset`` to ``offset + limit`` of the ordered frame.
 
     The order is completed by all other columns, so that consecutive pages fit together. A page
-    near the start is a top-k, unless the result is very large. Otherwise the rows of the page are looked up
+    near the start is a top-k, unless ``total``, the number of all rows if known (as it is to
+    ``paged``), shows that the result is very large. Otherwise the rows of the page are looked up
     first, so that no task holds the skipped rows or a candidate page from every other task; this
     needs columns whose values can be written as text.
     """
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
     order = total_order(df, keys)
+    textual = all(comparable(f.dataType) for f in df.schema.fields)
+    if total is None and (offset + limit <= top_k_rows or not textual):
+        return ordered(df, order).offset(offset).limit(limit)
     if total is None:
         total = df.count()
     end = min(offset + limit, total)
     if offset >= end:
         return df.filter(F.lit(False))
     tasks = -(-total // ROWS_PER_TASK)
-    plain = end <= top_k_rows and end * tasks <= handed_rows
-    if plain or not all(comparable(f.dataType) for f in df.schema.fields):
+    if not textual or (end <= top_k_rows and end * tasks <= handed_rows):
         return ordered(df, order).offset(offset).limit(limit)
     levels = [level for level in (order[: len(keys)], order[len(keys) :]) if level]
     pieces = _look_up(_Gap(df, None, None, total), levels, offset, end, top_k_rows)

@@ -55,7 +55,9 @@ def sort_keys(sort_by: str | None = None, sort_order: str | None = None) -> list
     return keys + [SortKey(name) for name in DEFAULT_ORDER if name not in chosen]
 
 
-def matching(searchable: DataFrame, term: str | None = None, status: str | None = None) -> DataFrame:
+def matching(
+    searchable: DataFrame, term: str | None = None, status: str | None = None
+) -> DataFrame:
     """Rows that hold the term in one of the searched columns and have the wanted status."""
     return searchable.filter(
         all_of(

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def build_session(app_name: str = "pkgwarden", master: str | None = None, **settings: str) -> SparkSession:
+def build_session(
+    app_name: str = "pkgwarden", master: str | None = None, **settings: str
+) -> SparkSession:
     """A session with UTC times, ANSI errors and adaptive execution.
 
     Sizes such as the number of shuffle partitions are left to the cluster and to adaptive

@@ -79,7 +79,7 @@ def test_page_of_a_large_result(data, limit, offset):
     rows, df = data
     order = [("name", True), ("n", False)]
     keys = [SortKey(c, d) for c, d in order]
-    found = page(df, keys, limit, offset, top_k_rows=20, handed_rows=0).collect()
+    found = page(df, keys, limit, offset, len(rows), top_k_rows=20, handed_rows=0).collect()
     assert [tuple(r) for r in found] == brute_force(rows, order)[offset : offset + limit]
 
 
