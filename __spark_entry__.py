@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -52,6 +53,11 @@ from pkgwarden.sources import tables  # noqa: E402
 from pkgwarden.sources.schemas import LOGS  # noqa: E402
 from pkgwarden.streaming import json_rows  # noqa: E402
 
+if importlib.util.find_spec("pkgwarden.llm") is None:
+    llm_queries = None
+else:
+    from pkgwarden.llm import queries as llm_queries
+
 # Options of the delimited feeds, for writing test feeds.
 CSV = {"sep": ";", "quote": '"', "escape": '"', "header": True}
 
@@ -415,6 +421,16 @@ def refresh_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each reads the whole tables."""
+    return core_queries() | (llm_queries.queries() if llm_queries else {})
+
+
+def oracle_sql() -> dict[str, str]:
+    """The same results in SQL, where SQL can express them."""
+    return core_oracle_sql() | (llm_queries.oracle_sql() if llm_queries else {})
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries without those of the training-data pipeline."""
     return {
         "scan_csv": scan_csv,
         "scan_nested_json": scan_nested_json,
@@ -493,7 +509,7 @@ def _term(pattern: str) -> str:
     return f"len(list_filter({searched}, lambda c: c ILIKE '{pattern}')) > 0"
 
 
-def oracle_sql() -> dict[str, str]:
+def core_oracle_sql() -> dict[str, str]:
     """The same results in SQL, written in the native forms of the other engine."""
     with_feeds, key = feeds.WITH_FEEDS, feeds.sql_version_key
     log_json = (
