@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pkgwarden.llm import host_reputation, lz_fingerprint, toxicity
+from pkgwarden.llm import (
+    crf_secrets,
+    host_reputation,
+    html_blocks,
+    kmeans_tree,
+    lz_fingerprint,
+    mixing,
+    simhash,
+    toxicity,
+    window_dedup,
+)
 from pkgwarden.llm.bpe_tree import BpeTree
 
 #: Fixed rules of the contract, by host and path.
@@ -37,6 +47,63 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.extract_main_text(pages).select(
+        "page_id",
+        "url",
+        F.col("main_text").alias("text"),
+        F.length("main_text").cast("long").alias("n_chars"),
+    )
+
+
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def _written(spans: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+
+
+def op3_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = crf_secrets.train(docs)
+    found = docs.select("doc_id", crf_secrets.find_secrets(docs, model).alias("found"))
+    base = F.filter("found", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id",
+        _count(F.col("found"), "assign").alias("n_assign"),
+        _count(F.col("found"), "access").alias("n_access"),
+        _count(F.col("found"), "hex").alias("n_hex"),
+        F.sha2(_written(base), 256).alias("base_sha256"),
+        _written(F.col("found")).alias("spans"),
+    )
+
+
+#: Every so many ids are queries; neighbours returned.
+QUERY_STEP = 20
+NEIGHBOURS = 20
+
+
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = kmeans_tree.build_index(vectors, NEIGHBOURS)
+    asked = vectors.filter(F.pmod("vec_id", F.lit(QUERY_STEP)) == 0)
+    return kmeans_tree.search(index, asked.select(F.col("vec_id").alias("id")), NEIGHBOURS)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.lower(F.hex("mark")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def bpe_tree(spark: SparkSession) -> BpeTree:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return BpeTree(spark, path, public_tokenizers.PATTERN)
@@ -86,12 +153,30 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = window_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lz_fingerprint": op1_lz_fingerprint,
+        "op2_html_blocks": op2_html_blocks,
+        "op3_crf_secrets": op3_crf_secrets,
+        "op4_kmeans_tree": op4_kmeans_tree,
+        "op5_simhash": op5_simhash,
         "op6_bpe_tree": op6_bpe_tree,
         "op7_host_reputation": op7_host_reputation,
         "op8_toxicity": op8_toxicity,
+        "op9_window_dedup": op9_window_dedup,
+        "op10_mixing": op10_mixing,
     }
 
 
