@@ -205,3 +205,28 @@ def mix_sources(
         "target",
         (F.col("base") + taken).alias("copies"),
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the columns of ``docs``.
+
+    Repeated rows (same id, text and source) are counted together and one of them is repeated.
+    """
+    key, text, source = (options.get(n, d) for n, d in (
+        ("key", "doc_id"), ("text", "text"), ("source", "source")))
+    counted = (
+        mix_sources(docs, **options)
+        .groupBy(F.col(key).alias("_key"), F.col("source").alias("_source"), "text_key")
+        .agg(F.sum("copies").alias("_copies"))
+        .filter("_copies > 0")
+    )
+    text_key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    first = Window.partitionBy(docs[key], docs[source], text_key).orderBy(F.lit(0))
+    found = docs.join(
+        counted,
+        docs[key].eqNullSafe(F.col("_key"))
+        & docs[source].eqNullSafe(F.col("_source"))
+        & (text_key == F.col("text_key")),
+    ).withColumn("_row", F.row_number().over(first))
+    repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    return found.filter("_row = 1").withColumn("_copy", repeated).select(docs.columns)
