@@ -53,9 +53,11 @@ from pkgwarden.sources import tables  # noqa: E402
 from pkgwarden.sources.schemas import LOGS  # noqa: E402
 from pkgwarden.streaming import json_rows  # noqa: E402
 
+# The operators of the training-data pipeline are an optional part.
 if importlib.util.find_spec("pkgwarden.llm") is None:
-    llm_queries = None
+    corpus_pipeline = llm_queries = None
 else:
+    import corpus_pipeline
     from pkgwarden.llm import queries as llm_queries
 
 # Options of the delimited feeds, for writing test feeds.
@@ -421,7 +423,9 @@ def refresh_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each reads the whole tables."""
-    return core_queries() | (llm_queries.queries() if llm_queries else {})
+    if llm_queries is None:
+        return core_queries()
+    return core_queries() | llm_queries.queries() | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
