@@ -28,9 +28,11 @@ WORDS = re.compile(r"[^\W_]+")
 LENGTHS = (4, 6)
 BUCKET_BITS = 18
 #: Labelled rows that the model is fitted on, at most.
-FIT_ROWS = 8_000
+FIT_ROWS = 6_000
 #: Weight of a toxic text against a clean one: toxic texts are few.
 TOXIC_WEIGHT = 5.0
+#: Rows that the fit works on at a time.
+PART_ROWS = 500
 #: Smoothing of the counts, rounds and step of the fit, weight of the squared penalty.
 SMOOTHING = 1.0
 #: Buckets of fewer training texts have no weight.
@@ -76,26 +78,33 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     prior = np.log((TOXIC_WEIGHT * positive + 1) / (len(labels) - positive + 1))
     if positive in (0.0, float(len(labels))):
         return Model(np.zeros(size), float(prior))
-    lengths = np.array([len(r) for r in rows])
-    columns = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    common = np.bincount(columns, minlength=size) >= LEAST_TEXTS
-    chosen = common[columns]
-    columns, owner = columns[chosen], owner[chosen]
-    toxic = SMOOTHING + np.bincount(columns, labels[owner], size)
-    clean = SMOOTHING + np.bincount(columns, 1 - labels[owner], size)
+    # Rows are worked on in parts, so that little more than the features is in memory.
+    parts = [slice(at, at + PART_ROWS) for at in range(0, len(rows), PART_ROWS)]
+
+    def counts(weights: np.ndarray) -> np.ndarray:
+        """Sum of the rows' weights for each bucket."""
+        total = np.zeros(size)
+        for part in parts:
+            own = rows[part]
+            spread = np.repeat(weights[part], [len(r) for r in own])
+            total += np.bincount(np.concatenate(own), spread, size)
+        return total
+
+    toxic, clean = counts(labels), counts(1 - labels)
+    common = toxic + clean >= LEAST_TEXTS
+    rows = [r[common[r]] for r in rows]
+    toxic, clean = SMOOTHING + toxic * common, SMOOTHING + clean * common
     ratio = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
     ratio[~common] = 0
-    scaled = ratio[columns]
     weights = np.where(labels == 1, TOXIC_WEIGHT, 1.0)
     weights /= weights.sum()
     coefficients, intercept = np.zeros(size), float(prior)
     squares, squares_b = np.full(size, 1e-8), 1e-8
     for _ in range(ROUNDS):
-        margin = np.bincount(owner, scaled * coefficients[columns], len(rows)) + intercept
+        own = ratio * coefficients
+        margin = np.array([own[r].sum() for r in rows]) + intercept
         error = weights * (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels)
-        gradient = np.bincount(columns, scaled * error[owner], size)
-        gradient += PENALTY * coefficients
+        gradient = ratio * counts(error) + PENALTY * coefficients
         squares += gradient * gradient
         coefficients -= 0.1 * gradient / np.sqrt(squares)
         slope = float(error.sum())
