@@ -19,14 +19,15 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Leaves of the tree, in bytes.
-LEAF = 12
+LEAF = 8
 #: Runs of bytes, pairs and pieces a worker remembers (each); others are worked out each time.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Longer runs are not remembered.
 LONGEST_REMEMBERED = 64
 #: Ids joined at a leaf of the decoding tree.
@@ -131,7 +132,15 @@ class TreeCodec:
         return self.decode_ids(ids[:middle]) + self.decode_ids(ids[middle:])
 
 
-_codecs: dict[tuple[int, str], TreeCodec] = {}
+#: The codecs of a worker, which live as long as it does.
+_codecs: dict[tuple[str, str], TreeCodec] = {}
+
+
+def worker_codec(path: str, pattern: str, ranks: Broadcast) -> TreeCodec:
+    """The codec of a vocabulary, made once in a worker: what it remembers serves later tasks."""
+    if (path, pattern) not in _codecs:
+        _codecs[path, pattern] = TreeCodec(ranks.value, pattern)
+    return _codecs[path, pattern]
 
 
 class BpeTree:
@@ -148,28 +157,38 @@ class BpeTree:
         if len(ranks) > max_ranks:
             raise ValueError(f"{len(ranks)} ranks; at most {max_ranks} are broadcast")
         shared = spark.sparkContext.broadcast(ranks)
+        ids_type = T.ArrayType(T.IntegerType())
 
-        def codec() -> TreeCodec:
-            known = (shared.id if hasattr(shared, "id") else id(shared), pattern)
-            if known not in _codecs:
-                _codecs[known] = TreeCodec(shared.value, pattern)
-            return _codecs[known]
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        @F.pandas_udf(ids_type)
         def encode(texts: pd.Series) -> pd.Series:
-            own = codec()
-            return pd.Series(
-                [own.encode_text(t) for t in texts], dtype=object
-            )
+            own = worker_codec(path, pattern, shared)
+            return pd.Series([own.encode_text(t) for t in texts], dtype=object)
 
         @F.pandas_udf(T.BinaryType())
         def decode(ids: pd.Series) -> pd.Series:
-            own = codec()
+            own = worker_codec(path, pattern, shared)
             return pd.Series(
                 [None if x is None else own.decode_ids(x.tolist()) for x in ids], dtype=object
             )
 
-        self._encode, self._decode = encode, decode
+        both_type = T.StructType(
+            [T.StructField("ids", ids_type), T.StructField("decoded", T.BinaryType())]
+        )
+
+        @F.pandas_udf(both_type)
+        def both(texts: pd.Series) -> pd.DataFrame:
+            own = worker_codec(path, pattern, shared)
+            ids = [own.encode_text(t) for t in texts]
+            return pd.DataFrame({"ids": ids, "decoded": [own.decode_ids(x.tolist()) for x in ids]})
+
+        self._encode, self._decode, self._both = encode, decode, both
+
+    def round_trip(self, text: Column) -> Column:
+        """``ids`` and ``decoded`` of a text.
+
+        Decoding a column of ids just encoded would make Spark encode each text twice.
+        """
+        return self._both(text)
 
     def encode(self, text: Column) -> Column:
         """The token ids of a text."""
