@@ -140,6 +140,19 @@ def append_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_absent(orders, known, "o_custkey", "c_custkey")
 
 
+def append_if_absent_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same beyond the broadcast limits."""
+    orders = feeds.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    known = feeds.table(spark, sf_dir, "customer").filter("c_acctbal > 0")
+    limits = JoinLimits(broadcast_rows=0)
+    return rows_absent(orders, known, "o_custkey", "c_custkey", limits)
+
+
+def _old_times(df: DataFrame, column: str, is_new: Column) -> DataFrame:
+    """The time of the new row, which is the current time, is left out."""
+    return df.withColumn(column, F.when(~is_new, F.col(column)))
+
+
 def run_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = {
         "cran_packages_source": "packages",
@@ -147,14 +160,19 @@ def run_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
         "osv_source_pattern": "ALL",
         "status": "SUCCESS",
     }
-    return append_run(feeds.runs(spark, sf_dir), sources).drop("refresh_timestamp")
+    added = append_run(feeds.runs(spark, sf_dir), sources)
+    return _old_times(added, "refresh_timestamp", F.col("cran_packages_source") == "packages")
 
 
 def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.scratch_path(spark, "logs")
     tables.create_if_missing(spark, path, LOGS)
     tables.append(feeds.log_entries(spark, sf_dir).select("ts", "msg"), path)
-    return append_message(tables.scan(spark, path, LOGS), "refreshed").select("msg")
+    # One more message, whose time comes from the declared default.
+    message = spark.range(0, 1, numPartitions=1).select(F.lit("appended").alias("msg"))
+    tables.append(message, path, LOGS, {"ts": F.current_timestamp().cast("timestamp_ntz")})
+    added = append_message(tables.scan(spark, path, LOGS), "refreshed")
+    return _old_times(added, "ts", F.col("msg").isin("appended", "refreshed"))
 
 
 def unique_key_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,10 +281,28 @@ def left_join_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("pkg"), F.col("p_partkey").cast("string")).alias("Package"), "p_name"
     )
     files = parse_archive(feeds.archive(spark, sf_dir)).select("Package", "Version", "size")
-    limits = JoinLimits(broadcast_rows=0, cell_rows=8, max_hot_keys=1_000_000)
+    limits = JoinLimits(broadcast_rows=0, cell_rows=8, cell_pairs=64)
     return lookup_join(parts, files, "Package", limits=limits)
 
 
+def left_join_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that are hot by their entries, by the product of both sides only, null, and missing."""
+    level = F.col("event_type")
+    rows = feeds.table(spark, sf_dir, "events").select(
+        "event_id", F.when(level != "click", level).alias("k")
+    )
+    priority = F.element_at(
+        F.array(*[F.lit(name) for name in EVENT_TYPES]), (F.col("p_size") % 7 + 1).cast("int")
+    )
+    parts = feeds.table(spark, sf_dir, "part").filter("p_size % 7 < 5")
+    lookup = parts.filter("p_partkey % 50 = 0").select(priority.alias("k"), "p_partkey")
+    limits = JoinLimits(broadcast_rows=0, cell_rows=2, cell_pairs=500)
+    joined = lookup_join(rows, lookup, "k", limits=limits)
+    return joined.groupBy("k", "p_partkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")
+    )
+
+
 def safety_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package_safety_report(
         feeds.catalogue(spark, sf_dir),
@@ -280,15 +316,34 @@ def safety_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.groupBy("status", "osv_safety_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def report_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _report_of(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
     return package_safety_report(
         feeds.catalogue(spark, sf_dir),
         feeds.archive(spark, sf_dir),
         advisory_lookup(spark, sf_dir),
-        status="VULNERABLE",
+        status=status,
     )
 
 
+def report_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report_of(spark, sf_dir, "VULNERABLE")
+
+
+def report_status_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report_of(spark, sf_dir, "fixed")
+
+
+def report_status_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report_of(spark, sf_dir, "All")
+
+
+def report_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page from the middle of the report, looked up: here 1,000 rows are treated as deep."""
+    report = safety_report(spark, sf_dir)
+    keys = [SortKey("Version", descending=True), SortKey("Package")]
+    return page(report, keys, 200, report.count() // 2, top_k_rows=1_000)
+
+
 def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages_search(feeds.catalogue(spark, sf_dir), advisory_lookup(spark, sf_dir))
 
@@ -406,7 +461,8 @@ def record_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = records.release_info(feeds.key_values(spark, sf_dir)).withColumn(
         "r_version", F.concat(F.lit("R-"), F.col("r_version"))
     )
-    return records.record_release(info, history).drop("detected_at")
+    added = records.record_release(info, history)
+    return _old_times(added, "detected_at", F.col("r_version").startswith("R-"))
 
 
 def release_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,6 +499,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "replace_table": replace_table,
         "temp_relation": temp_relation,
         "append_if_absent": append_if_absent,
+        "append_if_absent_large": append_if_absent_large,
         "run_log_append": run_log_append,
         "log_append": log_append,
         "unique_key_check": unique_key_check,
@@ -459,9 +516,13 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "version_function": version_function,
         "left_join_advisories": left_join_advisories,
         "left_join_cells": left_join_cells,
+        "left_join_hot": left_join_hot,
         "safety_report": safety_report,
         "safety_counts": safety_counts,
         "report_status": report_status,
+        "report_status_lower": report_status_lower,
+        "report_status_all": report_status_all,
+        "report_page_deep": report_page_deep,
         "packages_search": searchable,
         "search_multi": search_multi,
         "search_wildcard": search_wildcard,
@@ -506,11 +567,17 @@ _EVENTS_TEXT = (
 
 def _term(pattern: str) -> str:
     """At least one searched column matches the pattern."""
-    searched = (
-        '["Package", "Title", "Description", "Published", "Version", status, osv_id,'
-        " osv_safety_status]"
-    )
-    return f"len(list_filter({searched}, lambda c: c ILIKE '{pattern}')) > 0"
+    searched = [
+        '"Package"',
+        '"Title"',
+        '"Description"',
+        '"Published"',
+        '"Version"',
+        "status",
+        "osv_id",
+        "osv_safety_status",
+    ]
+    return "(" + " OR ".join(f"{column} ILIKE '{pattern}'" for column in searched) + ")"
 
 
 def core_oracle_sql() -> dict[str, str]:
@@ -562,10 +629,13 @@ def core_oracle_sql() -> dict[str, str]:
         "temp_relation": feeds.WITH_LOGS + " SELECT event_id, level, msg FROM log_entries",
         "append_if_absent": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
         " WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+        "append_if_absent_large": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders"
+        " WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
         "run_log_append": feeds.WITH_RUNS
-        + " SELECT * EXCLUDE (refresh_timestamp) FROM runs UNION ALL"
-        " SELECT (max(run_id) + 1)::INTEGER, 'packages', 'archive', 'ALL', 'SUCCESS' FROM runs",
-        "log_append": "SELECT props AS msg FROM events UNION ALL SELECT 'refreshed'",
+        + " SELECT * FROM runs UNION ALL SELECT (max(run_id) + 1)::INTEGER, NULL::TIMESTAMP,"
+        " 'packages', 'archive', 'ALL', 'SUCCESS' FROM runs",
+        "log_append": "SELECT ts, props AS msg FROM events UNION ALL"
+        " SELECT NULL::TIMESTAMP, unnest(['appended', 'refreshed'])",
         "unique_key_check": "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem"
         " GROUP BY ALL HAVING count(*) > 1 OR l_orderkey IS NULL OR l_linenumber IS NULL",
         "refresh_publish": with_feeds
@@ -574,6 +644,7 @@ def core_oracle_sql() -> dict[str, str]:
         " UNION ALL SELECT 'osv_flat', count(*) FROM ranges_in"
         " UNION ALL SELECT 'vulnerability_lookup', count(*) FROM lookup"
         " UNION ALL SELECT 'packages_search', count(*) FROM searchable"
+        " UNION ALL SELECT 'package_safety_report', count(*) FROM report"
         " UNION ALL SELECT unnest(['stage_r_info', 'r_release_history', 'data_refresh_log']), 1",
         "published_report": with_feeds + f" SELECT {_REPORT} FROM report",
         "published_search": with_feeds
@@ -608,11 +679,24 @@ def core_oracle_sql() -> dict[str, str]:
         "left_join_cells": with_feeds
         + ' SELECT concat(\'pkg\', p_partkey) AS "Package", p_name, "Version", size FROM part'
         " LEFT JOIN archive_parsed ON concat('pkg', p_partkey) = \"Package\"",
+        "left_join_hot": "WITH r AS (SELECT event_id, CASE WHEN event_type <> 'click'"
+        " THEN event_type END AS k FROM events), l AS (SELECT "
+        f" {list(EVENT_TYPES)}[(p_size % 7 + 1)::INTEGER] AS k, p_partkey FROM part"
+        " WHERE p_size % 7 < 5 AND p_partkey % 50 = 0)"
+        " SELECT k, p_partkey, count(*) AS n, sum(event_id)::BIGINT AS ids"
+        " FROM r LEFT JOIN l USING (k) GROUP BY ALL",
         "safety_report": with_feeds + f" SELECT {_REPORT} FROM report",
         "safety_counts": with_feeds
         + " SELECT status, osv_safety_status, count(*) AS n FROM report GROUP BY ALL",
         "report_status": with_feeds
         + f" SELECT {_REPORT} FROM report WHERE osv_safety_status = 'VULNERABLE'",
+        "report_status_lower": with_feeds
+        + f" SELECT {_REPORT} FROM report WHERE osv_safety_status = 'FIXED'",
+        "report_status_all": with_feeds + f" SELECT {_REPORT} FROM report",
+        "report_page_deep": with_feeds
+        + f' SELECT {_REPORT} FROM report ORDER BY "Version" DESC NULLS LAST, "Package",'
+        ' "Title", "Description", "Published", status, osv_id, osv_safety_status'
+        " LIMIT 200 OFFSET (SELECT count(*) // 2 FROM report)",
         "packages_search": with_feeds + f" SELECT {_SEARCH} FROM searchable",
         "search_multi": with_feeds + f" SELECT {_SEARCH} FROM searchable WHERE {_term('%ring%')}",
         "search_wildcard": with_feeds + f" SELECT {_SEARCH} FROM searchable WHERE {_term('%%_9%')}",
@@ -651,8 +735,10 @@ def core_oracle_sql() -> dict[str, str]:
         "kv_pivot_grouped": f"SELECT user_id, {pivot} FROM events GROUP BY user_id",
         "record_release": f"{feeds.WITH_KEY_VALUES}, found AS ({release})"
         " SELECT o_orderkey::VARCHAR AS r_version, o_orderpriority AS nickname,"
-        " o_orderdate::DATE AS release_date, o_orderstatus AS devel_version FROM orders"
-        " UNION ALL SELECT 'R-' || r_version, nickname, release_date, devel_version FROM found",
+        " o_orderdate::DATE AS release_date, o_orderstatus AS devel_version,"
+        " o_orderdate::TIMESTAMP AS detected_at FROM orders"
+        " UNION ALL SELECT 'R-' || r_version, nickname, release_date, devel_version,"
+        " NULL::TIMESTAMP FROM found",
         "release_history": feeds.WITH_RELEASES
         + " SELECT * FROM releases ORDER BY release_date DESC NULLS LAST, r_version, nickname,"
         " devel_version, detected_at LIMIT 200 OFFSET 1000",

@@ -32,17 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread_if_coarse(df: DataFrame) -> DataFrame:
-    """Rows over all cores if the table is stored in fewer pieces than there are cores.
-
-    A table of many files, as any large one, is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *df.columns)
-
-
 def _text(column: str | Column) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
@@ -80,7 +69,7 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
     )
-    return _spread_if_coarse(lines).select(
+    return lines.select(
         name.alias("file_name"), F.concat(quantity, F.lit("K")).alias("size")
     )
 
@@ -219,8 +208,7 @@ archive AS (
 archive_parsed AS (
   SELECT file_name, size,
          split_part(file_name, '/', 1) AS "Package",
-         CASE WHEN file_name LIKE '%_x.tar.gz' THEN ''
-              ELSE replace(split_part(file_name, '_', 2), '.tar.gz', '') END AS "Version"
+         regexp_extract(file_name, '_([0-9.-]+)\\.tar\\.gz$', 1) AS "Version"
   FROM archive)"""
 
 _DOCUMENTS_SQL = """
@@ -263,19 +251,15 @@ def sql_version_key(text: str) -> str:
 
 
 def _classified_sql(name: str, packages: str) -> str:
-    """Every package row with its advisories; ranks say how far the version has come."""
+    """Every package row with its advisories and the safety status."""
     version = sql_version_key('p."Version"')
     return f"""
 {name} AS (
   SELECT p.*, l.osv_id,
-         CASE greatest(
-                CASE WHEN l.osv_id IS NOT NULL
-                      AND {version} >= {sql_version_key("l.fixed_v")}
-                     THEN 2 ELSE 0 END,
-                CASE WHEN l.osv_id IS NOT NULL
-                      AND {version} >= {sql_version_key("l.introduced_v")}
-                     THEN 1 ELSE 0 END)
-           WHEN 2 THEN 'FIXED' WHEN 1 THEN 'VULNERABLE' ELSE 'SAFE' END AS osv_safety_status
+         CASE WHEN l.osv_id IS NULL THEN 'SAFE'
+              WHEN {version} >= {sql_version_key("l.fixed_v")} THEN 'FIXED'
+              WHEN {version} >= {sql_version_key("l.introduced_v")} THEN 'VULNERABLE'
+              ELSE 'SAFE' END AS osv_safety_status
   FROM {packages} p LEFT JOIN lookup l USING ("Package"))"""
 
 

@@ -11,24 +11,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgwarden.operators.spread import SPREAD, spread_stored
+from pkgwarden.sources.tables import settle
 
 _CELL = "_cell"
 _CELLS = "_cells"
+_SHARE = "_share"
+_SHARES = "_shares"
 _MATCHED = "_matched"
 
 
 @dataclass(frozen=True)
 class JoinLimits:
-    """When a side is broadcast, and when a key of the lookup is spread over several tasks.
+    """When a side is broadcast, and when a key is spread over several tasks.
 
-    At most ``max_hot_keys`` keys can be spread: a hot key has more than one ``max_hot_keys``-th
-    of all rows. That bounds the broadcast list of hot keys.
+    A key is hot if it has more than ``cell_rows`` entries in the lookup, or if its rows times its
+    entries pass ``cell_pairs``. Neither bound grows with the tables.
     """
 
     broadcast_rows: int = 2_000_000
     broadcast_bytes: int = 64 << 20
     cell_rows: int = 100_000
-    max_hot_keys: int = 10_000
+    cell_pairs: int = 20_000_000
 
 
 DEFAULT_LIMITS = JoinLimits()
@@ -79,10 +82,9 @@ def lookup_join(
     """Left or inner join of ``rows`` with ``lookup`` on one key column.
 
     A lookup whose measured size is within the limits is broadcast, so ``rows`` is not shuffled
-    at all. A larger one is joined by shuffle: a lookup key with many entries is cut into cells
-    that are joined in different tasks, while a key with many ``rows`` is split by the adaptive
-    skew handling of the shuffle join. ``size`` saves the measurement where it is known; with
-    ``broadcast_rows=0`` only an empty lookup is broadcast.
+    at all. A larger one is joined by shuffle, and a hot key is cut on both sides: its entries into
+    cells, its rows into shares, and each cell meets each share in a task of its own. ``size``
+    saves the measurement where it is known.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type: {how}")
@@ -92,37 +94,63 @@ def lookup_join(
         size = measure(lookup)
     if size.fits(limits):
         return rows.join(F.broadcast(lookup.drop(SPREAD)), key, how)
-    return _cell_join(rows, lookup, key, how, size, limits)
+    return _cell_join(rows, lookup, key, how, limits)
+
+
+def _hot_keys(rows: DataFrame, lookup: DataFrame, key: str, limits: JoinLimits) -> DataFrame:
+    """Each hot key with the number of cells of its entries and of shares of its rows.
+
+    Keys are counted within tasks first, so a hot key costs a row a task.
+    """
+    present = F.col(key).isNotNull()
+    entries = lookup.filter(present).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    probes = rows.filter(present).groupBy(key).agg(F.count(F.lit(1)).alias("m"))
+    cells = F.ceil(F.col("n") / limits.cell_rows)
+    shares = F.ceil(F.ceil(F.col("n") / F.col(_CELLS)) * F.col("m") / limits.cell_pairs)
+    counted = entries.join(probes, key).withColumn(_CELLS, cells.cast("int"))
+    return counted.withColumn(_SHARES, shares.cast("int")).filter(
+        (F.col(_CELLS) > 1) | (F.col(_SHARES) > 1)
+    ).select(key, _CELLS, _SHARES)
 
 
 def _cell_join(
-    rows: DataFrame, lookup: DataFrame, key: str, how: str, size: Size, limits: JoinLimits
+    rows: DataFrame, lookup: DataFrame, key: str, how: str, limits: JoinLimits
 ) -> DataFrame:
     lookup = spread_stored(lookup)
-    share = max(limits.cell_rows, -(-size.rows // limits.max_hot_keys))
-    hot = (
-        lookup.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > share)
-        .select(key, F.ceil(F.col("n") / share).cast("int").alias(_CELLS))
-    )
-    cells = F.coalesce(F.col(_CELLS), F.lit(1))
+    hot = settle(_hot_keys(rows, lookup, key, limits))
+    found = hot.agg(*_size_columns(hot), F.max(_SHARES).alias("shares")).first()
+    if found["rows"] == 0:
+        return rows.join(lookup.drop(SPREAD).hint("shuffle_merge"), key, how)
+    kept = SPREAD in rows.columns
+    if found["shares"] > 1:
+        # The share of a row must not change when a task runs again.
+        rows = spread_stored(rows)
+    if Size(found["rows"], found["bytes"]).fits(limits):
+        hot = F.broadcast(hot)
+    cells, shares = (F.coalesce(F.col(c), F.lit(1)) for c in (_CELLS, _SHARES))
+
+    def every(n: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    own_share = F.pmod(F.col(SPREAD), shares) if SPREAD in rows.columns else F.lit(0)
     entries = (
-        lookup.join(F.broadcast(hot), key, "left")
+        lookup.join(hot, key, "left")
         .withColumn(_CELL, F.pmod(F.col(SPREAD), cells))
+        .withColumn(_SHARE, every(shares))
         .withColumn(_MATCHED, F.lit(True))
-        .drop(_CELLS, SPREAD)
+        .drop(_CELLS, _SHARES, SPREAD)
     )
     # Each row meets every cell of its key once, and so each entry of the key once.
-    probes = rows.join(F.broadcast(hot), key, "left").withColumn(
-        _CELL, F.explode(F.sequence(F.lit(0), cells - 1))
+    probes = (
+        rows.join(hot, key, "left")
+        .withColumn(_SHARE, own_share)
+        .withColumn(_CELL, every(cells))
     )
-    joined = probes.join(entries.hint("shuffle_merge"), [key, _CELL], how)
+    joined = probes.join(entries.hint("shuffle_merge"), [key, _CELL, _SHARE], how)
     if how == "left":
         # A hot key has entries, so a cell without one is no missing match.
         joined = joined.filter(F.col(_CELLS).isNull() | F.col(_MATCHED))
-    return joined.drop(_CELL, _CELLS, _MATCHED)
+    return joined.drop(_CELL, _SHARE, _CELLS, _SHARES, _MATCHED, *([] if kept else [SPREAD]))
 
 
 def rows_absent(
@@ -146,6 +174,7 @@ def rows_absent(
     if Size(found["rows"], found["bytes"]).fits(limits):
         keys = F.broadcast(keys)
     else:
-        # Repeated keys are dropped before they are sent; the join uses the same exchange.
-        keys = keys.distinct()
+        # Written first: a join whose sides are plain exchanges can split a hot candidate key, one
+        # above an aggregation can not.
+        keys = settle(keys.distinct())
     return candidates.filter(F.col(key).isNotNull()).join(keys, key, "left_anti")

@@ -31,15 +31,29 @@ def comparable(data_type: T.DataType) -> bool:
     return isinstance(data_type, T.AtomicType) and not isinstance(data_type, T.BinaryType)
 
 
+def orderable(data_type: T.DataType) -> bool:
+    """Whether values of the type can be compared: all but maps and what holds or hides them."""
+    if isinstance(data_type, T.ArrayType):
+        return orderable(data_type.elementType)
+    if isinstance(data_type, T.StructType):
+        return all(orderable(f.dataType) for f in data_type.fields)
+    return isinstance(data_type, (T.AtomicType, T.NullType)) and not isinstance(
+        data_type, T.VariantType
+    )
+
+
 def total_order(df: DataFrame, keys: Sequence[SortKey]) -> list[SortKey]:
-    """The keys followed by all other columns, so that only equal rows are left unordered."""
+    """The keys followed by all other columns, so that only equal rows are left unordered.
+
+    Maps have no order and are left out.
+    """
     named = {key.column for key in keys}
     if len(named) < len(keys):
         raise ValueError("an order must not name a column twice")
     rest = [
         SortKey(f.name)
         for f in df.schema.fields
-        if f.name not in named and comparable(f.dataType)
+        if f.name not in named and orderable(f.dataType)
     ]
     return [*keys, *rest]
 

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pkgwarden.operators.filters import all_of
 from pkgwarden.operators.ordering import (
@@ -19,19 +20,25 @@ from pkgwarden.operators.ordering import (
     ordered,
     total_order,
 )
+from pkgwarden.sources.tables import settle
 from pkgwarden.streaming.delivery import json_rows
 
+# The page that is returned unless another one is asked for. So are the names of the
+# envelope below.
 DEFAULT_LIMIT = 100
 DEFAULT_OFFSET = 0
 
 # In a top-k each task keeps as many rows as the page ends at and hands them to one last task. A
-# page is a plain top-k only within these two bounds, counting a task per million rows.
-TOP_K_ROWS = 50_000
+# page is a plain top-k only within these bounds of its rows, its end and what all tasks hand over,
+# counting a task per million rows.
+PAGE_ROWS = 50_000
+TOP_K_ROWS = 500_000
 HANDED_ROWS = 20_000_000
 ROWS_PER_TASK = 1_000_000
 # Looking for the rows of a page: rows sampled at a time, and places compared in one counting
 # pass. More places per pass make a comparison that the JVM no longer compiles well.
 SAMPLED_ROWS = 5_000
+SAMPLED_BYTES = 16 << 20
 SPLITTERS = 15
 
 
@@ -55,9 +62,10 @@ class Page:
 
     def to_json(self) -> str:
         """``{"data": [...], "paging": {...}}``; brings the rows of this page to the driver."""
-        data = [json.loads(row["json"]) for row in json_rows(self.rows).collect()]
+        # The rows' own text: reading numbers back would change them.
+        data = ",".join(row["json"] for row in json_rows(self.rows).collect())
         paging = {"limit": self.limit, "offset": self.offset, "total": self.total}
-        return json.dumps({"data": data, "paging": paging}, ensure_ascii=False)
+        return f'{{"data": [{data}], "paging": {json.dumps(paging)}}}'
 
 
 def paged(
@@ -65,10 +73,12 @@ def paged(
     keys: Sequence[SortKey],
     limit: int = DEFAULT_LIMIT,
     offset: int = DEFAULT_OFFSET,
+    total: int | None = None,
+    stored: bool = False,
 ) -> Page:
-    """A page and the total, which is counted from the columns that the filters need."""
-    total = df.count()
-    return Page(page(df, keys, limit, offset, total), limit, offset, total)
+    """A page and the total, which is counted unless it is known."""
+    total = df.count() if total is None else total
+    return Page(page(df, keys, limit, offset, total, stored=stored), limit, offset, total)
 
 
 def page(
@@ -79,6 +89,7 @@ def page(
     total: int | None = None,
     top_k_rows: int = TOP_K_ROWS,
     handed_rows: int = HANDED_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of the ordered frame.
 
@@ -86,25 +97,35 @@ def page(
     near the start is a top-k, unless ``total``, the number of all rows if known (as it is to
     ``paged``), shows that the result is very large. Otherwise the rows of the page are looked up
     first, so that no task holds the skipped rows or a candidate page from every other task; this
-    needs columns whose values can be written as text.
+    needs columns whose values can be written as text. Looking up reads the frame several times,
+    so it is written once before, unless it is ``stored`` already.
     """
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
     order = total_order(df, keys)
     textual = all(comparable(f.dataType) for f in df.schema.fields)
-    if total is None and (offset + limit <= top_k_rows or not textual):
+    near = limit <= min(PAGE_ROWS, top_k_rows) and offset + limit <= top_k_rows
+    if total is None and (near or not textual):
         return ordered(df, order).offset(offset).limit(limit)
+    if total is not None:
+        end = min(offset + limit, total)
+        if offset >= end:
+            return df.filter(F.lit(False))
+        if not textual or (near and end * -(-total // ROWS_PER_TASK) <= handed_rows):
+            return ordered(df, order).offset(offset).limit(limit)
+    if not stored:
+        df = settle(df)
     if total is None:
         total = df.count()
-    end = min(offset + limit, total)
-    if offset >= end:
-        return df.filter(F.lit(False))
-    tasks = -(-total // ROWS_PER_TASK)
-    if not textual or (end <= top_k_rows and end * tasks <= handed_rows):
-        return ordered(df, order).offset(offset).limit(limit)
+        end = min(offset + limit, total)
+        if offset >= end:
+            return df.filter(F.lit(False))
     levels = [level for level in (order[: len(keys)], order[len(keys) :]) if level]
-    pieces = _look_up(_Gap(df, None, None, total), levels, offset, end, top_k_rows)
-    return ordered(reduce(DataFrame.unionByName, pieces), order).limit(end - offset)
+    pieces = _look_up(
+        _Gap(df, None, None, total), levels, offset, end, min(top_k_rows, PAGE_ROWS)
+    )
+    # The pieces are exactly the rows of the page, so nothing is cut off after sorting.
+    return ordered(reduce(DataFrame.unionByName, pieces), order)
 
 
 @dataclass(frozen=True)
@@ -202,19 +223,29 @@ def _look_up(
 
 
 def _sample_places(df: DataFrame, keys: Sequence[SortKey], rows: int) -> list[Position]:
-    """Different places in ascending order, from about ``SAMPLED_ROWS`` of the frame's rows."""
+    """Different places in ascending order, from about ``SAMPLED_ROWS`` of the frame's rows.
+
+    Fewer are sampled where their values are long: about ``SAMPLED_BYTES`` come to the driver.
+    """
     columns = df.select(*[F.col(f"`{key.column}`") for key in keys])
     types = tuple(f.dataType for f in columns.schema.fields)
     texts = [F.col(f"`{key.column}`").cast("string") for key in keys]
-    fraction, seed = SAMPLED_ROWS / rows, 0
-    sampled: list[tuple] = []
-    while not sampled:
+    long = F.sum(sum((F.coalesce(F.length(t), F.lit(0)) for t in texts), F.lit(16)))
+    wanted = SAMPLED_ROWS
+    if any(isinstance(t, T.StringType) for t in types):
+        mean = (columns.agg(long).first()[0] or 0) / max(rows, 1)
+        wanted = max(SPLITTERS, min(SAMPLED_ROWS, int(SAMPLED_BYTES / max(mean, 1))))
+    fraction, seed = wanted / rows, 0
+    while True:
         sample = columns.sample(min(1.0, fraction), seed)
         # The limit makes this a top-k, which needs no range sort; it is above the sample's size.
-        rows_in_order = ordered(sample, keys).limit(2 * SAMPLED_ROWS)
+        rows_in_order = ordered(sample, keys).limit(2 * wanted)
         sampled = [tuple(row) for row in rows_in_order.select(*texts).collect()]
+        if sampled:
+            return [Position(tuple(keys), types, values) for values in dict.fromkeys(sampled)]
+        if fraction >= 1.0:
+            raise RuntimeError("the rows to be paged differ each time they are read")
         fraction, seed = 2 * fraction, seed + 1
-    return [Position(tuple(keys), types, values) for values in dict.fromkeys(sampled)]
 
 
 def _count_around(df: DataFrame, places: Sequence[Position]) -> list[tuple[int, int]]:

@@ -3,7 +3,8 @@
 Every version lives in a directory of its own. Its tables are written and checked first; the
 manifest row that names the directory is appended last, by one task whose output Spark commits
 in one step. Readers look the manifest up once, so they see a whole version or the one before;
-whatever a failed refresh left behind is never named. One refresh runs at a time.
+whatever a failed refresh left behind is never named. Of refreshes that run at the same time one
+is published and the others raise.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgwarden.functions.version import register_version_function, version_key
+from pkgwarden.operators.filters import status_is, wanted_status
 from pkgwarden.operators.joins import DEFAULT_LIMITS, JoinLimits, Size, measure
 from pkgwarden.operators.paging import Page
 from pkgwarden.operators.spread import SPREAD, with_spread
-from pkgwarden.operators.tables import log_entry, next_run, now, require_unique
+from pkgwarden.operators.tables import next_run, now, require_unique
 from pkgwarden.plans import records
 from pkgwarden.plans.advisories import (
     DEFAULT_ECOSYSTEM,
@@ -33,6 +35,7 @@ from pkgwarden.plans.advisories import (
     with_version_keys,
 )
 from pkgwarden.plans.safety import (
+    REPORT_COLUMNS,
     SEARCH_COLUMNS,
     VERSION_KEY,
     package_safety_report,
@@ -61,13 +64,11 @@ RUNS = "data_refresh_log"
 SEARCH = "packages_search"
 REPORT = "package_safety_report"
 LOG = "logs"
+STATUS = "osv_safety_status"
 SUCCESS = "SUCCESS"
 
-# The partition column comes last, as Spark reads it back.
-SEARCH_STORED = (*SEARCH_COLUMNS[:-1], SPREAD, SEARCH_COLUMNS[-1])
-
 # The tables of one version, in the order in which they are written.
-VERSIONED = (CURRENT, ARCHIVE, FLAT, LOOKUP, RELEASE, HISTORY, RUNS, SEARCH)
+VERSIONED = (CURRENT, ARCHIVE, FLAT, LOOKUP, RELEASE, HISTORY, RUNS, SEARCH, REPORT)
 
 MANIFEST = struct(
     run_id=T.IntegerType(),
@@ -79,6 +80,10 @@ MANIFEST = struct(
 )
 
 
+class PublicationConflict(RuntimeError):
+    """Another refresh has published since this one began; this one is not published."""
+
+
 @dataclass(frozen=True)
 class Feeds:
     """Where the feeds are, below one base directory, and how they are laid out."""
@@ -111,11 +116,14 @@ class PackageStore:
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    def _manifest_rows(self) -> DataFrame:
+        """All published versions, the current one first; none where nothing is stored."""
+        rows = tables.scan_or_empty(self.spark, self._path("manifest"), MANIFEST)
+        return rows.orderBy(F.desc("run_id"), "published_at", "version")
+
     def manifest(self) -> Row | None:
         """The manifest row of the current version, or none before the first refresh."""
-        tables.create_if_missing(self.spark, self._path("manifest"), MANIFEST)
-        rows = tables.scan(self.spark, self._path("manifest"), MANIFEST)
-        return rows.orderBy(F.desc("run_id"), "published_at").limit(1).first()
+        return self._manifest_rows().limit(1).first()
 
     def current(self) -> PublishedVersion:
         """The current version; keep it for queries that belong together."""
@@ -127,12 +135,12 @@ class PackageStore:
     # ---- log messages ------------------------------------------------------------------
 
     def log_table(self) -> DataFrame:
-        tables.create_if_missing(self.spark, self._path(LOG), LOGS)
-        return tables.scan(self.spark, self._path(LOG), LOGS)
+        return tables.scan_or_empty(self.spark, self._path(LOG), LOGS)
 
     def log(self, message: str) -> None:
         """Append one message with the current time."""
-        tables.append(log_entry(self.log_table(), message), self._path(LOG))
+        row = self.spark.range(0, 1, numPartitions=1).select(F.lit(message).alias("msg"))
+        tables.append(row, self._path(LOG), LOGS, {"ts": now()})
 
     def logs(self, level=None, limit=None, offset=None, format=None) -> DataFrame | Page:
         return records.logs(self.log_table(), level, limit, offset, format)
@@ -143,7 +151,10 @@ class PackageStore:
     # ---- refresh -----------------------------------------------------------------------
 
     def refresh(self, source: Feeds, message: str) -> PublishedVersion:
-        """Stage all feeds, publish them as the next version, then log the message."""
+        """Stage all feeds, publish them as the next version, then log the message.
+
+        Raises ``PublicationConflict`` if another refresh published meanwhile.
+        """
         spark, previous = self.spark, self.manifest()
         version = f"versions/{uuid.uuid4().hex}"
 
@@ -198,25 +209,47 @@ class PackageStore:
             stage_runs,
         )
 
-        # Rows of one status lie together, in files of even size, so that a status filter reads
-        # only those. Only current packages are stored this way; the full report stays a query.
-        search_path = self._path(f"{version}/{SEARCH}")
-        found = with_spread(packages_search(catalogue, lookup, size=size, limits=self.limits))
-        found.hint("rebalance", "osv_safety_status").write.mode("overwrite").partitionBy(
-            "osv_safety_status"
-        ).parquet(search_path)
-        searchable = tables.scan(spark, search_path, found.select(*SEARCH_STORED).schema)
+        def stage_classified(name: str, df: DataFrame) -> DataFrame:
+            # Rows of one status lie together, in files of even size, so that a status filter
+            # reads only those. The partition column comes last, as Spark reads it back.
+            path = self._path(f"{version}/{name}")
+            found = with_spread(df)
+            found.hint("rebalance", STATUS).write.mode("overwrite").partitionBy(STATUS).parquet(path)
+            order = [c for c in found.columns if c != STATUS]
+            return tables.scan(spark, path, found.select(*order, STATUS).schema)
 
+        searchable, report = _side_by_side(
+            spark,
+            lambda: stage_classified(
+                SEARCH, packages_search(catalogue, lookup, size=size, limits=self.limits)
+            ),
+            lambda: stage_classified(
+                REPORT,
+                package_safety_report(catalogue, archive, lookup, size=size, limits=self.limits),
+            ),
+        )
         staged = dict(
             zip(
                 VERSIONED,
-                (catalogue, archive, flat, lookup, release, history, runs, searchable),
+                (catalogue, archive, flat, lookup, release, history, runs, searchable, report),
                 strict=True,
             )
         )
-        self._publish(version, staged, _row_counts(staged), size.bytes)
+        entry = self._publish(version, previous, staged, _row_counts(staged), size.bytes)
         self.log(message)
-        return self.current()
+        return PublishedVersion(self, entry)
+
+    def expire(self, keep: int = 2) -> list[str]:
+        """Delete the tables of all but the newest ``keep`` versions; returns what was deleted.
+
+        The current version always stays. The manifest keeps its rows, which name no tables then.
+        """
+        if keep < 1:
+            raise ValueError("the current version cannot be deleted")
+        names = [row["version"] for row in self._manifest_rows().select("version").collect()]
+        return [
+            name for name in names[keep:] if tables.delete(self.spark, self._path(name))
+        ]
 
     def _catalogue(self, source: Feeds) -> DataFrame:
         raw = feeds.read_catalogue(
@@ -233,10 +266,17 @@ class PackageStore:
     def _publish(
         self,
         version: str,
+        previous: Row | None,
         staged: dict[str, DataFrame],
         counts: dict[str, int],
         lookup_bytes: int,
-    ) -> None:
+    ) -> Row:
+        """Append the manifest row, and make sure that it is the only one of its run.
+
+        Of two refreshes that began with the same version, the first to be published stays current
+        and the other raises.
+        """
+        self._require_current(previous["version"] if previous else None)
         row = staged[RUNS].agg(F.max("run_id").alias("run_id")).select(
             "run_id",
             F.lit(version).alias("version"),
@@ -248,6 +288,15 @@ class PackageStore:
         tables.append(
             row.select(*[F.col(f.name).cast(f.dataType) for f in MANIFEST]), self._path("manifest")
         )
+        return self._require_current(version)
+
+    def _require_current(self, version: str | None) -> Row | None:
+        newest = self.manifest()
+        if (newest["version"] if newest else None) != version:
+            raise PublicationConflict(
+                f"{newest['version'] if newest else 'nothing'} is current, not {version}"
+            )
+        return newest
 
 
 def _side_by_side(spark: SparkSession, *steps: Callable) -> list:
@@ -307,15 +356,10 @@ class PublishedVersion:
         return self.table(SEARCH).select(*SEARCH_COLUMNS)
 
     def package_safety_report(self, status: str | None = None) -> DataFrame:
-        """Classified current and archived versions, from the staged tables and their keys."""
-        return package_safety_report(
-            self.table(CURRENT),
-            self.table(ARCHIVE),
-            self.table(LOOKUP),
-            status,
-            self.lookup_size,
-            self.store.limits,
-        )
+        """Classified current and archived versions, as stored by the refresh."""
+        wanted = status_is(STATUS, status)
+        stored = self.table(REPORT) if wanted is None else self.table(REPORT).filter(wanted)
+        return stored.select(*REPORT_COLUMNS)
 
     def search_packages(
         self,
@@ -327,8 +371,18 @@ class PublishedVersion:
         offset=None,
         format=None,
     ) -> DataFrame | Page:
+        unfiltered = not term and wanted_status(status) is None
         return search_view(
-            self.table(SEARCH), term, status, sort_by, sort_order, limit, offset, format
+            self.table(SEARCH),
+            term,
+            status,
+            sort_by,
+            sort_order,
+            limit,
+            offset,
+            format,
+            total=self.entry["row_counts"][SEARCH] if unfiltered else None,
+            stored=True,
         )
 
     def release_history(self, limit=None, offset=None, format=None) -> DataFrame | Page:

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from pkgwarden.functions.safety import FIXED, VULNERABLE, safety_status
 from pkgwarden.functions.text import archive_package, archive_version
 from pkgwarden.functions.version import version_key
+from pkgwarden.operators.filters import wanted_status
 from pkgwarden.operators.joins import DEFAULT_LIMITS, JoinLimits, Size, lookup_join
 from pkgwarden.operators.tables import union_padded
 from pkgwarden.plans.advisories import with_version_keys
 
 VERSION_KEY = "version_key"
 
+# The columns of the two relations, in their order.
 REPORT_COLUMNS = (
     "Package",
     "Version",
@@ -80,11 +82,13 @@ def classify(
 ) -> DataFrame:
     """Package versions with every advisory range of their package, and the safety status.
 
+    ``status`` may be in any case; an empty one and ``ALL`` are no filter.
     A package without advisory keeps one row. ``status`` keeps the rows of one status: a fixed or
     vulnerable row always has an advisory, so an inner join with the ranges that can give this
     status is enough. Version keys stored with the inputs are used; otherwise a row's key is
     computed once, and only where an advisory matched.
     """
+    status = wanted_status(status)
     if "fixed_key" not in lookup.columns:
         lookup = with_version_keys(lookup)
     how = "left"

@@ -76,8 +76,13 @@ def deliver(
     offset: int | None,
     format: str | None,
     default_order: list[SortKey],
+    total: int | None = None,
+    stored: bool = False,
 ) -> DataFrame | Page:
-    """A page with its total, or for ``ndjson`` the whole result, ordered if keys are given."""
+    """A page with its total, or for ``ndjson`` the whole result, ordered if keys are given.
+
+    ``total`` is the number of rows if known; ``stored`` says that the frame reads stored rows.
+    """
     if format == NDJSON:
         return df.drop(SPREAD) if keys is None else ordered_whole(df, keys)
     return paged(
@@ -85,6 +90,8 @@ def deliver(
         default_order if keys is None else keys,
         DEFAULT_LIMIT if limit is None else limit,
         DEFAULT_OFFSET if offset is None else offset,
+        total,
+        stored,
     )
 
 
@@ -97,6 +104,8 @@ def search_view(
     limit: int | None = None,
     offset: int | None = None,
     format: str | None = None,
+    total: int | None = None,
+    stored: bool = False,
 ) -> DataFrame | Page:
     """Search an already classified frame with the columns of ``packages_search``.
 
@@ -105,7 +114,7 @@ def search_view(
     """
     found = matching(searchable, term, status)
     keys = None if sort_by is None else sort_keys(sort_by, sort_order)
-    return deliver(found, keys, limit, offset, format, sort_keys())
+    return deliver(found, keys, limit, offset, format, sort_keys(), total, stored)
 
 
 def search_packages(

@@ -7,7 +7,7 @@ from pkgwarden.sources.feeds import (
     read_catalogue,
     read_delimited,
     read_key_values,
-    records_span_lines,
+    files_with_long_records,
 )
 from pkgwarden.sources.tables import append, create_if_missing, replace, scan
 
@@ -20,7 +20,7 @@ __all__ = [
     "read_catalogue",
     "read_delimited",
     "read_key_values",
-    "records_span_lines",
+    "files_with_long_records",
     "replace",
     "scan",
 ]

@@ -6,8 +6,10 @@ A malformed record or a missing path raises; nothing is skipped silently.
 from __future__ import annotations
 
 from collections.abc import Collection
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,16 +26,20 @@ def feed_path(base_dir: str, file: str) -> str:
     return f"{base_dir.rstrip('/')}/{file.lstrip('/')}"
 
 
-def records_span_lines(spark: SparkSession, path: str, quote: str = '"') -> bool:
-    """Whether a quoted field holds a line break anywhere in the files.
+def files_with_long_records(
+    spark: SparkSession, path: str, quote: str = '"'
+) -> tuple[list[str], list[str]]:
+    """Files in which a quoted field holds a line break, and the other files.
 
     A record that goes on in the next line leaves an open quote, so its first line has an odd
-    number of quote characters. Without such a line every line is a whole record, and the files
-    can be split freely instead of being read by one task each.
+    number of quote characters. Without such a line every line is a whole record, and the file
+    can be split freely instead of being read by one task. One row a file comes to the driver.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.text(path).withColumn("file", F.input_file_name())
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote), F.lit("")))
-    return not lines.filter(quotes % 2 == 1).isEmpty()
+    found = lines.groupBy("file").agg(F.max(quotes % 2).alias("odd")).collect()
+    files = sorted((unquote(row["file"]), row["odd"] == 1) for row in found)
+    return [f for f, odd in files if odd], [f for f, odd in files if not odd]
 
 
 def read_delimited(
@@ -48,31 +54,48 @@ def read_delimited(
     """Delimited text with a header line and doubled quotes inside quoted fields.
 
     ``text_columns`` stay text; the type of every other column is inferred, which reads the files
-    once more, unless ``schema`` gives all types. ``multi_line`` says whether quoted fields may
-    hold line breaks; by default the files are checked, so that only files that need it are read
-    unsplit.
+    once more, unless ``schema`` gives all types. A given schema must have the text columns, as
+    text. ``multi_line`` says whether quoted fields may hold line breaks; by default the files are
+    checked, and only those that need it are read unsplit.
     """
+
+    def reader(unsplit: bool) -> DataFrameReader:
+        return spark.read.options(
+            sep=delimiter, quote=quote, escape=quote, header=True, mode="FAILFAST",
+            multiLine=unsplit,
+        )
+
+    parts: list[tuple[str | list[str], bool]] = [(path, bool(multi_line))]
     if multi_line is None:
-        multi_line = records_span_lines(spark, path, quote)
-    reader = spark.read.options(
-        sep=delimiter, quote=quote, escape=quote, header=True, mode="FAILFAST", multiLine=multi_line
-    )
+        long, short = files_with_long_records(spark, path, quote)
+        if long:
+            parts = [(files, unsplit) for files, unsplit in ((short, False), (long, True)) if files]
+    unsplit = any(u for _, u in parts)
     if schema is None:
-        names = reader.csv(path).schema.names
+        names = reader(unsplit).csv(path).schema.names
         absent = sorted(set(text_columns) - set(names))
         if absent:
             raise ValueError(f"columns {absent} are not in {path}: {names}")
         if set(names) <= set(text_columns):
             schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
         else:
-            inferred = reader.options(inferSchema=True).csv(path).schema
+            inferred = reader(unsplit).options(inferSchema=True).csv(path).schema
             schema = T.StructType(
                 [
                     T.StructField(f.name, T.StringType() if f.name in text_columns else f.dataType)
                     for f in inferred
                 ]
             )
-    return reader.options(inferSchema=False, enforceSchema=False).schema(schema).csv(path)
+    else:
+        kinds = {f.name: f.dataType for f in schema.fields}
+        wrong = sorted(n for n in text_columns if not isinstance(kinds.get(n), T.StringType))
+        if wrong:
+            raise ValueError(f"columns {wrong} must be text in the schema of {path}")
+    frames = [
+        reader(u).options(inferSchema=False, enforceSchema=False).schema(schema).csv(files)
+        for files, u in parts
+    ]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def read_catalogue(

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -23,6 +26,16 @@ def scan(spark: SparkSession, path: str, schema: T.StructType | None = None) ->
     return reader.parquet(path)
 
 
+def scan_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table, or no rows where nothing is stored; writes nothing."""
+    try:
+        return scan(spark, path, schema)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def replace(df: DataFrame, path: str) -> DataFrame:
     """Store the frame as the whole content of the table and return the stored table.
 
@@ -32,8 +45,30 @@ def replace(df: DataFrame, path: str) -> DataFrame:
     return scan(df.sparkSession, path, df.schema)
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Add rows to a table, creating it if missing."""
+def append(
+    df: DataFrame,
+    path: str,
+    schema: T.StructType | None = None,
+    defaults: Mapping[str, Column] | None = None,
+) -> None:
+    """Add rows to a table, creating it if missing.
+
+    With the ``schema`` of the table, columns that the rows lack are filled by their declared
+    defaults (null where none is declared) and columns that it does not have are refused.
+    """
+    if schema is not None:
+        unknown = sorted(set(df.columns) - set(schema.names))
+        if unknown:
+            raise ValueError(f"columns {unknown} are not in the table: {schema.names}")
+        known = dict(defaults or {})
+        df = df.select(
+            *[
+                (F.col(f"`{f.name}`") if f.name in df.columns else known.get(f.name, F.lit(None)))
+                .cast(f.dataType)
+                .alias(f.name)
+                for f in schema.fields
+            ]
+        )
     df.write.mode("append").parquet(path)
 
 
@@ -65,3 +100,10 @@ def settle(df: DataFrame) -> DataFrame:
     executor reads the same values.
     """
     return replace(df, scratch_path(df.sparkSession, "settled"))
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a stored table or a folder of them; false where nothing is stored."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(place, True)

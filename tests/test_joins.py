@@ -16,7 +16,7 @@ from pkgwarden.operators import (
     spread_stored,
 )
 
-TIGHT = JoinLimits(broadcast_rows=0, cell_rows=5, max_hot_keys=1000)
+TIGHT = JoinLimits(broadcast_rows=0, cell_rows=5, cell_pairs=100)
 
 
 def frames(spark):
@@ -65,12 +65,48 @@ def test_large_lookup_is_shuffled_and_its_hot_key_is_spread(spark, plan_of):
     assert largest < hot / 3
 
 
-def test_number_of_hot_keys_is_bounded(spark):
-    """With few hot keys allowed a key must be a larger share of all rows to be spread."""
-    rows, lookup = frames(spark)
-    limits = JoinLimits(broadcast_rows=0, cell_rows=1, max_hot_keys=2)
-    expected = multiset(rows.join(lookup, "k", "left").select("k", "a", "b"))
-    assert multiset(lookup_join(rows, lookup, "k", limits=limits)) == expected
+def test_keys_hot_by_rows_times_entries_are_cut_on_both_sides(spark):
+    """No task emits more than a bounded share of a hot key's output, whatever the hot list's size."""
+    rows = spark.range(900).select(F.lit("hot").alias("k"), F.col("id").alias("a"))
+    rows = rows.unionByName(spark.sql("SELECT CAST(NULL AS STRING) AS k, 7L AS a"))
+    lookup = spark.range(90).select(F.lit("hot").alias("k"), F.col("id").alias("b"))
+    for hot_list in (1_000_000, 0):
+        limits = JoinLimits(hot_list, cell_rows=100, cell_pairs=10_000)
+        for how in ("left", "inner"):
+            size = Size(10**9, 10**12)
+            joined = lookup_join(rows, lookup, "k", how, size=size, limits=limits)
+            assert multiset(joined) == multiset(rows.join(lookup, "k", how).select("k", "a", "b"))
+            with_task = joined.filter("k = 'hot'").groupBy(F.spark_partition_id()).count()
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            try:
+                most = with_task.agg(F.max("count")).first()[0]
+            finally:
+                spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+            assert most < 81_000
+
+
+def test_hot_candidate_key_of_a_large_anti_join_is_split(spark, plan_of):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+        rows = spark.range(0, 30_000, 1, 8).select(
+            key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("a")
+        )
+        known = spark.range(300).select(F.concat(F.lit("k"), "id").alias("k"))
+        absent = rows_absent(rows, known, "k", limits=TIGHT)
+        assert len(absent.collect()) == rows.join(known, "k", "left_anti").count()
+        assert "skew=true" in plan_of(absent)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def test_measure(spark):
@@ -117,12 +153,11 @@ def test_key_with_many_rows_is_split_at_run_time(spark, plan_of):
         )
         lookup = spark.range(300).select(F.concat(F.lit("k"), "id").alias("k"), "id")
         lookup = lookup.unionByName(spark.range(20).select(F.lit("hot").alias("k"), "id"))
-        limits = JoinLimits(broadcast_rows=0, cell_rows=10, max_hot_keys=1000)
+        limits = JoinLimits(broadcast_rows=0, cell_rows=1000)
         joined = lookup_join(rows, lookup, "k", limits=limits)
         assert len(joined.collect()) == rows.join(lookup, "k", "left").count()
         plan = plan_of(joined)
         assert "SortMergeJoin(skew=true)" in plan
-        assert "ReusedExchange" in plan
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)

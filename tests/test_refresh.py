@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from pkgwarden.operators import (
     require_unique,
 )
 from pkgwarden.plans import records
+from pkgwarden.plans.refresh import PublicationConflict
 from pkgwarden.sources.schemas import RELEASE_HISTORY
 
 CATALOGUE = """Package;Version;Title;Description;Published;License;Date/Publication;Size
@@ -152,7 +154,7 @@ def test_views(spark, store, tmp_path):
             "logs",
         )
     }
-    assert counts.pop("package_safety_report") == 5
+    assert counts["package_safety_report"] == 5
     assert counts.pop("logs") == 1
     assert counts == {r["table_name"]: r["n_rows"] for r in version.row_counts().collect()}
     assert spark.table("stage_cran_archive").columns == ["file_name", "size"]
@@ -166,6 +168,75 @@ def test_views(spark, store, tmp_path):
     assert [r[0] for r in late.collect()] == ["abc"]
 
 
+def test_of_two_refreshes_from_one_version_one_raises(spark, store, tmp_path):
+    source = write_feeds(tmp_path / "feeds")
+    first = store.refresh(source, "first")
+    other = PackageStore(spark, store.root)
+    publish = other._publish
+
+    def late(*arguments):
+        store.refresh(source, "second")
+        return publish(*arguments)
+
+    other._publish = late
+    with pytest.raises(PublicationConflict):
+        other.refresh(source, "lost")
+    assert store.current().run_id == first.run_id + 1
+    assert [r["msg"] for r in store.log_table().orderBy("ts").collect()] == ["first", "second"]
+
+
+def test_conflict_after_the_append_is_noticed(store, tmp_path):
+    source = write_feeds(tmp_path / "feeds")
+    store.refresh(source, "first")
+    require, other = store._require_current, []
+
+    def meanwhile(version):
+        # The check before the append passes; then the other refresh publishes first.
+        found = require(version)
+        if not other:
+            other.append(1)
+            PackageStore(store.spark, store.root).refresh(source, "second")
+        return found
+
+    store._require_current = meanwhile
+    with pytest.raises(PublicationConflict):
+        store.refresh(source, "lost")
+    store._require_current = require
+    assert store.log_count() == 2
+    assert store.current().run_id == 2
+
+
+def test_reading_writes_nothing(store):
+    assert store.manifest() is None
+    assert store.log_count() == 0
+    assert not os.path.exists(store.root)
+
+
+def test_expire_keeps_the_current_version(store, tmp_path):
+    source = write_feeds(tmp_path / "feeds")
+    for name in ("a", "b", "c"):
+        last = store.refresh(source, name)
+    assert len(store.expire(keep=1)) == 2
+    assert store.expire(keep=1) == []
+    assert store.current().entry["version"] == last.entry["version"]
+    assert store.current().package_safety_report().count() == 5
+    with pytest.raises(ValueError, match="current"):
+        store.expire(keep=0)
+
+
+def test_status_of_the_report_in_any_case(store, tmp_path, plan_of):
+    version = store.refresh(write_feeds(tmp_path / "feeds"), "first")
+    whole = version.package_safety_report().count()
+    assert version.package_safety_report("all").count() == whole
+    assert version.package_safety_report("").count() == whole
+    for status in ("safe", "FIXED", "Vulnerable"):
+        expected = version.package_safety_report().filter(
+            F.col("osv_safety_status") == status.upper()
+        )
+        assert version.package_safety_report(status).count() == expected.count()
+    assert "PartitionFilters: [isnotnull" in plan_of(version.package_safety_report("fixed"))
+
+
 def test_large_lookup_gives_the_same_version(spark, tmp_path):
     source = write_feeds(tmp_path / "feeds")
     plain = PackageStore(spark, str(tmp_path / "plain")).refresh(source, "m")

@@ -12,7 +12,7 @@ from pkgwarden.sources import (
     read_catalogue,
     read_delimited,
     read_key_values,
-    records_span_lines,
+    files_with_long_records,
     tables,
 )
 
@@ -37,8 +37,8 @@ def test_quotes_and_line_breaks(spark, tmp_path):
 
 
 def test_line_breaks_are_detected(spark, tmp_path):
-    assert records_span_lines(spark, write(tmp_path, "q.csv", QUOTED))
-    assert not records_span_lines(spark, write(tmp_path, "p.csv", PLAIN))
+    assert files_with_long_records(spark, write(tmp_path, "q.csv", QUOTED))[0]
+    assert not files_with_long_records(spark, write(tmp_path, "p.csv", PLAIN))[0]
 
 
 def test_both_readings_agree_without_line_breaks(spark, tmp_path):
