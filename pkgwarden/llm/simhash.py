@@ -358,7 +358,8 @@ def with_component(marked: DataFrame, links: DataFrame, first: str) -> DataFrame
     least = labels.join(own, "mark").groupBy("label").agg(F.min("own").alias("least"))
     reached = labels.join(least, "label").select("mark", "least")
     found = own.join(reached, "mark", "left")
-    found = found.select("mark", F.coalesce("least", "own").alias("component"))
+    # Written, so that both sides of the last join are plain exchanges, which can be split.
+    found = settle(found.select("mark", F.coalesce("least", "own").alias("component")))
     return marked.join(found, "mark")
 
 
