@@ -47,10 +47,8 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; ``round_trip`` tells that they decode to its bytes."""
-    codec = bpe_tree(spark)
-    coded = docs.select("doc_id", "source", "text", codec.round_trip(F.col("text")).alias("coded"))
     whole = F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "source", "text", "coded.*").select(
+    return bpe_tree(spark).round_trip(docs.select("doc_id", "source", "text")).select(
         "doc_id",
         "source",
         F.size("ids").cast("long").alias("n_tokens"),

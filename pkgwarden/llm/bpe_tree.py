@@ -14,22 +14,27 @@ string. An unknown id makes decoding fail.
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Leaves of the tree, in bytes.
 LEAF = 8
-#: Runs of bytes, pairs and pieces a worker remembers (each); others are worked out each time.
+#: Pieces a worker remembers, and half as many runs of bytes and pairs; others are worked out
+#: each time.
 REMEMBERED = 200_000
 #: Longer runs are not remembered.
 LONGEST_REMEMBERED = 64
+#: Rows turned into Python objects at a time.
+ROWS_AT_ONCE = 128
 #: Ids joined at a leaf of the decoding tree.
 DECODE_LEAF = 4096
 
@@ -73,7 +78,7 @@ class TreeCodec:
                 costs[i] = rank(parts[i] + parts[i + 1], none)
             if i > 0:
                 costs[i - 1] = rank(parts[i - 1] + parts[i], none)
-        if len(self.runs) < REMEMBERED and len(data) <= LONGEST_REMEMBERED:
+        if len(self.runs) < REMEMBERED // 2 and len(data) <= LONGEST_REMEMBERED:
             self.runs[data] = parts
         return parts
 
@@ -82,7 +87,7 @@ class TreeCodec:
         known = self.pairs.get((left, right))
         if known is None:
             known = self.merge(left + right) == [left, right]
-            if len(self.pairs) < REMEMBERED:
+            if len(self.pairs) < REMEMBERED // 2:
                 self.pairs[left, right] = known
         return known
 
@@ -171,24 +176,39 @@ class BpeTree:
                 [None if x is None else own.decode_ids(x.tolist()) for x in ids], dtype=object
             )
 
-        both_type = T.StructType(
-            [T.StructField("ids", ids_type), T.StructField("decoded", T.BinaryType())]
-        )
+        def both(own: TreeCodec, batch: pa.RecordBatch, text: int) -> pa.RecordBatch:
+            ids = [own.encode_text(t) for t in batch.column(text).to_pylist()]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, np.concatenate(ids))
+            decoded = pa.array([own.decode_ids(x.tolist()) for x in ids], pa.binary())
+            names = [*batch.schema.names, "ids", "decoded"]
+            return pa.RecordBatch.from_arrays([*batch.columns, lists, decoded], names)
 
-        @F.pandas_udf(both_type)
-        def both(texts: pd.Series) -> pd.DataFrame:
-            own = worker_codec(path, pattern, shared)
-            ids = [own.encode_text(t) for t in texts]
-            return pd.DataFrame({"ids": ids, "decoded": [own.decode_ids(x.tolist()) for x in ids]})
+        def round_trips(text: int) -> Callable:
+            def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = worker_codec(path, pattern, shared)
+                for batch in batches:
+                    # Small results: a batch of long texts would have very many ids.
+                    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                        yield both(own, batch.slice(at, ROWS_AT_ONCE), text)
 
-        self._encode, self._decode, self._both = encode, decode, both
+            return work
 
-    def round_trip(self, text: Column) -> Column:
-        """``ids`` and ``decoded`` of a text.
+        self._encode, self._decode, self._round_trips = encode, decode, round_trips
 
-        Decoding a column of ids just encoded would make Spark encode each text twice.
+    def round_trip(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """Add ``ids`` and ``decoded`` (what the ids stand for) of every whole text.
+
+        Columns of these names that the documents have already are replaced. Decoding a column of
+        ids just encoded would make Spark encode each text twice.
         """
-        return self._both(text)
+        kept = docs.select(*[c for c in docs.columns if c not in ("ids", "decoded")])
+        schema = (
+            T.StructType(list(kept.schema.fields))
+            .add("ids", T.ArrayType(T.IntegerType()))
+            .add("decoded", T.BinaryType())
+        )
+        return kept.mapInArrow(self._round_trips(kept.columns.index(text)), schema)
 
     def encode(self, text: Column) -> Column:
         """The token ids of a text."""

@@ -114,10 +114,8 @@ def digest_of_ids(ids: Column) -> Column:
 
 
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    codec = bpe_tree(spark)
-    coded = docs.select("doc_id", codec.round_trip(F.col("text")).alias("coded"))
-    return coded.select("doc_id", "coded.*").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_tree(spark).round_trip(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         digest_of_ids(F.col("ids")).alias("ids_sha256"),
