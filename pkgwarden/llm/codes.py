@@ -69,6 +69,14 @@ def chunks(texts: Sequence[str | None], limit: int = CHUNK_CHARS) -> Iterator[sl
         yield slice(start, len(texts))
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """A column name that is not taken."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 

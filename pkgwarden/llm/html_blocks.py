@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pkgwarden.llm.codes import unused
+
 # ---- blocks --------------------------------------------------------------------------------
 
 #: Names of elements.
@@ -336,7 +338,10 @@ def main_text(blocks: list[Block], tree: DecisionTree) -> str:
 def extract_main_text(
     pages: DataFrame, column: str = "html", tree: DecisionTree | None = None
 ) -> DataFrame:
-    """Add ``main_text`` and ``n_blocks`` (blocks with text) of every whole page."""
+    """Add ``main_text`` and ``n_blocks`` (blocks with text) of every whole page.
+
+    Columns of these names that the pages have already are replaced.
+    """
     own = tree or train()
     result = T.StructType(
         [T.StructField("main_text", T.StringType()), T.StructField("n_blocks", T.LongType())]
@@ -353,5 +358,7 @@ def extract_main_text(
                 }
             )
 
-    found = pages.withColumn("_found", extract(F.col(column)))
-    return found.select(*pages.columns, "_found.*")
+    kept = [c for c in pages.columns if c not in result.names]
+    name = unused("found", pages.columns)
+    found = pages.withColumn(name, extract(F.col(column)))
+    return found.select(*kept, f"{name}.*")

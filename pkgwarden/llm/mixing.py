@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pkgwarden.llm.codes import unused
 from pkgwarden.sources.tables import settle
 
 MOST_COPIES = 3
@@ -214,19 +215,24 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     key, text, source = (options.get(n, d) for n, d in (
         ("key", "doc_id"), ("text", "text"), ("source", "source")))
+    names = [unused(n, docs.columns) for n in ("of_key", "of_source", "of_text", "copies", "row")]
+    of_key, of_source, of_text, copies, row = names
     counted = (
         mix_sources(docs, **options)
-        .groupBy(F.col(key).alias("_key"), F.col("source").alias("_source"), "text_key")
-        .agg(F.sum("copies").alias("_copies"))
-        .filter("_copies > 0")
+        .groupBy(
+            F.col(key).alias(of_key), F.col("source").alias(of_source), F.col("text_key").alias(of_text)
+        )
+        .agg(F.sum("copies").alias(copies))
+        .filter(F.col(copies) > 0)
     )
     text_key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
     first = Window.partitionBy(docs[key], docs[source], text_key).orderBy(F.lit(0))
     found = docs.join(
         counted,
-        docs[key].eqNullSafe(F.col("_key"))
-        & docs[source].eqNullSafe(F.col("_source"))
-        & (text_key == F.col("text_key")),
-    ).withColumn("_row", F.row_number().over(first))
-    repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    return found.filter("_row = 1").withColumn("_copy", repeated).select(docs.columns)
+        docs[key].eqNullSafe(F.col(of_key))
+        & docs[source].eqNullSafe(F.col(of_source))
+        & (text_key == F.col(of_text)),
+    ).withColumn(row, F.row_number().over(first))
+    repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    once = found.filter(F.col(row) == 1).withColumn(row, repeated)
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])

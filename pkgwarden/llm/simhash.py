@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pkgwarden.llm.codes import U64, mix
+from pkgwarden.llm.codes import U64, mix, unused
 from pkgwarden.llm.components import connected_components
 from pkgwarden.sources.tables import settle
 
@@ -229,7 +229,10 @@ _KEYED = T.StructType([T.StructField("key", T.LongType()), T.StructField("mark",
 def with_fingerprints(
     docs: DataFrame, words: int = 3, lanes: int = 1, bands: Bands | None = None, text: str = "text"
 ) -> DataFrame:
-    """Add ``mark`` (binary) and, with bands, ``keys`` (the blocks of the minimum hashes)."""
+    """Add ``mark`` (binary) and, with bands, ``keys`` (the blocks of the minimum hashes).
+
+    Columns of these names that the documents have already are replaced.
+    """
     fields = [T.StructField("mark", T.BinaryType())]
     if bands:
         fields.append(T.StructField("keys", T.ArrayType(T.LongType())))
@@ -245,8 +248,9 @@ def with_fingerprints(
                 keys.append(bands.keys(hashes, multipliers))
         return pd.DataFrame({"mark": marks, "keys": keys} if bands else {"mark": marks})
 
-    found = docs.withColumn("_found", compute(F.col(text)))
-    return found.select(*docs.columns, "_found.*")
+    kept = [c for c in docs.columns if c not in ("mark", "keys")]
+    name = unused("found", docs.columns)
+    return docs.withColumn(name, compute(F.col(text))).select(*kept, f"{name}.*")
 
 
 def pigeonhole_blocks(marks: DataFrame, radius: int, parts: int) -> DataFrame:
@@ -410,5 +414,6 @@ def keep_one_of_each(
     found = docs.join(kept, on, "left_semi")
     # Repeated rows of one key and text are still there; they were brought together by the join.
     repeat = Window.partitionBy(docs[key], text_key).orderBy(F.lit(0))
-    numbered = found.withColumn("_repeat", F.row_number().over(repeat))
-    return numbered.filter("_repeat = 1").drop("_repeat")
+    name = unused("repeat", docs.columns)
+    numbered = found.withColumn(name, F.row_number().over(repeat))
+    return numbered.filter(F.col(name) == 1).drop(name)

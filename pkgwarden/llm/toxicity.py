@@ -71,11 +71,14 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """The model of feature rows and their labels (0 or 1); without both labels, a constant one."""
+    """The model of feature rows and their labels (0 or 1).
+
+    Without both labels it is constant: toxic if there are toxic labels only, clean otherwise.
+    """
     size = 1 << BUCKET_BITS
     labels = np.asarray(labels, np.float64)
     positive = float(labels.sum())
-    prior = np.log((TOXIC_WEIGHT * positive + 1) / (len(labels) - positive + 1))
+    prior = np.log((TOXIC_WEIGHT * positive + 0.5) / (len(labels) - positive + 1.5))
     if positive in (0.0, float(len(labels))):
         return Model(np.zeros(size), float(prior))
     # Rows are worked on in parts, so that little more than the features is in memory.

@@ -143,7 +143,7 @@ def remove_repeats(
         hashes = np.unique(_Batch(table, size).hashes)
         share = (hashes >> U64(64 - bits)).astype(np.int64)
         names, first = np.unique(share, return_index=True)
-        ends = np.append(first[1:], len(hashes))
+        ends = np.append(first[1:], len(hashes))[: len(first)]
         blobs = [hashes[s:e].tobytes() for s, e in zip(first, ends, strict=True)]
         return pa.table(
             {
@@ -169,7 +169,7 @@ def remove_repeats(
         told, known = owner[by_hash][later], sorted_hashes[later]
         order = np.argsort(told, kind="stable")
         names, first = np.unique(told[order], return_index=True)
-        ends = np.append(first[1:], len(told))
+        ends = np.append(first[1:], len(told))[: len(first)]
         known = known[order]
         return pa.table(
             {
