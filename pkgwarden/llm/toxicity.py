@@ -11,6 +11,7 @@ the intercept. Labels that are null are left out; of several labels of one id ea
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
@@ -148,9 +149,11 @@ def train(
         .collect()
     )
     # In a fixed order, so that sums do not depend on the order of tasks.
-    found.sort(key=lambda row: (row[0], bytes(row[1])))
-    rows = [np.frombuffer(bytes(row[1]), np.int32) for row in found]
-    return fit(rows, np.array([row[0] for row in found], np.float64))
+    found.sort(key=lambda row: (row[0], hashlib.sha256(row[1]).digest()))
+    labels_found = np.array([row[0] for row in found], np.float64)
+    rows = [np.frombuffer(row[1], np.int32) for row in found]
+    del found
+    return fit(rows, labels_found)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
