@@ -4,13 +4,14 @@ The tree is fitted on a bounded sample of distinct vectors (``FIT_ROWS``, those
 hash) and has at most ``MAX_LEAVES`` leaves, so it is small enough to broadcast. Every vector is
 put into a leaf. A query walks the tree through a priority queue, the node of the largest inner
 product of query and centroid first, and visits leaves in that order. How many it visits is
-calibrated: visits are doubled until ``RECALL`` of the true neighbours of sampled queries, found by
-comparing them with every vector, lie in the leaves visited. Leaves are visited further while they
+calibrated: visits grow by a quarter until ``RECALL`` of the true neighbours of sampled queries,
+found by comparing them with every vector, lie in the leaves visited. Leaves are visited further while they
 hold fewer rows than asked for.
 
 Equal vectors are one candidate, with its ``k + 1`` smallest ids (no further one can be among the
-``k`` nearest of any query), so copies cannot fill a leaf. Queries and candidates of a leaf meet in
-blocks of bounded size. Scores are summed in double precision from the first component to the last.
+``k`` nearest of any query), so copies cannot fill a leaf. Neighbouring
+leaves form blocks of bounded size; a query is sent once to each block of which it visits a leaf, and
+a block returns the nearest of the leaves visited. Scores are summed in double precision from the first component to the last.
 
 Vectors that are null, zero, or hold null, nan or infinite components take no part, neither do
 those of another length than most. Of several vectors of one id the smallest counts; an id that is
@@ -25,23 +26,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgwarden.sources.tables import settle
 
 #: Vectors the tree is fitted on, at most.
-FIT_ROWS = 50_000
+FIT_ROWS = 20_000
 #: Children of a node, vectors of a leaf in the mean, leaves at most.
 BRANCHES = 16
 LEAF_ROWS = 200
 MAX_LEAVES = 4_096
 #: Queries that visits are calibrated with, at most, and the share of neighbours to be found.
 CALIBRATED = 200
-RECALL = 0.98
-#: Queries and candidates of a leaf that meet in one task, at most.
-BLOCK = 2_048
+RECALL = 0.95
+#: Vectors of a block of leaves, and queries that meet it in one task, at most about.
+BLOCK = 16_384
+QUERY_BLOCK = 4_096
+#: Queries multiplied with a block at a time.
+AT_ONCE = 256
 
 
 # ---- the tree ------------------------------------------------------------------------------
@@ -134,20 +138,27 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest_of(
-    queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, count: int
+    queries: np.ndarray,
+    rows: np.ndarray,
+    ids: np.ndarray,
+    count: int,
+    allowed: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``count`` rows of the largest inner product of each query, ties to the smaller id.
 
-    Returns positions of queries, positions of rows and exact scores. Rows that a matrix product
-    cannot tell from the last place are all scored exactly.
+    ``allowed`` tells which rows a query may find. Returns positions of queries, positions of rows
+    and exact scores. Rows that a matrix product cannot tell from the last place are all scored
+    exactly.
     """
     product = queries @ rows.T
+    if allowed is not None:
+        product[~allowed] = -np.inf
+    keep = np.isfinite(product)
     if len(rows) > count:
         last = np.partition(product, len(rows) - count, axis=1)[:, len(rows) - count]
         scale = np.sqrt((queries**2).sum(1)) * np.sqrt((rows**2).sum(1).max())
-        asked, found = np.nonzero(product >= (last - 1e-9 * scale)[:, None])
-    else:
-        asked, found = np.divmod(np.arange(product.size), len(rows))
+        keep &= product >= (last - 1e-9 * scale)[:, None]
+    asked, found = np.nonzero(keep)
     scores = exact_scores(queries[asked], rows[found])
     order = np.lexsort((ids[found], -scores, asked))
     asked, found, scores = asked[order], found[order], scores[order]
@@ -253,7 +264,8 @@ def true_neighbours(index: Index, queries: pd.DataFrame, k: int) -> pd.DataFrame
 
 
 def calibrate(index: Index, k: int, recall: float = RECALL) -> int:
-    """Leaves to visit: doubled until the sampled queries find ``recall`` of their neighbours."""
+    """Leaves to visit: more and more, until the sampled queries find ``recall`` of their
+    neighbours."""
     queries = (
         index.vectors.orderBy(F.xxhash64("vec", F.lit(1)), "first").limit(CALIBRATED).toPandas()
     )
@@ -271,7 +283,7 @@ def calibrate(index: Index, k: int, recall: float = RECALL) -> int:
     )
     visits = 1
     while visits < index.tree.leaves and (needed <= visits).mean() < recall:
-        visits *= 2
+        visits = visits + max(1, visits // 4)
     return min(visits, index.tree.leaves)
 
 
@@ -290,52 +302,75 @@ def search(index: Index, queries: DataFrame, k: int, visits: int | None = None)
         )
     )
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def leaves(column: pd.Series) -> pd.Series:
+    # Leaves of a branch have neighbouring numbers, so blocks of them are visited together.
+    blocks = (np.cumsum(index.held) - index.held) // BLOCK
+    touched = T.ArrayType(
+        T.StructType(
+            [
+                T.StructField("block", T.LongType()),
+                T.StructField("leaves", T.ArrayType(T.LongType())),
+            ]
+        )
+    )
+
+    @F.pandas_udf(touched)
+    def probe(column: pd.Series) -> pd.Series:
         tree, held = shared.value
         found = []
         for vec in column:
-            visited, rows = [], 0
-            for leaf in tree.best_first(np.asarray(vec)):
-                if len(visited) >= visits and rows > k:
+            visited: dict[int, list[int]] = {}
+            rows = 0
+            for at, leaf in enumerate(tree.best_first(np.asarray(vec))):
+                if at >= visits and rows > k:
                     break
-                visited.append(leaf)
+                visited.setdefault(int(blocks[leaf]), []).append(leaf)
                 rows += held[leaf]
-            found.append(visited)
+            found.append([{"block": b, "leaves": own} for b, own in visited.items()])
         return pd.Series(found, dtype=object)
 
-    probes = settle(
-        asked.groupBy("first")
-        .agg(F.min("vec").alias("vec"))
-        .select("first", "vec", F.explode(leaves("vec")).alias("leaf"))
-    )
-    # Blocks: both sides of a leaf are cut so that no task meets more than BLOCK of either.
-    cut = lambda df: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cuts"))
-    sizes = (
-        cut(probes)
-        .withColumnRenamed("cuts", "q_cuts")
-        .join(cut(index.vectors).withColumnRenamed("cuts", "v_cuts"), "leaf")
+    distinct = asked.groupBy("first").agg(F.min("vec").alias("vec"))
+    q_cuts = max(1, -(-distinct.count() // QUERY_BLOCK))
+    # A leaf of more vectors than a block is cut by their hash; a query meets each of its parts.
+    largest = int(index.held.max(initial=0))
+    v_cuts = max(1, -(-largest // BLOCK))
+
+    def cut(cuts: int) -> Column:
+        return F.pmod(F.xxhash64("first"), F.lit(cuts)).cast("long")
+
+    def every(cuts: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long")))
+
+    left = (
+        distinct.select("first", "vec", F.explode(probe("vec")).alias("probe"))
+        .select("probe.block", "probe.leaves", cut(q_cuts).alias("q"), "first", "vec")
+        .withColumn("v", every(v_cuts))
     )
-    sizes = F.broadcast(sizes)  # a row for each leaf: at most MAX_LEAVES
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    hashed = lambda n: F.pmod(F.xxhash64("first"), F.col(n)).cast("long")
-    left = probes.join(sizes, "leaf").select(
-        "leaf", hashed("q_cuts").alias("q"), every("v_cuts").alias("v"), "first", "vec"
+    block_table = spark.createDataFrame(
+        [(i, int(b)) for i, b in enumerate(blocks)], "leaf long, block long"
     )
-    right = index.vectors.join(sizes, "leaf").select(
-        "leaf", every("q_cuts").alias("q"), hashed("v_cuts").alias("v"), "first", "vec"
+    right = (
+        index.vectors.join(F.broadcast(block_table), "leaf")  # a row for each leaf
+        .select("block", "leaf", cut(v_cuts).alias("v"), "first", "vec")
+        .withColumn("q", every(q_cuts))
     )
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query": [], "first": [], "score": []})
-        firsts = b["first"].to_numpy()
-        q, r, s = nearest_of(_matrix(a.vec), _matrix(b.vec), firsts, k + 1)
-        return pd.DataFrame({"query": a["first"].to_numpy()[q], "first": firsts[r], "score": s})
-
+        found = [pd.DataFrame({"query": [], "first": [], "score": []})]
+        if len(a) and len(b):
+            rows, firsts = _matrix(b.vec), b["first"].to_numpy()
+            names, own = np.unique(b.leaf.to_numpy(), return_inverse=True)
+            for at in range(0, len(a), AT_ONCE):
+                part = a.iloc[at : at + AT_ONCE]
+                visited = np.stack([np.isin(names, leaves) for leaves in part.leaves])
+                q, r, s = nearest_of(_matrix(part.vec), rows, firsts, k + 1, visited[:, own])
+                asked = part["first"].to_numpy()[q]
+                found.append(pd.DataFrame({"query": asked, "first": firsts[r], "score": s}))
+        return pd.concat(found)
+
+    keys = ["block", "q", "v"]
     met = (
-        left.groupBy("leaf", "q", "v")
-        .cogroup(right.groupBy("leaf", "q", "v"))
+        left.groupBy(*keys)
+        .cogroup(right.groupBy(*keys))
         .applyInPandas(meet, "query long, first long, score double")
     )
     by_vector = Window.partitionBy("query").orderBy(F.desc("score"), "first")
