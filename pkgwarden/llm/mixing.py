@@ -29,7 +29,7 @@ SEED = 7
 #: left of the budget.
 FITTED_WORDS = 1 << 17
 #: Documents of one source and length that one task orders, in the mean.
-SLICE_ROWS = 10_000
+SLICE_ROWS = 500
 
 
 def word_count(text: Column) -> Column:
