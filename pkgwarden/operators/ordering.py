@@ -63,13 +63,17 @@ def ordered(df: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
     return df.orderBy(*[key.expression() for key in keys])
 
 
-def ordered_whole(df: DataFrame, keys: Sequence[SortKey]) -> DataFrame:
+def ordered_whole(df: DataFrame, keys: Sequence[SortKey], unique: bool = False) -> DataFrame:
     """The whole frame in order, for an export.
 
-    The rows are cut into ranges of the order. The spread number, last in the order, keeps a large
+    Where the keys are ``unique`` no rows are equal in them, and the frame is sorted as it is.
+    Otherwise
+    the rows are cut into ranges of the order. The spread number, last in the order, keeps a large
     group of copies from falling into a single range. A range sort reads its input twice, to find
     the ranges and to sort, so reading stored rows also saves computing the result twice.
     """
+    if unique:
+        return ordered(df.drop(SPREAD), keys)
     stored = spread_stored(df)
     order = [*total_order(stored.drop(SPREAD), keys), SortKey(SPREAD)]
     return ordered(stored, order).drop(SPREAD)

@@ -45,7 +45,8 @@ def release_history(
     format: str | None = None,
 ) -> DataFrame | Page:
     """Known releases, the latest first."""
-    return deliver(history, RELEASE_ORDER, limit, offset, format, RELEASE_ORDER)
+    # The version of a release is unique, and last in the order.
+    return deliver(history, RELEASE_ORDER, limit, offset, format, RELEASE_ORDER, unique=True)
 
 
 def refresh_log(
@@ -55,7 +56,8 @@ def refresh_log(
     format: str | None = None,
 ) -> DataFrame | Page:
     """Refresh runs, the latest first."""
-    return deliver(runs, REFRESH_ORDER, limit, offset, format, REFRESH_ORDER)
+    # So is the number of a run.
+    return deliver(runs, REFRESH_ORDER, limit, offset, format, REFRESH_ORDER, unique=True)
 
 
 def logs(

@@ -78,13 +78,15 @@ def deliver(
     default_order: list[SortKey],
     total: int | None = None,
     stored: bool = False,
+    unique: bool = False,
 ) -> DataFrame | Page:
     """A page with its total, or for ``ndjson`` the whole result, ordered if keys are given.
 
-    ``total`` is the number of rows if known; ``stored`` says that the frame reads stored rows.
+    ``total`` is the number of rows if known; ``stored`` says that the frame reads stored rows,
+    ``unique`` that no two rows are equal in the keys.
     """
     if format == NDJSON:
-        return df.drop(SPREAD) if keys is None else ordered_whole(df, keys)
+        return df.drop(SPREAD) if keys is None else ordered_whole(df, keys, unique)
     return paged(
         df.drop(SPREAD),
         default_order if keys is None else keys,

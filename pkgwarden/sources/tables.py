@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 
 _local_dirs: dict[str, str] = {}
+_scratch_paths: dict[str, list[str]] = {}
 
 
 def create_if_missing(spark: SparkSession, path: str, schema: T.StructType) -> None:
@@ -90,7 +91,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, never handed out before."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch_paths.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this application has written to scratch space; frames that read it end.
+
+    Returns the number of paths that held something.
+    """
+    paths = _scratch_paths.pop(spark.sparkContext.applicationId, [])
+    return sum(delete(spark, path) for path in paths)
 
 
 def settle(df: DataFrame) -> DataFrame:
