@@ -178,7 +178,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_host_reputation": SQL_HOST_REPUTATION}
+    return {
+        "op7_host_reputation": SQL_HOST_REPUTATION,
+        "op9_window_dedup": SQL_WINDOW_DEDUP,
+    }
 
 
 SQL_HOST_REPUTATION = """
@@ -247,3 +250,25 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
   WHEN rule IS NOT NULL OR bound <= 0.5 THEN 'allow' ELSE 'block' END AS verdict
 FROM ruled
 """
+
+SQL_WINDOW_DEDUP = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS run
+  FROM split, unnest(range(1, len(words) - 18)) AS n(i)
+), repeated AS (
+  SELECT doc_id, i FROM windows
+  QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1
+), covered AS (
+  SELECT DISTINCT doc_id, j FROM repeated, unnest(range(i, i + 20)) AS n(j)
+), kept AS (
+  SELECT s.doc_id, string_agg(words[j], ' ' ORDER BY j) AS kept, count(*) AS n
+  FROM split s, unnest(range(1, len(words) + 1)) AS n(j)
+  WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.doc_id = s.doc_id AND c.j = n.j)
+  GROUP BY s.doc_id
+)
+SELECT s.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN kept USING (doc_id)
+"""

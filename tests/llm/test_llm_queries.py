@@ -105,10 +105,11 @@ def test_op6_equals_the_library(spark, documents):
         assert found[key].decoded_sha256 == brute.sha(text)
 
 
-def test_op7_equals_its_sql(spark):
-    df = queries.op7_host_reputation(spark, sf_dir())
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_its_sql(spark, name):
+    df = queries.queries()[name](spark, sf_dir())
     with oracle(sf_dir()) as connection:
-        sql = queries.oracle_sql()["op7_host_reputation"]
+        sql = queries.oracle_sql()[name]
         assert spark_result(df) == oracle_result(connection, sql)
 
 
