@@ -40,8 +40,10 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Documents that the field is trained on, at most, and tokens taken from them.
 FIT_DOCS = 3_000
-FIT_TOKENS = 200_000
+FIT_TOKENS = 120_000
 ROUNDS = 40
+#: Longer lines are cut for training (not for decoding): steps along a line are not vectorised.
+TRAINED_TOKENS = 200
 PENALTY = 1e-4
 
 Span = tuple[int, int, int]
@@ -330,8 +332,10 @@ def fit_texts(texts: list[str]) -> Field:
         if taken + keep.sum() > FIT_TOKENS:
             keep &= np.cumsum(keep) + taken <= FIT_TOKENS
         taken += int(keep.sum())
+        starts = np.flatnonzero(tokens.new_line)
+        place = np.arange(len(line)) - (starts[line] if count else 0)
         features.append(tokens.features[keep])
-        lines.append(tokens.new_line[keep])
+        lines.append((place % TRAINED_TOKENS == 0)[keep])
         tags.append(marked[keep])
         if taken >= FIT_TOKENS:
             break
