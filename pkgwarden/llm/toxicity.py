@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -133,8 +134,8 @@ def train(
 ) -> Model:
     """Fit on at most ``max_rows`` labelled rows: those whose id has the smallest hash.
 
-    Only the ids of the sample (bounded) are broadcast and only its features (buckets, bounded by
-    ``max_rows`` times the number of buckets) come to the driver.
+    Only the ids of the sample (bounded) are broadcast. Its features (buckets, bounded by
+    ``max_rows`` times the number of buckets) meet in one task, which hands the model to the driver.
     """
     chosen = (
         labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
@@ -142,18 +143,25 @@ def train(
         .orderBy(F.xxhash64("_id"), "_id", "_label")
         .limit(max_rows)
     )
-    found = (
+    sample = (
         docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
         .join(F.broadcast(chosen), "_id")
         .select("_label", _features("_text").alias("_buckets"))
-        .collect()
     )
-    # In a fixed order, so that sums do not depend on the order of tasks.
-    found.sort(key=lambda row: (row[0], hashlib.sha256(row[1]).digest()))
-    labels_found = np.array([row[0] for row in found], np.float64)
-    rows = [np.frombuffer(row[1], np.int32) for row in found]
-    del found
-    return fit(rows, labels_found)
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [pair for b in batches for pair in zip(b["_label"], b["_buckets"], strict=True)]
+        # In a fixed order, so that sums do not depend on the order of the rows.
+        found.sort(key=lambda pair: (pair[0], hashlib.sha256(pair[1]).digest()))
+        rows = [np.frombuffer(pair[1], np.int32) for pair in found]
+        model = fit(rows, np.array([pair[0] for pair in found], np.float64))
+        weights = model.weights.astype(np.float64).tobytes()
+        yield pd.DataFrame({"weights": [weights], "intercept": [model.intercept]})
+
+    learnt = sample.repartition(1).mapInPandas(learn, "weights binary, intercept double").first()
+    if learnt is None:
+        return fit([], np.empty(0))
+    return Model(np.frombuffer(learnt.weights, np.float64), learnt.intercept)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
