@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 LEAF = 8
 #: Pieces a worker remembers, and half as many runs of bytes and pairs; others are worked out
 #: each time.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Longer runs are not remembered.
 LONGEST_REMEMBERED = 64
 #: Rows turned into Python objects at a time.
