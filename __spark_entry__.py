@@ -303,6 +303,21 @@ def left_join_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def left_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events with all parts by a key of many values: one hot by its rows, one by its entries,
+    null and missing ones. The product grows as the tables do."""
+    kind = F.col("event_type")
+    k = F.when(kind == "view", 0).when(kind == "signup", F.col("event_id"))
+    rows = feeds.table(spark, sf_dir, "events").select(
+        "event_id", k.when(kind != "click", F.col("user_id")).alias("k")
+    )
+    lookup = feeds.table(spark, sf_dir, "part").select(
+        F.when(F.col("p_size") == 1, 1).otherwise(F.col("p_partkey")).alias("k"), "p_partkey"
+    )
+    limits = JoinLimits(broadcast_rows=0, cell_rows=2, cell_pairs=100)
+    return lookup_join(rows, lookup, "k", limits=limits).select("event_id", "k", "p_partkey")
+
+
 def safety_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return package_safety_report(
         feeds.catalogue(spark, sf_dir),
@@ -517,6 +532,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "left_join_advisories": left_join_advisories,
         "left_join_cells": left_join_cells,
         "left_join_hot": left_join_hot,
+        "left_join_whole": left_join_whole,
         "safety_report": safety_report,
         "safety_counts": safety_counts,
         "report_status": report_status,
@@ -685,6 +701,10 @@ def core_oracle_sql() -> dict[str, str]:
         " WHERE p_size % 7 < 5 AND p_partkey % 50 = 0)"
         " SELECT k, p_partkey, count(*) AS n, sum(event_id)::BIGINT AS ids"
         " FROM r LEFT JOIN l USING (k) GROUP BY ALL",
+        "left_join_whole": "WITH r AS (SELECT event_id, CASE WHEN event_type = 'view' THEN 0"
+        " WHEN event_type = 'signup' THEN event_id WHEN event_type <> 'click' THEN user_id END AS k"
+        " FROM events), l AS (SELECT CASE WHEN p_size = 1 THEN 1 ELSE p_partkey END AS k, p_partkey"
+        " FROM part) SELECT event_id, k, p_partkey FROM r LEFT JOIN l USING (k)",
         "safety_report": with_feeds + f" SELECT {_REPORT} FROM report",
         "safety_counts": with_feeds
         + " SELECT status, osv_safety_status, count(*) AS n FROM report GROUP BY ALL",

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pkgwarden.operators import (
     JoinLimits,
     Size,
@@ -161,3 +163,23 @@ def test_key_with_many_rows_is_split_at_run_time(spark, plan_of):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_the_hot_join_takes_the_whole_lookup(spark):
+    """left_join_whole against nested loops; every part whose key has events is in the result."""
+    events = [(i, i % 7, kind) for i, kind in enumerate(["view", "signup", "error", "click"] * 15)]
+    parts = [(i, 1 if i % 3 == 1 else 2) for i in range(50)]
+    folder = tempfile.mkdtemp(prefix="run-")
+    frame = spark.createDataFrame(events, "event_id long, user_id long, event_type string")
+    frame.write.parquet(f"{folder}/events.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(
+        f"{folder}/part.parquet"
+    )
+    expected = Counter()
+    for event, user, kind in events:
+        k = {"view": 0, "signup": event, "error": user}.get(kind)
+        found = [p for p, size in parts if k is not None and (1 if size == 1 else p) == k]
+        expected.update((event, k, p) for p in found or [None])
+    reached = {p for _, _, p in expected if p is not None}
+    assert {p for p, size in parts if size == 1} <= reached
+    assert multiset(entry.left_join_whole(spark, folder)) == expected
