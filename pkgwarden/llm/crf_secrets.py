@@ -366,14 +366,18 @@ def decoded_spans(texts: list[str], model: Field) -> list[list[Span]]:
 
 
 def all_spans(texts: list[str | None], model: Field) -> list[list[Span]]:
-    """Pattern spans, and decoded spans that touch none of them, by start and kind."""
+    """Pattern spans, and decoded spans that reach beyond each of them, by start and kind.
+
+    A decoded span may overlap pattern spans: where a pattern covers only a part of a token, the
+    field's span is the whole one.
+    """
     result: list[list[Span]] = []
     for part in chunks(texts):
         own = [t or "" for t in texts[part]]
         for text, added in zip(own, decoded_spans(own, model), strict=True):
             fixed = pattern_spans(text)
-            free = [a for a in added if all(a[2] <= f[0] or f[2] <= a[0] for f in fixed)]
-            result.append(sorted(fixed + free))
+            wider = [a for a in added if not any(f[0] <= a[0] and a[2] <= f[2] for f in fixed)]
+            result.append(sorted(fixed + wider))
     return result
 
 

@@ -195,6 +195,17 @@ def test_field_learns_and_adds_spans(spark):
     assert all(kind == 3 and other[s:e].isalnum() for s, kind, e in spans)
 
 
+def test_spans_that_reach_beyond_a_pattern_are_kept(monkeypatch):
+    text = "key 0123456789abcdef0XYZrest and token=abcdefghijkl end"
+    ((_, hex_kind, hex_end), assign) = fixed = crf_secrets.pattern_spans(text)
+    whole = text.index(" and")
+    inner = (assign[0] + 6, 3, assign[2])
+    assert hex_end < whole
+    monkeypatch.setattr(crf_secrets, "decoded_spans", lambda *_: [[(4, 3, whole), inner]])
+    assert crf_secrets.all_spans([text], None) == [[(4, hex_kind, hex_end), (4, 3, whole), assign]]
+    assert len(fixed) == 2
+
+
 def test_secrets_of_odd_rows(docs, nothing, spark):
     model = crf_secrets.train(docs)
     docs = docs.unionByName(
