@@ -6,7 +6,8 @@ document ``floor(target / size)`` times. What is left of its target (less than i
 with whole documents by their exact lengths: every length first gets its proportional number of
 documents, rounded down; then a bounded-knapsack dynamic programme over the documents left
 chooses how many of each length to add, so that the sum comes as near to the budget as possible
-without passing it. Which documents of a length are taken is decided by a seeded hash of their id
+without passing it. Where single documents do not meet the budget, the programme may add each up to
+``MOST_COPIES`` times in all. Which documents of a length are taken is decided by a seeded hash of their id
 and text, so runs agree.
 
 Sources are told apart exactly, null is one of them; an empty or null text has size 0 and takes no
@@ -52,10 +53,13 @@ def targets_of(sizes: list[int], weights: list[float], most: int = MOST_COPIES)
         capped |= above
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit_budget(
+    lengths: np.ndarray, counts: np.ndarray, budget: int, least: np.ndarray | None = None
+) -> np.ndarray:
     """How many documents of each length to take so that their sum comes near the budget.
 
-    Never passes it; ``counts`` bounds each length.
+    Never passes it; ``counts`` bounds each length. ``least`` (by default the proportional numbers,
+    rounded down) is taken in any case.
     """
     chosen = np.zeros(len(lengths), np.int64)
     whole = int((lengths * counts).sum())
@@ -63,10 +67,12 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         return chosen
     if budget >= whole:
         return counts.astype(np.int64)
-    chosen = np.array([int(c) * budget // whole for c in counts], np.int64)
+    if least is None:
+        least = np.array([int(c) * budget // whole for c in counts], np.int64)
+    chosen = least.copy()
     left = budget - int((lengths * chosen).sum())
     spare = counts - chosen
-    # One document of each length at most has been rounded off: longest first while much is left.
+    # By default, one document of each length at most has been rounded off: longest first while much is left.
     for i in np.argsort(-lengths, kind="stable"):
         if left <= FITTED_WORDS:
             break
@@ -151,7 +157,18 @@ def mix_sources(
         words, target = int(frame.source_size.iloc[0]), float(frame.target.iloc[0])
         base = min(MOST_COPIES, int(target // words)) if words else 0
         budget = round(target) - base * words if base < MOST_COPIES else 0
-        extra = fit_budget(frame["size"].to_numpy(), frame.n.to_numpy(), budget)
+        lengths, counts = frame["size"].to_numpy(), frame.n.to_numpy()
+        extra = fit_budget(lengths, counts, budget)
+        if (lengths * extra).sum() < budget:
+            more = fit_budget(lengths, counts * (MOST_COPIES - base), budget)
+            extra = max(extra, more, key=lambda found: (lengths * found).sum())
+        if (lengths * extra).sum() < budget:
+            # One copy of each document less to begin with leaves more sums to choose from.
+            total = budget + base * words
+            least = np.maximum(counts * total // words - counts, 0)
+            free = fit_budget(lengths, counts * MOST_COPIES, total, least)
+            if (lengths * (free - base * counts)).sum() > (lengths * extra).sum():
+                base, extra = 0, free
         return pd.DataFrame(
             {
                 "source": frame.source,
@@ -196,7 +213,8 @@ def mix_sources(
         & (F.col("_size") == F.col("hz"))
         & (F.col("slice") == F.col("hl")),
     )
-    taken = (F.col("before") + F.col("place") <= F.col("extra")).cast("long")
+    rank = F.col("before") + F.col("place")
+    taken = F.expr("extra div n") + (rank <= F.expr("extra % n")).cast("long")
     return ranked.select(
         key,
         "source",

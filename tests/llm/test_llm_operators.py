@@ -536,6 +536,19 @@ def test_budgets_are_met():
     assert (many * taken).sum() == 2_345_678
 
 
+def test_copies_fill_what_single_documents_cannot(spark):
+    rows = [(0, " ".join(["w"] * 20_000), "en", "a", 1, "m")]
+    rows += [(i, " ".join(["w"] * 200), "en", "a", 1, "m") for i in range(1, 51)]
+    rows += [(99, " ".join(["w"] * 6_000), "en", "b", 1, "m")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = mixing.mix_sources(docs, weights=(1.0, 1.0)).collect()
+    own = [r for r in found if r.source == "a"]
+    assert {r.target for r in own} == {18_000.0}
+    assert sum(r["size"] * r.copies for r in own) == 18_000
+    copies = [r.copies for r in own if r["size"] == 200]
+    assert max(copies) <= mixing.MOST_COPIES and max(copies) - min(copies) <= 1
+
+
 def test_mix_of_odd_rows(spark, docs, nothing):
     rows = mixing.mix_sources(docs).collect()
     assert len(rows) == len(ROWS)

@@ -15,7 +15,7 @@ from compare import oracle, oracle_result, sf_dir, spark_result
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from pkgwarden.llm import crf_secrets, queries  # noqa: E402
+from pkgwarden.llm import crf_secrets, mixing, queries  # noqa: E402
 from pkgwarden.llm.bpe_tree import read_ranks  # noqa: E402
 
 
@@ -149,3 +149,13 @@ def test_op10_meets_its_targets(spark, documents):
         assert own[0].source_size == sum(r.size for r in own)
         # A source of ten documents cannot meet every number of words.
         assert abs(sum(r.taken for r in own) - own[0].target) <= 1 + 0.01 * own[0].source_size
+
+
+def test_mix_meets_every_target_by_a_word(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    taken, target = {}, {}
+    for r in mixing.mix_sources(docs).collect():
+        taken[r.source] = taken.get(r.source, 0) + r["size"] * r.copies
+        target[r.source] = r.target
+        assert 0 <= r.copies <= mixing.MOST_COPIES
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
