@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pkgwarden.llm import (
+    count_rtree,
     crf_secrets,
+    hard_negatives,
     host_reputation,
     html_blocks,
     kmeans_tree,
@@ -17,6 +19,7 @@ from pkgwarden.llm import (
     mixing,
     simhash,
     toxicity,
+    whitening,
     window_dedup,
 )
 from pkgwarden.llm.bpe_tree import BpeTree
@@ -162,6 +165,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Ids divisible by this are anchors; ids divisible by the other get the next of ten labels.
+ANCHOR_STEP = 100
+NOISY_STEP, LABELS = 7, 10
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    noisy = F.col("vec_id") % NOISY_STEP == 0
+    label = F.when(noisy, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
+    named = vectors.select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(named, F.col("id") % ANCHOR_STEP == 0)
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = count_rtree.similarity_join(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("component", "component_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lz_fingerprint": op1_lz_fingerprint,
@@ -174,6 +199,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_window_dedup": op9_window_dedup,
         "op10_mixing": op10_mixing,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_ngram_join": op12_ngram_join,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -181,6 +209,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_host_reputation": SQL_HOST_REPUTATION,
         "op9_window_dedup": SQL_WINDOW_DEDUP,
+        "op11_hard_negatives": SQL_HARD_NEGATIVES,
+        "op12_ngram_join": SQL_NGRAM_JOIN,
     }
 
 
@@ -272,3 +302,58 @@ SELECT s.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::B
   sha256(coalesce(kept, '')) AS kept_sha256
 FROM split s LEFT JOIN kept USING (doc_id)
 """
+
+SQL_HARD_NEGATIVES = """
+WITH usable AS (
+  SELECT vec_id AS id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), pairs AS (
+  SELECT a.id AS anchor, b.id AS id, a.label = b.label AS same,
+    list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM usable a JOIN usable b ON a.id % 100 = 0 AND b.id <> a.id
+), positives AS (
+  SELECT anchor, id AS positive, score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5
+), negatives AS (
+  SELECT p.anchor, p.positive, p.score AS positive_score, n.id AS negative, n.score,
+    row_number() OVER (PARTITION BY p.anchor, p.positive ORDER BY n.score DESC, n.id) AS place
+  FROM positives p JOIN pairs n ON n.anchor = p.anchor AND NOT n.same
+    AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+)
+SELECT anchor AS anchor_id, positive AS positive_id, place::INTEGER AS rank,
+  negative AS negative_id, positive_score, score AS negative_score
+FROM negatives WHERE place <= 10
+"""
+
+SQL_NGRAM_JOIN = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2),
+      lambda i: array_to_string(words[i:i + 3], ' '))) END AS grams
+  FROM split
+), grams AS (
+  SELECT doc_id, unnest(grams) AS gram FROM sets
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y
+  WHERE 100 * common >= 85 * (len(a.grams) + len(b.grams) - common)
+), ends AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT y, other FROM reached JOIN ends ON x = doc_id
+)
+SELECT s.doc_id, len(any_value(grams))::BIGINT AS n_shingles, min(other) AS component_id
+FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id
+"""
