@@ -1,10 +1,13 @@
 """Refresh job: stage the feeds into a new version and publish it at once.
 
-Every version lives in a directory of its own. Its tables are written and checked first; the
-manifest row that names the directory is appended last, by one task whose output Spark commits
-in one step. Readers look the manifest up once, so they see a whole version or the one before;
-whatever a failed refresh left behind is never named. Of refreshes that run at the same time one
-is published and the others raise.
+Every version lives in a directory of its own. Its tables are written and checked first; then the
+record of the run is created under the number that follows the version it began with. A number can
+be created once, so of refreshes that began with the same version one is published and the others
+raise, and the number is the run's id. Readers look the newest record up once, so they see a whole
+version or the one before; whatever a failed refresh left behind is never named.
+
+The records are the run log, and hold the releases that a run has found new, so history and run log
+grow by the new rows only and are shared by all versions.
 """
 
 from __future__ import annotations
@@ -14,10 +17,11 @@ import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from datetime import datetime
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +30,7 @@ from pkgwarden.operators.filters import status_is, wanted_status
 from pkgwarden.operators.joins import DEFAULT_LIMITS, JoinLimits, Size, measure
 from pkgwarden.operators.paging import Page
 from pkgwarden.operators.spread import SPREAD, with_spread
-from pkgwarden.operators.tables import next_run, now, require_unique
+from pkgwarden.operators.tables import KeyViolation, insert_if_absent, now
 from pkgwarden.plans import records
 from pkgwarden.plans.advisories import (
     DEFAULT_ECOSYSTEM,
@@ -43,7 +47,8 @@ from pkgwarden.plans.safety import (
     parse_archive,
 )
 from pkgwarden.plans.search import search_view
-from pkgwarden.sources import feeds, tables
+from pkgwarden.sources import feeds, files, tables
+from pkgwarden.sources.numbered import NumberedLog
 from pkgwarden.sources.schemas import (
     LOGS,
     REFRESH_LOG,
@@ -67,16 +72,23 @@ LOG = "logs"
 STATUS = "osv_safety_status"
 SUCCESS = "SUCCESS"
 
-# The tables of one version, in the order in which they are written.
-VERSIONED = (CURRENT, ARCHIVE, FLAT, LOOKUP, RELEASE, HISTORY, RUNS, SEARCH, REPORT)
-
-MANIFEST = struct(
-    run_id=T.IntegerType(),
-    version=STRING,
-    published_at=TIME,
-    row_counts=T.MapType(STRING, T.LongType()),
-    schemas=T.MapType(STRING, STRING),
-    lookup_bytes=T.LongType(),
+# The tables that a refresh writes, and all relations of a version.
+STAGED = (CURRENT, ARCHIVE, FLAT, LOOKUP, RELEASE, SEARCH, REPORT)
+VERSIONED = (*STAGED, HISTORY, RUNS)
+
+#: The record of a run: what it has published, its row of the run log, and the releases it found new.
+COMMIT = T.StructType(
+    [
+        *struct(
+            version=STRING,
+            published_at=TIME,
+            row_counts=T.MapType(STRING, T.LongType()),
+            schemas=T.MapType(STRING, STRING),
+            lookup_bytes=T.LongType(),
+            released=T.ArrayType(RELEASE_HISTORY),
+        ).fields,
+        *REFRESH_LOG.fields,
+    ]
 )
 
 
@@ -116,14 +128,18 @@ class PackageStore:
     def _path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
-    def _manifest_rows(self) -> DataFrame:
-        """All published versions, the current one first; none where nothing is stored."""
-        rows = tables.scan_or_empty(self.spark, self._path("manifest"), MANIFEST)
-        return rows.orderBy(F.desc("run_id"), "published_at", "version")
+    @property
+    def commits(self) -> NumberedLog:
+        """The records of all published runs, by run id."""
+        return NumberedLog(self.spark, self._path("runs"), COMMIT)
+
+    @property
+    def messages(self) -> NumberedLog:
+        return NumberedLog(self.spark, self._path(LOG), LOGS)
 
     def manifest(self) -> Row | None:
-        """The manifest row of the current version, or none before the first refresh."""
-        return self._manifest_rows().limit(1).first()
+        """The record of the current version, or none before the first refresh."""
+        return self.commits.newest()
 
     def current(self) -> PublishedVersion:
         """The current version; keep it for queries that belong together."""
@@ -135,12 +151,14 @@ class PackageStore:
     # ---- log messages ------------------------------------------------------------------
 
     def log_table(self) -> DataFrame:
-        return tables.scan_or_empty(self.spark, self._path(LOG), LOGS)
+        return self.messages.rows().select(*LOGS.names)
 
     def log(self, message: str) -> None:
         """Append one message with the current time."""
-        row = self.spark.range(0, 1, numPartitions=1).select(F.lit(message).alias("msg"))
-        tables.append(row, self._path(LOG), LOGS, {"ts": now()})
+        self.messages.append({"ts": self._now(), "msg": message})
+
+    def _now(self) -> datetime:
+        return self.spark.range(1).select(now()).first()[0]
 
     def logs(self, level=None, limit=None, offset=None, format=None) -> DataFrame | Page:
         return records.logs(self.log_table(), level, limit, offset, format)
@@ -156,16 +174,13 @@ class PackageStore:
         Raises ``PublicationConflict`` if another refresh published meanwhile.
         """
         spark, previous = self.spark, self.manifest()
+        run_id = 1 + (previous["run_id"] if previous else 0)
         version = f"versions/{uuid.uuid4().hex}"
+        known = self._history(run_id - 1)
 
         def stage(name: str, df: DataFrame) -> DataFrame:
             return tables.replace(df, self._path(f"{version}/{name}"))
 
-        def before(name: str, schema: T.StructType) -> DataFrame:
-            if previous is None:
-                return spark.createDataFrame([], schema)
-            return tables.scan(spark, self._path(f"{previous['version']}/{name}"), schema)
-
         def stage_lookup() -> tuple[DataFrame, DataFrame, Size]:
             documents = feeds.read_advisories(
                 spark, source.path(source.advisories), source.json_lines
@@ -175,38 +190,23 @@ class PackageStore:
             lookup = stage(LOOKUP, with_spread(keyed))
             return flat, lookup, measure(lookup)
 
-        def stage_releases() -> tuple[DataFrame, DataFrame]:
+        def stage_releases() -> tuple[DataFrame, list[dict]]:
             described = feeds.read_key_values(
                 spark, source.path(source.release), source.json_lines
             )
             release = stage(RELEASE, records.release_info(described))
-            known = before(HISTORY, RELEASE_HISTORY)
-            history = stage(HISTORY, records.record_release(release, known))
-            require_unique(history, ["r_version"], HISTORY)
-            return release, history
-
-        def stage_runs() -> DataFrame:
-            past = before(RUNS, REFRESH_LOG)
-            run = next_run(
-                past,
-                {
-                    "cran_packages_source": source.path(source.packages),
-                    "cran_archive_source": source.path(source.archive),
-                    "osv_source_pattern": source.path(source.advisories),
-                    "status": SUCCESS,
-                },
-            )
-            runs = stage(RUNS, past.unionByName(run))
-            require_unique(runs, ["run_id"], RUNS)
-            return runs
+            # A descriptor tells of one release, so this is one row at most.
+            new = insert_if_absent(release, known, "r_version", {"detected_at": now()}).collect()
+            if any(row["r_version"] is None for row in new):
+                raise KeyViolation(f"{HISTORY}: a release has no version")
+            return release, [row.asDict() for row in new]
 
-        catalogue, archive, (flat, lookup, size), (release, history), runs = _side_by_side(
+        catalogue, archive, (flat, lookup, size), (release, released) = _side_by_side(
             spark,
             lambda: stage(CURRENT, self._catalogue(source)),
             lambda: stage(ARCHIVE, self._archive(source)),
             stage_lookup,
             stage_releases,
-            stage_runs,
         )
 
         def stage_classified(name: str, df: DataFrame) -> DataFrame:
@@ -228,28 +228,60 @@ class PackageStore:
                 package_safety_report(catalogue, archive, lookup, size=size, limits=self.limits),
             ),
         )
-        staged = dict(
-            zip(
-                VERSIONED,
-                (catalogue, archive, flat, lookup, release, history, runs, searchable, report),
-                strict=True,
-            )
+        frames = (catalogue, archive, flat, lookup, release, searchable, report)
+        staged = dict(zip(STAGED, frames, strict=True))
+        counts = _row_counts(staged)
+        counts[HISTORY] = len(released) + (previous["row_counts"][HISTORY] if previous else 0)
+        counts[RUNS] = run_id
+        stamp = self._now()
+        entry = self._publish(
+            run_id,
+            {
+                "version": version,
+                "published_at": stamp,
+                "row_counts": counts,
+                "schemas": {name: df.schema.json() for name, df in staged.items()},
+                "lookup_bytes": size.bytes,
+                "released": released,
+                "run_id": run_id,
+                "refresh_timestamp": stamp,
+                "cran_packages_source": source.path(source.packages),
+                "cran_archive_source": source.path(source.archive),
+                "osv_source_pattern": source.path(source.advisories),
+                "status": SUCCESS,
+            },
         )
-        entry = self._publish(version, previous, staged, _row_counts(staged), size.bytes)
         self.log(message)
         return PublishedVersion(self, entry)
 
+    def _publish(self, run_id: int, record: dict) -> Row:
+        """Make a run the current one, unless another has its number: create its record."""
+        if not self.commits.add(run_id, record):
+            raise PublicationConflict(f"another refresh has published run {run_id}")
+        return self.commits.read(run_id)
+
+    def _runs(self, run_id: int) -> DataFrame:
+        """The records up to a run."""
+        return self.commits.rows().filter(F.col("run_id") <= run_id)
+
+    def _history(self, run_id: int) -> DataFrame:
+        """The releases found up to a run."""
+        found = self._runs(run_id).select(F.explode("released").alias("release"))
+        return found.select("release.*")
+
     def expire(self, keep: int = 2) -> list[str]:
         """Delete the tables of all but the newest ``keep`` versions; returns what was deleted.
 
-        The current version always stays. The manifest keeps its rows, which name no tables then.
+        The current version always stays, and so do the records of all runs. What a refresh is
+        writing, or a failed one has left, is no version and is not touched.
         """
         if keep < 1:
             raise ValueError("the current version cannot be deleted")
-        names = [row["version"] for row in self._manifest_rows().select("version").collect()]
-        return [
-            name for name in names[keep:] if tables.delete(self.spark, self._path(name))
-        ]
+        stored = [f"versions/{name}" for name in files.names(self.spark, self._path("versions"))]
+        published = self.commits.rows().filter(F.col("version").isin(stored))
+        newest_first = published.select("version").orderBy(F.desc("run_id")).collect()
+        gone = [row["version"] for row in newest_first[keep:]]
+        return [name for name in gone if files.delete(self.spark, self._path(name))]
 
     def _catalogue(self, source: Feeds) -> DataFrame:
         raw = feeds.read_catalogue(
@@ -263,41 +295,6 @@ class PackageStore:
         )
         return parse_archive(raw).withColumn(VERSION_KEY, version_key(F.col("Version")))
 
-    def _publish(
-        self,
-        version: str,
-        previous: Row | None,
-        staged: dict[str, DataFrame],
-        counts: dict[str, int],
-        lookup_bytes: int,
-    ) -> Row:
-        """Append the manifest row, and make sure that it is the only one of its run.
-
-        Of two refreshes that began with the same version, the first to be published stays current
-        and the other raises.
-        """
-        self._require_current(previous["version"] if previous else None)
-        row = staged[RUNS].agg(F.max("run_id").alias("run_id")).select(
-            "run_id",
-            F.lit(version).alias("version"),
-            now().alias("published_at"),
-            _literal_map(counts).alias("row_counts"),
-            _literal_map({n: df.schema.json() for n, df in staged.items()}).alias("schemas"),
-            F.lit(lookup_bytes).cast("bigint").alias("lookup_bytes"),
-        )
-        tables.append(
-            row.select(*[F.col(f.name).cast(f.dataType) for f in MANIFEST]), self._path("manifest")
-        )
-        return self._require_current(version)
-
-    def _require_current(self, version: str | None) -> Row | None:
-        newest = self.manifest()
-        if (newest["version"] if newest else None) != version:
-            raise PublicationConflict(
-                f"{newest['version'] if newest else 'nothing'} is current, not {version}"
-            )
-        return newest
-
 
 def _side_by_side(spark: SparkSession, *steps: Callable) -> list:
     """Results of steps that do not need each other; their Spark jobs may share the executors."""
@@ -315,10 +312,6 @@ def _row_counts(staged: dict[str, DataFrame]) -> dict[str, int]:
     return {row["name"]: row["rows"] for row in reduce(DataFrame.unionByName, counted).collect()}
 
 
-def _literal_map(values: dict) -> Column:
-    return F.create_map(*[F.lit(part) for item in values.items() for part in item])
-
-
 @dataclass(frozen=True)
 class PublishedVersion:
     """One published version. All its queries read the same tables."""
@@ -337,6 +330,10 @@ class PublishedVersion:
 
     def table(self, name: str) -> DataFrame:
         """A stored table of this version, with its helper columns."""
+        if name == HISTORY:
+            return self.store._history(self.run_id)
+        if name == RUNS:
+            return self.store._runs(self.run_id).select(*REFRESH_LOG.names)
         if name not in self._scans:
             schema = T.StructType.fromJson(json.loads(self.entry["schemas"][name]))
             path = self.store._path(f"{self.entry['version']}/{name}")
@@ -345,11 +342,8 @@ class PublishedVersion:
 
     def row_counts(self) -> DataFrame:
         """Rows per published table."""
-        spark = self.store.spark
-        manifest = tables.scan(spark, self.store._path("manifest"), MANIFEST)
-        return manifest.filter(F.col("version") == self.entry["version"]).select(
-            F.explode("row_counts").alias("table_name", "n_rows")
-        )
+        own = self.store.commits.rows().filter(F.col("run_id") == self.run_id)
+        return own.select(F.explode("row_counts").alias("table_name", "n_rows"))
 
     def packages_search(self) -> DataFrame:
         """Classified current packages, as stored by the refresh."""

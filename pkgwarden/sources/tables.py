@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pkgwarden.sources import files
+
 
 _local_dirs: dict[str, str] = {}
 _scratch_paths: dict[str, list[str]] = {}
@@ -102,7 +104,7 @@ def clear_scratch(spark: SparkSession) -> int:
     Returns the number of paths that held something.
     """
     paths = _scratch_paths.pop(spark.sparkContext.applicationId, [])
-    return sum(delete(spark, path) for path in paths)
+    return sum(files.delete(spark, path) for path in paths)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -112,10 +114,3 @@ def settle(df: DataFrame) -> DataFrame:
     executor reads the same values.
     """
     return replace(df, scratch_path(df.sparkSession, "settled"))
-
-
-def delete(spark: SparkSession, path: str) -> bool:
-    """Delete a stored table or a folder of them; false where nothing is stored."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.delete(place, True)

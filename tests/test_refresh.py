@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from pkgwarden.operators import (
     pivot_keys,
     require_unique,
 )
-from pkgwarden.plans import records
+from pkgwarden.plans import records, refresh
 from pkgwarden.plans.refresh import PublicationConflict
+from pkgwarden.sources import files
 from pkgwarden.sources.schemas import RELEASE_HISTORY
 
 CATALOGUE = """Package;Version;Title;Description;Published;License;Date/Publication;Size
@@ -168,42 +170,100 @@ def test_views(spark, store, tmp_path):
     assert [r[0] for r in late.collect()] == ["abc"]
 
 
-def test_of_two_refreshes_from_one_version_one_raises(spark, store, tmp_path):
+@pytest.mark.parametrize("when", ["before the record is created", "after it", "while staging"])
+@pytest.mark.parametrize("published", [0, 1])
+def test_of_two_refreshes_from_one_version_one_raises(store, tmp_path, monkeypatch, when, published):
+    """A second refresh runs completely at some step of the first."""
     source = write_feeds(tmp_path / "feeds")
-    first = store.refresh(source, "first")
-    other = PackageStore(spark, store.root)
-    publish = other._publish
-
-    def late(*arguments):
-        store.refresh(source, "second")
-        return publish(*arguments)
-
-    other._publish = late
-    with pytest.raises(PublicationConflict):
-        other.refresh(source, "lost")
-    assert store.current().run_id == first.run_id + 1
-    assert [r["msg"] for r in store.log_table().orderBy("ts").collect()] == ["first", "second"]
-
-
-def test_conflict_after_the_append_is_noticed(store, tmp_path):
+    for i in range(published):
+        store.refresh(source, f"early {i}")
+    other = PackageStore(store.spark, store.root)
+    create, winners, losers = files.create_once, [], []
+
+    def second():
+        try:
+            winners.append(other.refresh(source, "second"))
+        except PublicationConflict as conflict:
+            losers.append(conflict)
+
+    def hooked(spark, path, text):
+        if "/runs/records/" not in path or hooked.used:
+            return create(spark, path, text)
+        hooked.used = True
+        if when == "after it":
+            won = create(spark, path, text)
+            second()
+            return won
+        second()
+        return create(spark, path, text)
+
+    hooked.used = when == "while staging"
+    monkeypatch.setattr(files, "create_once", hooked)
+    if when == "while staging":
+        counts = refresh._row_counts
+
+        def staged(frames):
+            if not winners:
+                monkeypatch.setattr(refresh, "_row_counts", counts)
+                second()
+            return counts(frames)
+
+        monkeypatch.setattr(refresh, "_row_counts", staged)
+    if when == "after it":
+        # The first has won its number; the second began later and takes the next.
+        winners.append(store.refresh(source, "first"))
+        messages = ["second", "first"]
+    else:
+        with pytest.raises(PublicationConflict):
+            store.refresh(source, "first")
+        messages = ["second"]
+    assert losers == []
+    runs = store.current().refresh_log().rows.collect()
+    assert sorted(r["run_id"] for r in runs) == list(range(1, published + len(winners) + 1))
+    assert store.current().entry["version"] in {w.entry["version"] for w in winners}
+    logged = [r["msg"] for r in store.log_table().orderBy("ts").collect()]
+    assert logged == [f"early {i}" for i in range(published)] + messages
+    for winner in winners:
+        assert winner.package_safety_report().count() == 5
+
+
+def test_refreshes_at_the_same_time(spark, tmp_path):
     source = write_feeds(tmp_path / "feeds")
-    store.refresh(source, "first")
-    require, other = store._require_current, []
-
-    def meanwhile(version):
-        # The check before the append passes; then the other refresh publishes first.
-        found = require(version)
-        if not other:
-            other.append(1)
-            PackageStore(store.spark, store.root).refresh(source, "second")
-        return found
-
-    store._require_current = meanwhile
-    with pytest.raises(PublicationConflict):
-        store.refresh(source, "lost")
-    store._require_current = require
-    assert store.log_count() == 2
-    assert store.current().run_id == 2
+    root = str(tmp_path / "store")
+
+    def attempt(name):
+        try:
+            return PackageStore(spark, root).refresh(source, name).run_id
+        except PublicationConflict:
+            return None
+
+    with ThreadPoolExecutor(3) as pool:
+        numbers = [n for n in pool.map(attempt, "abc") if n]
+    assert sorted(numbers) == list(range(1, len(numbers) + 1)) and numbers
+    store = PackageStore(spark, root)
+    assert store.current().run_id == len(numbers) == store.log_count()
+
+
+def test_history_and_run_log_are_shared(store, tmp_path):
+    """A refresh writes its own rows only, whatever the length of the history."""
+    for i in range(1, 5):
+        version = store.refresh(write_feeds(tmp_path / "feeds", f"4.{i // 2}.0"), f"m{i}")
+        folder = os.path.join(store.root, version.entry["version"])
+        assert not {"r_release_history", "data_refresh_log"} & set(os.listdir(folder))
+    assert [len(r["released"]) for r in store.commits.rows().orderBy("run_id").collect()] == [1, 1, 0, 1]
+    assert version.release_history().total == 3 == version.entry["row_counts"]["r_release_history"]
+    assert version.refresh_log().total == 4 == version.entry["row_counts"]["data_refresh_log"]
+    sizes = [os.path.getsize(store.commits._record(n)) for n in range(1, 5)]
+    assert max(sizes) - min(sizes) < 300
+
+
+def test_many_messages_are_read_from_few_files(store):
+    for i in range(70):
+        store.log(f"message {i}")
+    assert store.log_count() == 70
+    assert len(store.log_table().inputFiles()) <= 2 + 70 % 32
+    page = store.logs(limit=5, offset=64).rows.collect()
+    assert [r["msg"] for r in page] == [f"message {i}" for i in range(64, 69)]
 
 
 def test_reading_writes_nothing(store):
