@@ -43,8 +43,6 @@ ZONES = 1024
 #: Directions of the curve, and cells along each (as bits).
 AXES = 8
 BITS = 7
-#: Blocks are numbered from ``PART`` times the number of their partition.
-PART = 1 << 24
 LOWEST, HIGHEST = -(1 << 62), 1 << 62
 
 
@@ -82,7 +80,10 @@ def curve_of(rows: DataFrame, dims: int) -> Column:
     """A column: the place of ``x`` on the curve, through the axes of the largest variance.
 
     Cells cover three deviations to both sides of the mean; what lies outside is in the last cell.
+    Without dimensions there are no rows, and any place will do.
     """
+    if not dims:
+        return F.lit(0).cast("long")
     moments = []
     for i in range(dims):
         entry = F.col("x")[i].cast("double")
@@ -106,19 +107,26 @@ def curve_of(rows: DataFrame, dims: int) -> Column:
 
 def in_blocks(rows: DataFrame, size: int, count: int) -> DataFrame:
     """Rows (with ``curve`` and ``id``) in the order of the curve, ``block`` numbering runs of at
-    most ``size`` rows. Written, so that the numbers stay."""
+    most ``size`` rows. The order is written, so that the numbers stay; blocks do not end with the
+    files."""
     parts = max(1, -(-count // (size * SPAN)))
     placed = rows.repartitionByRange(parts, "curve", "id").sortWithinPartitions("curve", "id")
-    schema = T.StructType(rows.schema.fields + [T.StructField("block", T.LongType())])
+    fields = [T.StructField(name, T.LongType()) for name in ("part", "at")]
+    schema = T.StructType(rows.schema.fields + fields)
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = TaskContext.get().partitionId() * PART
         seen = 0
         for frame in batches:
-            yield frame.assign(block=first + (seen + np.arange(len(frame))) // size)
+            yield frame.assign(part=TaskContext.get().partitionId(), at=seen + np.arange(len(frame)))
             seen += len(frame)
 
-    return settle(placed.mapInPandas(number, schema))
+    ordered = settle(placed.mapInPandas(number, schema))
+    counted = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    # A row a partition.
+    before = F.sum("rows").over(Window.orderBy("part")) - F.col("rows")
+    firsts = settle(counted.select("part", before.alias("first")))
+    block = F.floor((F.col("first") + F.col("at")) / size).cast("long")
+    return ordered.join(firsts, "part").withColumn("block", block).drop("part", "at", "first")
 
 
 # ---- zone maps -----------------------------------------------------------------------------
