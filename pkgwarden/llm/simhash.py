@@ -10,34 +10,25 @@ Fingerprints are compared within blocks. A block's fingerprints are turned into
 adders into vertical counters that overflow exactly when a distance passes the radius, and a block
 is given up once all its counters have overflowed.
 
-Equal fingerprints are merged first, so copies cost nothing further. Blocks come from
-
-* ``pigeonhole_keys``: exact. Fingerprints that differ in at most ``radius`` of 64 bits agree on
-  at least ``parts - radius`` of ``parts`` parts; each choice of that many parts is a table of
-  blocks.
-* ``Bands``: for wide fingerprints and a large radius. Blocks are bands of minimum hashes of
-  the shingles; texts of shingle similarity s meet in one with probability
-  ``1 - (1 - s^rows)^bands`` (0.999997 at s = 0.8).
+Equal fingerprints are merged first, so copies cost nothing further. ``pigeonhole_keys`` gives the
+blocks, exactly: fingerprints that differ in at most ``radius`` of 64 bits agree on at least
+``parts - radius`` of ``parts`` parts; each choice of that many parts is a table of blocks.
 
 A block of many fingerprints is cut into chunks and each two chunks meet in a task, so no task sees
 more than two chunks and no pair is left out. A block's links are returned as a forest (each
 fingerprint and one it is connected with), never as all pairs.
-
-``keep_one_of_each`` uses bands and wide fingerprints as a prefilter only: what they connect is
-compared by the exact similarity of the shingle sets, which alone decides.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,10 +44,6 @@ QUERIES = 64
 #: Pairs of small blocks compared together.
 PAIRS = 1 << 16
 ALL = U64(0xFFFFFFFFFFFFFFFF)
-#: Similarity of two shingle sets from which on they are near-duplicates: 4 of 5.
-SIMILAR = (4, 5)
-#: Shingles of the sets compared in one task: at most about twice as many.
-SET_CHUNK = 1 << 20
 
 
 # ---- fingerprints --------------------------------------------------------------------------
@@ -77,17 +64,12 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], SEED) for s, e in slices), U64, len(starts))
 
 
-def fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
-    """The majority bits of the hashes, big-endian; each lane of 64 bits scrambles them anew."""
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """The majority bits of the hashes, big-endian; no hashes give zero."""
     if not len(hashes):
-        return bytes(8 * lanes)
-    found = []
-    for lane in range(lanes):
-        own = hashes if lane == 0 else mix(hashes + U64(lane))
-        bits = np.unpackbits(own.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts = bits.sum(axis=0, dtype=np.int64)
-        found.append(np.packbits(2 * counts > len(own)).tobytes())
-    return b"".join(found)
+        return bytes(8)
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)).tobytes()
 
 
 def pigeonhole_keys(radius: int, parts: int) -> np.ndarray:
@@ -98,33 +80,6 @@ def pigeonhole_keys(radius: int, parts: int) -> np.ndarray:
     return np.array([sum(c) for c in chosen], U64)
 
 
-@dataclass(frozen=True)
-class Bands:
-    """Shape of the minimum-hash bands."""
-
-    rows: int = 4
-    bands: int = 24
-
-    def multipliers(self) -> np.ndarray:
-        numbers = mix(np.arange(1, self.rows * self.bands + 1, dtype=U64))
-        return (numbers >> U64(32)).astype(np.uint32) | np.uint32(1)
-
-    def keys(self, hashes: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-        """One key for each band; texts without words share one block."""
-        if not len(hashes):
-            return np.zeros(1, np.int64)
-        short = (mix(hashes) >> U64(32)).astype(np.uint32)
-        least = np.full(len(multipliers), 0xFFFFFFFF, np.uint32)
-        for at in range(0, len(short), 4096):
-            products = short[at : at + 4096, None] * multipliers[None, :]
-            np.minimum(least, products.min(axis=0), out=least)
-        rows = least.reshape(self.bands, self.rows).astype(U64)
-        keys = np.arange(1, self.bands + 1, dtype=U64)
-        for column in rows.T:
-            keys = mix(keys * U64(0x9E3779B97F4A7C15) + column)
-        return keys.view(np.int64)
-
-
 # ---- bit-sliced comparison -----------------------------------------------------------------
 
 
@@ -228,76 +183,20 @@ def block_labels(marks: np.ndarray, radius: int) -> np.ndarray:
     return labels
 
 
-def similar_labels(sets: list[np.ndarray]) -> np.ndarray:
-    """Component of each set (distinct values) by a Jaccard similarity of ``SIMILAR`` or more.
-
-    Sets of one component are not compared again, and sets of too different sizes never.
-    """
-    labels = np.arange(len(sets))
-    sizes = np.array([len(s) for s in sets], np.int64)
-    if not sizes.sum():
-        return labels
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    starts = np.cumsum(sizes) - sizes
-    present = np.zeros(codes.max() + 1, np.uint8)
-    part, whole = SIMILAR
-    for i in range(len(sets) - 1):
-        least, most = np.minimum(sizes, sizes[i]), np.maximum(sizes, sizes[i])
-        may = (labels != labels[i]) & (whole * least >= part * most) & (sizes > 0)
-        may[: i + 1] = False
-        lanes = np.flatnonzero(may)
-        if not len(lanes):
-            continue
-        present[codes[starts[i] : starts[i] + sizes[i]]] = 1
-        tokens = codes[np.repeat(may, sizes)]
-        ends = np.cumsum(sizes[lanes]) - sizes[lanes]
-        shared = np.add.reduceat(present[tokens], ends, dtype=np.int64)
-        present[codes[starts[i] : starts[i] + sizes[i]]] = 0
-        hits = whole * shared >= part * (sizes[i] + sizes[lanes] - shared)
-        touched = np.unique(np.append(labels[lanes[hits]], labels[i]))
-        if len(touched) > 1:
-            labels[np.isin(labels, touched)] = touched[0]
-    return labels
-
-
 # ---- Spark ---------------------------------------------------------------------------------
 
 _LINKS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 _KEYED = T.StructType([T.StructField("key", T.LongType()), T.StructField("mark", T.BinaryType())])
 
 
-def with_fingerprints(
-    docs: DataFrame, words: int = 3, lanes: int = 1, bands: Bands | None = None, text: str = "text"
-) -> DataFrame:
-    """Add ``mark`` (binary) and, with bands, ``keys`` (the blocks of the minimum hashes) and
-    ``shingles`` (the number of distinct ones; the mark then counts each once).
+def fingerprints(words: int) -> Callable:
+    """A column function of texts: the fingerprint of each."""
 
-    Columns of these names that the documents have already are replaced.
-    """
-    fields = [T.StructField("mark", T.BinaryType())]
-    if bands:
-        fields.append(T.StructField("keys", T.ArrayType(T.LongType())))
-        fields.append(T.StructField("shingles", T.LongType()))
-    names = [f.name for f in fields]
-    multipliers = bands.multipliers() if bands else None
-
-    @F.pandas_udf(T.StructType(fields))
-    def compute(texts: pd.Series) -> pd.DataFrame:
-        marks, keys, counts = [], [], []
-        for one in texts:
-            hashes = shingle_hashes(one, words)
-            if bands:
-                hashes = np.unique(hashes)
-                keys.append(bands.keys(hashes, multipliers))
-                counts.append(len(hashes))
-            marks.append(fingerprint(hashes, lanes))
-        if not bands:
-            return pd.DataFrame({"mark": marks})
-        return pd.DataFrame({"mark": marks, "keys": keys, "shingles": counts})
-
-    kept = [c for c in docs.columns if c not in names]
-    name = unused("found", docs.columns)
-    return docs.withColumn(name, compute(F.col(text))).select(*kept, f"{name}.*")
+    @F.pandas_udf(T.BinaryType())
+    def compute(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(shingle_hashes(t, words)) for t in texts], dtype=object)
+
+    return compute
 
 
 def pigeonhole_blocks(marks: DataFrame, radius: int, parts: int) -> DataFrame:
@@ -341,11 +240,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def _dealt(blocks: DataFrame, size: Column, chunk: int) -> DataFrame:
+def _dealt(blocks: DataFrame, chunk: int) -> DataFrame:
     """Rows of blocks of more than one row, dealt so that each two chunks of a block (``key``)
     meet; ``low`` and ``high`` are these two."""
-    sizes = blocks.groupBy("key").agg(size.alias("size"), F.count(F.lit(1)).alias("members"))
-    sizes = sizes.filter("members > 1").drop("members")
+    # Counted within tasks first; written, so that both sides of the join can be split.
+    sizes = settle(
+        blocks.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
+    )
     chunks = F.ceil(F.col("size") / chunk)
     own = F.pmod(F.xxhash64("mark"), chunks)
     others = F.sequence(F.lit(0).cast("long"), chunks - 1)
@@ -355,12 +256,11 @@ def _dealt(blocks: DataFrame, size: Column, chunk: int) -> DataFrame:
             lambda i: F.struct(F.least(i, "own").alias("low"), F.greatest(i, "own").alias("high")),
         )
     )
-    rest = [c for c in blocks.columns if c != "key"]
     return (
         blocks.join(sizes, "key")
         .withColumn("own", own)
-        .select("key", F.explode(places).alias("place"), *rest)
-        .select("key", "place.low", "place.high", *rest)
+        .select("key", F.explode(places).alias("place"), "mark")
+        .select("key", "place.low", "place.high", "mark")
     )
 
 
@@ -376,7 +276,7 @@ def block_links(blocks: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame
     hand over a written table.
     """
     dealt = (
-        _dealt(blocks.select("key", "mark"), F.count(F.lit(1)), chunk)
+        _dealt(blocks.select("key", "mark"), chunk)
         .repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high")
     )
@@ -427,134 +327,51 @@ def with_component(marked: DataFrame, links: DataFrame, first: str) -> DataFrame
     return marked.join(found, "mark")
 
 
-def simhash_components(
-    docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 5, key: str = "doc_id"
+def marked_components(
+    texts: DataFrame, words: int = 3, radius: int = 3, parts: int = 5
 ) -> DataFrame:
-    """``key``, ``mark`` (64-bit fingerprint) and ``component`` of every document, exactly.
+    """``row``, ``mark`` (64-bit fingerprint) and ``component`` of texts, exactly.
 
-    Documents are linked where their fingerprints differ in at most ``radius`` bits. The component
-    is the smallest key reachable; nulls come last. Rows of one key are separate documents.
+    Texts are linked where their fingerprints differ in at most ``radius`` bits. The component is the
+    smallest ``row`` reachable; nulls come last.
     """
-    marked = settle(with_fingerprints(docs.select(key, "text"), words).select(key, "mark"))
+    marked = settle(texts.select("row", fingerprints(words)("text").alias("mark")))
     blocks = settle(pigeonhole_blocks(marked.select("mark").distinct(), radius, parts))
-    return with_component(marked, block_links(blocks, radius), key).select(
-        key, "mark", "component"
-    )
+    return with_component(marked, block_links(blocks, radius), "row")
 
 
-#: Width of the prefilter's fingerprints, in lanes of 64 bits, and the differing bits of 512 up to
-#: which texts are compared exactly: 78 are expected at a similarity of 0.8 of the shingles, with a
-#: standard deviation of 8.
-NEAR_LANES = 8
-NEAR_RADIUS = 125
-#: Texts of fewer distinct shingles are compared exactly wherever they meet in a band: their
-#: majority bits have too many ties.
-FEW_SHINGLES = 64
-
-
-def candidate_links(marked: DataFrame, radius: int) -> DataFrame:
-    """Links (``a``, ``b``) that connect at least the marks whose exact comparison may link them.
-
-    ``marked`` (written) has ``mark``, ``keys`` and ``shingles``. Marks that differ in size by more
-    than ``SIMILAR`` never link, so a text of few shingles is near others of few only.
-    """
-    distinct = marked.select("mark", "keys", "shingles").distinct()
-    blocks = settle(distinct.select(F.explode("keys").alias("key"), "mark", "shingles"))
-    many = blocks.filter(F.col("shingles") >= FEW_SHINGLES)
-    part, whole = SIMILAR
-    few = blocks.filter(F.col("shingles") * part < FEW_SHINGLES * whole)
-    centre = few.groupBy("key").agg(F.min("mark").alias("b"))
-    stars = few.join(centre, "key").filter("mark <> b").select(F.col("mark").alias("a"), "b")
-    return block_links(many, radius).union(stars)
-
-
-def exact_links(
-    texts: DataFrame, marked: DataFrame, candidates: DataFrame, words: int, chunk: int | None = None
+def simhash_components(
+    docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 5, key: str = "doc_id"
 ) -> DataFrame:
-    """Links (``a``, ``b``) between marks whose shingle sets are similar, for each candidate link.
+    """``key``, ``mark`` and ``component`` of every document. Rows of one key are separate documents.
 
-    ``texts`` has ``row`` and ``text``; ``marked`` (written) has ``row`` and the columns of
-    ``candidate_links``. Connected candidates meet as a group; a group of more than ``chunk``
-    shingles is cut into its bands, and these into chunks of which each two meet. A group's links
-    are a forest.
+    Other columns of the documents are ignored.
     """
-    chunk = chunk or SET_CHUNK
-    labels = connected_components(candidates).withColumnRenamed("node", "mark")
-    one = F.min(F.struct("row", "keys", "shingles")).alias("one")
-    members = settle(
-        labels.join(marked.groupBy("mark").agg(one), "mark").select("mark", "label", "one.*")
-    )
-    whole = members.groupBy("label").agg(F.sum("shingles").alias("whole"))
-    of_label = F.xxhash64("label")
-    keys = F.when(F.col("whole") <= chunk, F.array(of_label)).otherwise(
-        F.transform("keys", lambda k: F.xxhash64("label", k))
-    )
-    placed = members.join(whole, "label").select(
-        F.explode(keys).alias("key"), "mark", "row", "shingles"
-    )
-    dealt = _dealt(settle(placed), F.sum("shingles"), chunk).drop("shingles")
-    # Only copies of a row meet its text more than once; they come one after another.
-    sorted_texts = (
-        dealt.join(texts, "row")
-        .select("key", "low", "high", "mark", "text")
-        .repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high", "mark")
-    )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, marks, sets = None, [], []
-
-        def links() -> pa.RecordBatch:
-            labels = similar_labels(sets)
-            linked = np.flatnonzero(labels != np.arange(len(labels))).tolist()
-            return _told([marks[i] for i in linked], [marks[labels[i]] for i in linked])
-
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:-1]]
-            for *group, mark, text in zip(
-                *columns, batch.column(batch.num_columns - 1), strict=True
-            ):
-                if group != name:
-                    if len(sets) > 1:
-                        yield links()
-                    name, marks, sets = group, [], []
-                if not marks or marks[-1] != mark:
-                    marks.append(mark)
-                    sets.append(np.unique(shingle_hashes(text.as_py(), words)))
-        if len(sets) > 1:
-            yield links()
-
-    return sorted_texts.mapInArrow(work, _LINKS)
+    found = marked_components(docs.select(F.col(key).alias("row"), "text"), words, radius, parts)
+    return found.select(F.col("row").alias(key), "mark", "component")
 
 
 def keep_one_of_each(
-    docs: DataFrame,
-    words: int = 5,
-    radius: int = NEAR_RADIUS,
-    lanes: int = NEAR_LANES,
-    bands: Bands = Bands(),
-    key: str = "doc_id",
+    docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 5, key: str = "doc_id"
 ) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest key.
+    """One document of each component of near-duplicates: that of the smallest key.
 
-    Near-duplicates are texts whose sets of shingles have a similarity of ``SIMILAR`` or more, and
-    whatever these connect. Copies and repeated rows are one group, as are all texts without words.
-    Documents of one key are told apart by their text; a null key comes last. Returns
-    the columns of ``docs``.
+    Fingerprints decide alone. Copies and repeated rows are one group, as are all texts without words
+    (their fingerprint is zero, which links like any other). Documents of one key are told apart by
+    their text; a null key comes last. Returns all columns of ``docs``.
     """
     text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     order = F.struct(
         docs[key].isNull().alias("none"), docs[key].alias("id"), text_key.alias("text_key")
     )
-    narrow = docs.select(order.alias("row"), "text")
-    marked = settle(with_fingerprints(narrow, words, lanes, bands).drop("text"))
-    links = exact_links(narrow, marked, candidate_links(marked, radius), words)
-    grouped = with_component(marked.select("row", "mark"), links, "row")
-    kept = grouped.select("component").distinct().select("component.id", "component.text_key")
-    on = docs[key].eqNullSafe(kept["id"]) & (text_key == kept["text_key"])
+    grouped = marked_components(docs.select(order.alias("row"), "text"), words, radius, parts)
+    kept = settle(
+        grouped.select("component").distinct().select(
+            F.col("component.id").alias("kept_id"), F.col("component.text_key").alias("kept_key")
+        )
+    )
+    on = docs[key].eqNullSafe(kept["kept_id"]) & (text_key == kept["kept_key"])
     found = docs.join(kept, on, "left_semi")
-    # Repeated rows of one key and text are still there; they were brought together by the join.
-    repeat = Window.partitionBy(docs[key], text_key).orderBy(F.lit(0))
-    name = unused("repeat", docs.columns)
-    numbered = found.withColumn(name, F.row_number().over(repeat))
-    return numbered.filter(F.col(name) == 1).drop(name)
+    # Repeated rows of one key and text are still there; each task keeps one of its own first.
+    name = unused("text_key", docs.columns)
+    return found.withColumn(name, text_key).dropDuplicates([key, name]).drop(name)

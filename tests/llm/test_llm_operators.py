@@ -344,40 +344,22 @@ def test_one_of_each_near_duplicate_stays(spark, docs, nothing):
     assert simhash.keep_one_of_each(nothing).count() == 0
 
 
-def similar_texts() -> list[str]:
-    """Pairs at and just below a similarity of 0.8, short and long, and texts of repeated lines."""
+def test_one_of_each_group_is_that_of_the_fingerprints(spark):
+    """Near copies of several lengths: the fingerprints' distances decide, and nothing else."""
     draw = random.Random(5)
-
-    def fresh(count: int) -> list[str]:
-        return [f"w{draw.randrange(10**9)}" for _ in range(count)]
-
     texts = []
-    for same, more in [(4, 1), (5, 1), (6, 1), (8, 2), (60, 15), (400, 100)]:
-        for extra in (more, more + 1 + same // 100):
-            for _ in range(12):
-                own = fresh(same + 4)
-                texts += [" ".join(own), " ".join(own + fresh(extra))]
-    line = fresh(30)
-    return texts + [" ".join(line * 2), " ".join(line * 90 + fresh(1)), " ".join(line)]
-
-
-@pytest.mark.parametrize("chunk", [None, 50])
-def test_one_of_each_group_is_decided_exactly(spark, monkeypatch, chunk):
-    if chunk:
-        monkeypatch.setattr(simhash, "SET_CHUNK", chunk)
-    texts = similar_texts()
-    sets = []
-    for text in texts:
-        words = text.split()
-        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
-    left = list(range(len(texts)))
-    for i, own in enumerate(sets):
-        for j in range(i):
-            if 5 * len(own & sets[j]) >= 4 * len(own | sets[j]):
-                left[i] = min(left[i], left[j])
+    for length in (0, 2, 5, 30, 300):
+        own = [f"w{draw.randrange(10**9)}" for _ in range(length)]
+        for changed in (0, 0, 1, 2, 9):
+            near = own.copy()
+            for at in draw.sample(range(length), min(changed, length)):
+                near[at] = f"x{at}"
+            texts.append(" ".join(near))
+    ids = list(range(len(texts)))
+    labels = brute.components(ids, [brute.simhash(t, 3) for t in texts], 3)
     rows = [(i, t, "en", "a", 1, "m") for i, t in enumerate(texts)]
-    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(left))
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows + rows[:4], SCHEMA)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(labels))
 
 
 # ---- byte pairs ----------------------------------------------------------------------------
