@@ -1,7 +1,9 @@
 """From raw documents to token ids: a pipeline of five stages, each one operator of the library.
 
 Every stage takes the session, the documents its predecessor kept and the folder of the tables,
-and returns a DataFrame, which is written as Parquet and read again for the next stage.
+and returns a DataFrame, which is written as Parquet and read again for the next stage. All stages but
+the last return the columns of ``documents``; other columns are dropped. Null and empty texts pass
+through as documents of no words, rows that occur twice stay one, and empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near-duplicates stays (shingles of five
-    words, similarity of 0.8 or more, as SimHash tells); texts without words are one group."""
-    return simhash.keep_one_of_each(docs).select(COLUMNS)
+    """The document of the smallest id of each group of near-duplicates stays: fingerprints of shingles
+    of three words that differ in at most three bits, and what these connect. Texts without words
+    are one group."""
+    return simhash.keep_one_of_each(docs, words=3, radius=3).select(COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
