@@ -7,7 +7,6 @@ from pkgwarden.sources.feeds import (
     read_catalogue,
     read_delimited,
     read_key_values,
-    files_with_long_records,
 )
 from pkgwarden.sources.tables import append, create_if_missing, replace, scan
 
@@ -20,7 +19,6 @@ __all__ = [
     "read_catalogue",
     "read_delimited",
     "read_key_values",
-    "files_with_long_records",
     "replace",
     "scan",
 ]

@@ -5,14 +5,14 @@ A malformed record or a missing path raises; nothing is skipped silently.
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pkgwarden.sources import split_csv
 from pkgwarden.sources.schemas import (
     ADVISORY,
     ARCHIVE_TEXT,
@@ -26,22 +26,6 @@ def feed_path(base_dir: str, file: str) -> str:
     return f"{base_dir.rstrip('/')}/{file.lstrip('/')}"
 
 
-def files_with_long_records(
-    spark: SparkSession, path: str, quote: str = '"'
-) -> tuple[list[str], list[str]]:
-    """Files in which a quoted field holds a line break, and the other files.
-
-    A record that goes on in the next line leaves an open quote, so its first line has an odd
-    number of quote characters. Without such a line every line is a whole record, and the file
-    can be split freely instead of being read by one task. One row a file comes to the driver.
-    """
-    lines = spark.read.text(path).withColumn("file", F.input_file_name())
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit(quote), F.lit("")))
-    found = lines.groupBy("file").agg(F.max(quotes % 2).alias("odd")).collect()
-    files = sorted((unquote(row["file"]), row["odd"] == 1) for row in found)
-    return [f for f, odd in files if odd], [f for f, odd in files if not odd]
-
-
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -53,10 +37,13 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header line and doubled quotes inside quoted fields.
 
-    ``text_columns`` stay text; the type of every other column is inferred, which reads the files
-    once more, unless ``schema`` gives all types. A given schema must have the text columns, as
-    text. ``multi_line`` says whether quoted fields may hold line breaks; by default the files are
-    checked, and only those that need it are read unsplit.
+    ``text_columns`` stay text; the type of every other column is inferred unless ``schema`` gives all
+    types. A given schema must have the text columns, as text.
+
+    By default the files are looked through for quoted fields that hold line breaks. Files without any
+    are split freely; of the others the records are cut out split by split and written once, so a file
+    is read twice, each time by all its splits (see ``split_csv``). ``multi_line`` saves the look:
+    false for no such fields, true to read every file unsplit.
     """
 
     def reader(unsplit: bool) -> DataFrameReader:
@@ -65,36 +52,63 @@ def read_delimited(
             multiLine=unsplit,
         )
 
-    parts: list[tuple[str | list[str], bool]] = [(path, bool(multi_line))]
-    if multi_line is None:
-        long, short = files_with_long_records(spark, path, quote)
-        if long:
-            parts = [(files, unsplit) for files, unsplit in ((short, False), (long, True)) if files]
-    unsplit = any(u for _, u in parts)
-    if schema is None:
-        names = reader(unsplit).csv(path).schema.names
+    if schema is not None:
+        kinds = {f.name: f.dataType for f in schema.fields}
+        wrong = sorted(n for n in text_columns if not isinstance(kinds.get(n), T.StringType))
+        if wrong:
+            raise ValueError(f"columns {wrong} must be text in the schema of {path}")
+
+    def completed(names: list[str], infer: Callable[[], T.StructType]) -> T.StructType:
+        if schema is not None:
+            return schema
         absent = sorted(set(text_columns) - set(names))
         if absent:
             raise ValueError(f"columns {absent} are not in {path}: {names}")
         if set(names) <= set(text_columns):
-            schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
-        else:
-            inferred = reader(unsplit).options(inferSchema=True).csv(path).schema
-            schema = T.StructType(
-                [
-                    T.StructField(f.name, T.StringType() if f.name in text_columns else f.dataType)
-                    for f in inferred
-                ]
+            return T.StructType([T.StructField(name, T.StringType()) for name in names])
+        return T.StructType(
+            [
+                T.StructField(f.name, T.StringType() if f.name in text_columns else f.dataType)
+                for f in infer()
+            ]
+        )
+
+    def plain(paths: str | list[str], unsplit: bool, wanted: T.StructType | None) -> DataFrame:
+        if wanted is None:
+            wanted = completed(
+                reader(unsplit).csv(paths).schema.names,
+                lambda: reader(unsplit).options(inferSchema=True).csv(paths).schema,
             )
+        return reader(unsplit).options(enforceSchema=False).schema(wanted).csv(paths)
+
+    if multi_line is not None:
+        return plain(path, multi_line, None)
+    known = split_csv.splits(spark, path, quote)
+    long = sorted({s.file for s in known if s.long})
+    short = sorted({s.file for s in known} - set(long))
+    if not long:
+        return plain(path, False, None)
+    options = {
+        "sep": delimiter, "quote": quote, "escape": quote, "mode": "FAILFAST", "multiLine": "true"
+    }
+    records, irregular = split_csv.read_records(spark, long, known, delimiter, quote)
+    if irregular or short:
+        # Types must hold for all files: they are inferred by one reader.
+        others = [([unquote(f) for f in short], False), ([unquote(f) for f in irregular], True)]
+        wanted = completed(
+            reader(True).csv(path).schema.names,
+            lambda: reader(True).options(inferSchema=True).csv(path).schema,
+        )
     else:
-        kinds = {f.name: f.dataType for f in schema.fields}
-        wrong = sorted(n for n in text_columns if not isinstance(kinds.get(n), T.StringType))
-        if wrong:
-            raise ValueError(f"columns {wrong} must be text in the schema of {path}")
-    frames = [
-        reader(u).options(inferSchema=False, enforceSchema=False).schema(schema).csv(files)
-        for files, u in parts
-    ]
+        others = []
+        names = split_csv.header_names(records, delimiter, quote)
+        wanted = completed(names, lambda: split_csv.inferred(records, names, options))
+    frames = [plain(files, unsplit, wanted) for files, unsplit in others if files]
+    if len(irregular) < len(long):
+        names = split_csv.header_names(records, delimiter, quote)
+        if names != wanted.names:
+            raise ValueError(f"the header of {path} is {names}, not {wanted.names}")
+        frames.append(split_csv.parsed(records, wanted, options))
     return reduce(DataFrame.unionByName, frames)
 
 

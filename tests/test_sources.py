@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
+import random
 
 import pytest
 from pyspark.sql import types as T
@@ -12,7 +14,7 @@ from pkgwarden.sources import (
     read_catalogue,
     read_delimited,
     read_key_values,
-    files_with_long_records,
+    split_csv,
     tables,
 )
 
@@ -37,8 +39,100 @@ def test_quotes_and_line_breaks(spark, tmp_path):
 
 
 def test_line_breaks_are_detected(spark, tmp_path):
-    assert files_with_long_records(spark, write(tmp_path, "q.csv", QUOTED))[0]
-    assert not files_with_long_records(spark, write(tmp_path, "p.csv", PLAIN))[0]
+    found = {
+        name: [s.long for s in split_csv.splits(spark, write(tmp_path, f"{name}.csv", text))]
+        for name, text in {"q": QUOTED, "p": PLAIN, "r": PLAIN.replace("line1", "a\rb")}.items()
+    }
+    assert found == {"q": [True], "p": [False], "r": [True]}
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of a few bytes, so that records begin and end anywhere in them."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("150", "1"), strict=True):
+        spark.conf.set(name, value)
+    yield
+    for name, value in zip(names, before, strict=True):
+        spark.conf.set(name, value)
+
+
+def csv_text(seed: int, rows: int, end: str = "\n") -> str:
+    """Fields of all kinds: plain, quoted, empty, with doubled quotes, delimiters and line breaks."""
+    draw = random.Random(seed)
+    parts = ["a", 'say ""x""', "; ", "one\ntwo", "\n\n", "é漢", "", '""', "x\r\ny", "z" * 60, ";\n"]
+
+    def field() -> str:
+        if draw.random() < 0.5:
+            return draw.choice(["", "7", "plain", "-1.5"])
+        return '"' + "".join(draw.choice(parts) for _ in range(draw.randrange(4))) + '"'
+
+    lines = ["a;b;Date/Publication;n"]
+    lines += [f"{i};{field()};{field()};{draw.randrange(99)}" for i in range(rows)]
+    return end.join(lines) + (end if seed % 2 else "")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_split_reading_equals_unsplit_reading(spark, tmp_path, small_splits, seed):
+    end = "\r\n" if seed % 3 == 2 else "\n"
+    path = write(tmp_path, "a b%20c.csv", csv_text(seed, 60, end))
+    known = split_csv.splits(spark, path)
+    assert len(known) > 10 and sum(s.inside for s in known) > 2
+    assert split_csv._lines(spark, path).rdd.getNumPartitions() > 10
+    whole = read_delimited(spark, path, ["b"], multi_line=True)
+    found = read_delimited(spark, path, ["b"])
+    assert found.schema == whole.schema
+    assert found.schema["n"].dataType == T.IntegerType()
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+    given = read_delimited(spark, path, schema=whole.schema)
+    assert sorted(map(str, given.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_record_over_many_splits(spark, tmp_path, small_splits):
+    long = "\n".join(f"line {i} of a long field" for i in range(40))
+    path = write(tmp_path, "t.csv", f'"a\n{long}";b\n1;"{long}"\n2;"{long}"\n')
+    assert [tuple(r) for r in read_delimited(spark, path).orderBy("b").collect()] == [(1, long), (2, long)]
+    assert read_delimited(spark, path).columns == [f"a\n{long}", "b"]
+
+
+def test_files_of_all_kinds_together(spark, tmp_path, small_splits):
+    """Plain ones, long ones, and such as only the unsplit reader takes as it does."""
+    texts = [
+        "a;b\n1;x\n2;y\n", 'a;b\n3;"x\ny"\n4;""\n', 'a;b\n5;6" pipe\n6;5" pipe\n',
+        'a;b\n7;"u\nv"\n8;6" pipe\n', 'a;b\n9; "q" \n10;"x\n"\n',
+    ]
+    for i, text in enumerate(texts):
+        write(tmp_path, f"all/{i}.csv", text)
+    path = str(tmp_path / "all/*.csv")
+    whole = read_delimited(spark, path, ["b"], multi_line=True)
+    found = read_delimited(spark, path, ["b"])
+    assert found.schema == whole.schema
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_headers_of_split_files_must_agree(spark, tmp_path):
+    write(tmp_path, "all/1.csv", 'a;b\n1;"x\ny"\n')
+    write(tmp_path, "all/2.csv", 'a;c\n1;"x\ny"\n')
+    with pytest.raises(ValueError, match="header"):
+        read_delimited(spark, str(tmp_path / "all"), ["a", "b"])
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("z", T.StringType())])
+    with pytest.raises(ValueError, match="header"):
+        read_delimited(spark, str(tmp_path / "all/1.csv"), schema=schema)
+
+
+def test_a_split_file_with_missing_fields_raises(spark, tmp_path):
+    path = write(tmp_path, "t.csv", 'a;b\n1;"x\ny"\n3\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_delimited(spark, path, ["a", "b"]).collect()
+
+
+def test_splits_that_move_are_noticed(spark, tmp_path, small_splits):
+    path = write(tmp_path, "t.csv", csv_text(1, 40))
+    known = split_csv.splits(spark, path)
+    stale = [dataclasses.replace(s, length=s.length + 1) for s in known]
+    records, irregular = split_csv.read_records(spark, [known[0].file], stale, ";", '"')
+    assert records.filter("NOT header").count() == 40 and irregular == []
 
 
 def test_both_readings_agree_without_line_breaks(spark, tmp_path):
