@@ -12,6 +12,7 @@ from pkgwarden.functions.version import (
     version_at_least,
     version_key,
     version_key_text,
+    version_literal,
 )
 
 __all__ = [
@@ -27,4 +28,5 @@ __all__ = [
     "version_at_least",
     "version_key",
     "version_key_text",
+    "version_literal",
 ]

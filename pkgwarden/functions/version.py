@@ -1,9 +1,11 @@
 """Version ordering as Column expressions.
 
-A version is cut into segments, each segment becomes a number, and the resulting arrays are
-compared element by element; a shorter version that is a prefix of a longer one is the smaller.
-Spark orders a null array element before every number, while versions need a segment that is no
-number after every number, so such a segment gets a number of its own above the integer range.
+A version is cut into segments, and each segment becomes a number of four bytes, the most significant
+first. The bytes of all segments, one after another, are the version's key: keys are compared byte by
+byte, so the segments are compared in turn, and a shorter version that is a prefix of a longer one is the
+smaller. A segment that is no number gets a number above the integer range, as versions need it after
+every number. A key is a plain binary value: stored, it has statistics, and a comparison with a
+literal key is pushed to the scan.
 """
 
 from __future__ import annotations
@@ -18,15 +20,22 @@ UNPARSABLE_SEGMENT = 2147483648
 
 
 def version_key(version: Column) -> Column:
-    """``array<bigint>`` that sorts like the version; null for a null version."""
+    """``binary`` that sorts like the version; null for a null version."""
     # With one separator the split needs no regular expression.
     segments = F.split(F.replace(version, F.lit(DASH), F.lit(DOT)), rf"\{DOT}", -1)
-    return F.transform(
+    digits = F.transform(
         segments,
-        lambda segment: F.coalesce(
-            segment.try_cast("int").cast("bigint"), F.lit(UNPARSABLE_SEGMENT)
+        lambda segment: F.lpad(
+            F.hex(F.coalesce(segment.try_cast("int").cast("bigint"), F.lit(UNPARSABLE_SEGMENT))), 8, "0"
         ),
     )
+    return F.unhex(F.array_join(digits, ""))
+
+
+def version_literal(spark: SparkSession, version: str | None) -> Column:
+    """The key of one version as a literal, which a scan of stored keys can be filtered by."""
+    key = spark.range(1).select(version_key(F.lit(version).cast("string"))).first()[0]
+    return F.lit(None if key is None else bytearray(key)).cast("binary")
 
 
 def version_at_least(version: Column, other: Column) -> Column:
@@ -35,11 +44,12 @@ def version_at_least(version: Column, other: Column) -> Column:
 
 
 def version_key_text(key: Column) -> Column:
-    """The key as comma-separated text, with an empty field for an unparsable segment."""
+    """The key as comma-separated numbers, with an empty field for an unparsable segment."""
+    places = F.sequence(F.lit(1), F.octet_length(key), F.lit(4))
+    numbers = F.transform(places, lambda at: F.conv(F.hex(F.substring(key, at, F.lit(4))), 16, 10))
     return F.array_join(
         F.transform(
-            key,
-            lambda n: F.when(n == UNPARSABLE_SEGMENT, F.lit("")).otherwise(n.cast("string")),
+            numbers, lambda n: F.when(n == str(UNPARSABLE_SEGMENT), F.lit("")).otherwise(n)
         ),
         ",",
     )
@@ -48,7 +58,7 @@ def version_key_text(key: Column) -> Column:
 def register_version_function(spark: SparkSession, name: str = "r_ver") -> None:
     """Make the version key callable from SQL text in this session."""
     spark.sql(
-        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v STRING) RETURNS ARRAY<BIGINT> RETURN "
-        f"transform(split(replace(v, '{DASH}', '{DOT}'), '\\\\{DOT}', -1), segment -> "
-        f"coalesce(CAST(try_cast(segment AS INT) AS BIGINT), {UNPARSABLE_SEGMENT}L))"
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v STRING) RETURNS BINARY RETURN "
+        f"unhex(array_join(transform(split(replace(v, '{DASH}', '{DOT}'), '\\\\{DOT}', -1), segment -> "
+        f"lpad(hex(coalesce(CAST(try_cast(segment AS INT) AS BIGINT), {UNPARSABLE_SEGMENT}L)), 8, '0')), ''))"
     )

@@ -17,6 +17,7 @@ from pkgwarden.functions import (
     strict_date,
     version_at_least,
     version_key,
+    version_literal,
 )
 
 VERSION_PAIRS = [
@@ -189,3 +190,20 @@ def test_strict_date_raises(spark, text, ansi):
             df.select(strict_date(F.col("t"))).collect()
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_stored_keys_are_filtered_at_the_scan(spark, tmp_path, plan_of):
+    """Keys are written as they are compared, so whole files of smaller ones are skipped."""
+    versions = [f"{a}.{b}" for a in range(30) for b in range(30)]
+    df = spark.createDataFrame([(v,) for v in versions], "v string")
+    keyed = df.withColumn("version_key", version_key(F.col("v")))
+    path = str(tmp_path / "keys")
+    keyed.repartitionByRange(6, "version_key").sortWithinPartitions("version_key").write.parquet(path)
+    stored = spark.read.parquet(path)
+    late = stored.filter(F.col("version_key") >= version_literal(spark, "25.3"))
+    assert "PushedFilters: [IsNotNull(version_key), GreaterThanOrEqual(version_key," in plan_of(late)
+    expected = [v for v in versions if tuple(map(int, v.split("."))) >= (25, 3)]
+    assert sorted(r["v"] for r in late.collect()) == sorted(expected)
+    leaf = late._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert len(expected) <= leaf.metrics().apply("numOutputRows").value() <= 2 * 900 // 6
+    assert stored.filter(F.col("version_key") >= version_literal(spark, None)).count() == 0
