@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgwarden.sources import files
+from pkgwarden.sources.schemas import DEFAULT
 
 
 _local_dirs: dict[str, str] = {}
@@ -48,31 +48,36 @@ def replace(df: DataFrame, path: str) -> DataFrame:
     return scan(df.sparkSession, path, df.schema)
 
 
-def append(
-    df: DataFrame,
-    path: str,
-    schema: T.StructType | None = None,
-    defaults: Mapping[str, Column] | None = None,
-) -> None:
+def declared_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema of a stored table with the defaults it declares, or none where nothing is stored."""
+    try:
+        return scan(spark, path).schema
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def append(df: DataFrame, path: str, schema: T.StructType | None = None) -> None:
     """Add rows to a table, creating it if missing.
 
-    With the ``schema`` of the table, columns that the rows lack are filled by their declared
-    defaults (null where none is declared) and columns that it does not have are refused.
+    A table keeps the defaults that its schema declares (``schemas.defaulted``), so a writer may leave
+    columns out without naming them: they get their default, or null where none is declared. Columns
+    that the table does not have are refused. ``schema`` is that of a table that is not stored yet;
+    without one the rows' own is taken.
     """
-    if schema is not None:
-        unknown = sorted(set(df.columns) - set(schema.names))
-        if unknown:
-            raise ValueError(f"columns {unknown} are not in the table: {schema.names}")
-        known = dict(defaults or {})
-        df = df.select(
-            *[
-                (F.col(f"`{f.name}`") if f.name in df.columns else known.get(f.name, F.lit(None)))
-                .cast(f.dataType)
-                .alias(f.name)
-                for f in schema.fields
-            ]
-        )
-    df.write.mode("append").parquet(path)
+    schema = declared_schema(df.sparkSession, path) or schema or df.schema
+    unknown = sorted(set(df.columns) - set(schema.names))
+    if unknown:
+        raise ValueError(f"columns {unknown} are not in the table: {schema.names}")
+
+    def value(field: T.StructField) -> Column:
+        if field.name in df.columns:
+            return F.col(f"`{field.name}`")
+        return F.expr(field.metadata.get(DEFAULT, "NULL"))
+
+    columns = [value(f).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema.fields]
+    df.select(*columns).write.mode("append").parquet(path)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import types as T
 
 from pkgwarden.sources import (
+    schemas,
     read_advisories,
     read_catalogue,
     read_delimited,
@@ -92,7 +93,8 @@ def test_split_reading_equals_unsplit_reading(spark, tmp_path, small_splits, see
 def test_a_record_over_many_splits(spark, tmp_path, small_splits):
     long = "\n".join(f"line {i} of a long field" for i in range(40))
     path = write(tmp_path, "t.csv", f'"a\n{long}";b\n1;"{long}"\n2;"{long}"\n')
-    assert [tuple(r) for r in read_delimited(spark, path).orderBy("b").collect()] == [(1, long), (2, long)]
+    found = sorted(tuple(r) for r in read_delimited(spark, path).collect())
+    assert found == [(1, long), (2, long)]
     assert read_delimited(spark, path).columns == [f"a\n{long}", "b"]
 
 
@@ -219,3 +221,30 @@ def test_only_a_local_session_gets_a_temporary_folder():
     assert tables.shared_dir(local) == tables.shared_dir(local)
     with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
         tables.shared_dir(FakeSession(spark_master="yarn"))
+
+
+def test_a_table_keeps_its_defaults(spark, tmp_path):
+    """A writer that names neither the schema nor the defaults gets them."""
+    path = str(tmp_path / "table")
+    schema = schemas.defaulted(
+        schemas.struct(ts=schemas.TIME, msg=schemas.STRING, n=T.IntegerType(), other=schemas.STRING),
+        ts="current_timestamp()", n="6 * 7",
+    )
+    tables.create_if_missing(spark, path, schema)
+    for i in range(3):
+        rows = spark.createDataFrame([(f"m{i}",)], "msg string")
+        tables.append(rows, path)
+    tables.append(spark.createDataFrame([(1, "given")], "n long, msg string"), path)
+    found = spark.read.parquet(path).orderBy("msg").collect()
+    assert [(r.msg, r.n, r.other) for r in found] == [
+        ("given", 1, None), ("m0", 42, None), ("m1", 42, None), ("m2", 42, None),
+    ]
+    assert all(r.ts is not None for r in found)
+    assert spark.read.parquet(path).schema == schema
+    with pytest.raises(ValueError, match="not in the table"):
+        tables.append(spark.createDataFrame([(1,)], "unknown int"), path)
+    # A table that is not there yet has the schema of its first rows, or the given one.
+    new = str(tmp_path / "new")
+    tables.append(spark.createDataFrame([("a",)], "msg string"), new, schema)
+    tables.append(spark.createDataFrame([("b",)], "msg string"), new)
+    assert {r.n for r in spark.read.parquet(new).collect()} == {42}
