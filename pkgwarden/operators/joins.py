@@ -19,6 +19,14 @@ _SHARE = "_share"
 _SHARES = "_shares"
 _MATCHED = "_matched"
 
+#: Keys that a sketch of frequent keys follows, keys that it proposes, and groups in which sketches of
+#: tasks are merged before the last merge.
+FOLLOWED = 4_096
+PROPOSED = 1_000
+MERGED = 64
+# Types that Spark's sketch takes.
+_SKETCHED = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType)
+
 
 @dataclass(frozen=True)
 class JoinLimits:
@@ -97,14 +105,41 @@ def lookup_join(
     return _cell_join(rows, lookup, key, how, limits)
 
 
+def frequent_keys(df: DataFrame, key: str) -> DataFrame:
+    """The key values that may be hot: ``PROPOSED`` at most, without duplicates.
+
+    Every task summarises its keys in a sketch of bounded size, sketches are merged, and the most frequent
+    keys of the last one are returned. A key with more than one in about ``3 / 4 * FOLLOWED`` rows is
+    among them, whatever the order of the rows; the rows themselves are not shuffled.
+    """
+    group = (F.spark_partition_id() % MERGED).alias("part")
+    accumulate = F.expr(f"approx_top_k_accumulate(`{key}`, {FOLLOWED})")
+    parts = df.filter(F.col(key).isNotNull()).groupBy(group).agg(accumulate.alias("sketch"))
+    estimate = F.expr(
+        f"approx_top_k_estimate(approx_top_k_combine(sketch, {FOLLOWED}), {PROPOSED})"
+    )
+    # Grouped by a constant: without rows there is no sketch to look into.
+    whole = parts.groupBy(F.lit(0).alias("all")).agg(estimate.alias("top"))
+    top = whole.select(F.explode("top").alias("one"))
+    return top.select(F.col("one.item").alias(key))
+
+
 def _hot_keys(rows: DataFrame, lookup: DataFrame, key: str, limits: JoinLimits) -> DataFrame:
     """Each hot key with the number of cells of its entries and of shares of its rows.
 
-    Keys are counted within tasks first, so a hot key costs a row a task.
+    Only the keys that either side's sketch proposes are counted, exactly; a key that neither
+    proposes is less than a task's share of the rows. Counting is done within tasks first.
     """
     present = F.col(key).isNotNull()
-    entries = lookup.filter(present).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    probes = rows.filter(present).groupBy(key).agg(F.count(F.lit(1)).alias("m"))
+    entries, probes = lookup.filter(present), rows.filter(present)
+    if isinstance(rows.schema[key].dataType, _SKETCHED):
+        proposed = settle(
+            frequent_keys(lookup, key).unionByName(frequent_keys(rows, key)).distinct()
+        )
+        # At most twice PROPOSED keys.
+        entries, probes = (df.join(F.broadcast(proposed), key) for df in (entries, probes))
+    entries = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    probes = probes.groupBy(key).agg(F.count(F.lit(1)).alias("m"))
     cells = F.ceil(F.col("n") / limits.cell_rows)
     shares = F.ceil(F.ceil(F.col("n") / F.col(_CELLS)) * F.col("m") / limits.cell_pairs)
     counted = entries.join(probes, key).withColumn(_CELLS, cells.cast("int"))

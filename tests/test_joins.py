@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pkgwarden.operators import joins
 from pkgwarden.operators import (
     JoinLimits,
     Size,
@@ -183,3 +184,27 @@ def test_the_hot_join_takes_the_whole_lookup(spark):
     reached = {p for _, _, p in expected if p is not None}
     assert {p for p, size in parts if size == 1} <= reached
     assert multiset(entry.left_join_whole(spark, folder)) == expected
+
+
+def test_frequent_keys_are_proposed_without_a_shuffle_of_the_rows(spark, monkeypatch, plan_of):
+    monkeypatch.setattr(joins, "PROPOSED", 3)
+    hot = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 == 0, "warm")
+    rows = spark.range(20_000).select(F.coalesce(hot, F.concat(F.lit("k"), "id")).alias("k"), "id")
+    rows = rows.union(spark.range(500).selectExpr("CAST(NULL AS STRING)", "id"))
+    found = joins.frequent_keys(rows, "k")
+    assert {"hot", "warm"} <= {r["k"] for r in found.collect()} and found.count() == 3
+    assert "hashpartitioning(k" not in plan_of(found)
+    assert joins.frequent_keys(rows.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date", "binary", "decimal(5,1)"])
+def test_hot_keys_of_all_types(spark, kind):
+    limits = JoinLimits(broadcast_rows=0, cell_rows=4, cell_pairs=50)
+    text = F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id") % 30)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), text.cast("int"))
+    key = {"date": day, "binary": text.cast("string").cast("binary")}.get(kind, text.cast("string").cast(kind))
+    rows = spark.range(60).select(key.alias("k"), F.col("id").alias("a"))
+    lookup = spark.range(40).select(key.alias("k"), F.col("id").alias("b"))
+    expected = rows.join(lookup, "k", "left")
+    found = lookup_join(rows, lookup, "k", limits=limits)
+    assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
