@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 from pkgwarden.functions.version import register_version_function, version_key
 from pkgwarden.operators.filters import status_is, wanted_status
 from pkgwarden.operators.joins import DEFAULT_LIMITS, JoinLimits, Size, measure
-from pkgwarden.operators.paging import Page
+from pkgwarden.operators.ordering import SortKey, total_order
+from pkgwarden.operators.paging import DEFAULT_LIMIT, DEFAULT_OFFSET, Page
+from pkgwarden.operators.rank_index import ROW, IndexedTable, write_indexed
 from pkgwarden.operators.spread import SPREAD, with_spread
 from pkgwarden.operators.tables import KeyViolation, insert_if_absent, now
 from pkgwarden.plans import records
@@ -46,7 +48,7 @@ from pkgwarden.plans.safety import (
     packages_search,
     parse_archive,
 )
-from pkgwarden.plans.search import search_view
+from pkgwarden.plans.search import DEFAULT_ORDER, NDJSON, SORTABLE, search_view, sort_keys
 from pkgwarden.sources import feeds, files, tables
 from pkgwarden.sources.numbered import NumberedLog
 from pkgwarden.sources.schemas import (
@@ -210,13 +212,16 @@ class PackageStore:
         )
 
         def stage_classified(name: str, df: DataFrame) -> DataFrame:
-            # Rows of one status lie together, in files of even size, so that a status filter
-            # reads only those. The partition column comes last, as Spark reads it back.
+            # Rows of one status lie together, so that a status filter reads only those. The
+            # partition column comes last, as Spark reads it back.
             path = self._path(f"{version}/{name}")
-            found = with_spread(df)
-            found.hint("rebalance", STATUS).write.mode("overwrite").partitionBy(STATUS).parquet(path)
+            found = tables.settle(with_spread(df))
+            base = [*total_order(df, sort_keys()), SortKey(SPREAD)]
+            write_indexed(found, path, base, _indexed(df.columns), STATUS)
             order = [c for c in found.columns if c != STATUS]
-            return tables.scan(spark, path, found.select(*order, STATUS).schema)
+            number = T.StructField(ROW, T.LongType())
+            schema = T.StructType([*found.select(*order).schema, number, found.schema[STATUS]])
+            return tables.scan(spark, f"{path}/rows", schema)
 
         searchable, report = _side_by_side(
             spark,
@@ -303,6 +308,11 @@ def _side_by_side(spark: SparkSession, *steps: Callable) -> list:
     return [step.result() for step in started]
 
 
+def _indexed(columns: Sequence[str]) -> tuple[str, ...]:
+    """The columns of a table by which a caller may sort."""
+    return tuple(name for name in SORTABLE if name in columns)
+
+
 def _row_counts(staged: dict[str, DataFrame]) -> dict[str, int]:
     """Rows per table: one job, one row per table."""
     counted = [
@@ -334,12 +344,40 @@ class PublishedVersion:
             return self.store._history(self.run_id)
         if name == RUNS:
             return self.store._runs(self.run_id).select(*REFRESH_LOG.names)
+        if name in (SEARCH, REPORT):
+            return self._indexed(name).rows()
         if name not in self._scans:
-            schema = T.StructType.fromJson(json.loads(self.entry["schemas"][name]))
             path = self.store._path(f"{self.entry['version']}/{name}")
-            self._scans[name] = tables.scan(self.store.spark, path, schema)
+            self._scans[name] = tables.scan(self.store.spark, path, self._schema(name))
         return self._scans[name]
 
+    def _schema(self, name: str) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self.entry["schemas"][name]))
+
+    def _indexed(self, name: str) -> IndexedTable:
+        path = self.store._path(f"{self.entry['version']}/{name}")
+        schema = self._schema(name)
+        return IndexedTable(self.store.spark, path, _indexed(schema.names), schema)
+
+    def _page(
+        self,
+        name: str,
+        columns: Sequence[str],
+        sort_by: str | None,
+        sort_order: str | None,
+        limit: int | None,
+        offset: int | None,
+    ) -> Page:
+        """A page of a whole stored table, by its index."""
+        found = self._indexed(name)
+        limit = DEFAULT_LIMIT if limit is None else limit
+        offset = DEFAULT_OFFSET if offset is None else offset
+        key = None if sort_by is None else sort_keys(sort_by, sort_order)[0]
+        if key is not None and key.column not in found.columns:
+            key = SortKey(DEFAULT_ORDER[0], key.descending)
+        rows = found.page(key and key.column, bool(key and key.descending), limit, offset)
+        return Page(rows.select(*columns), limit, offset, self.entry["row_counts"][name])
+
     def row_counts(self) -> DataFrame:
         """Rows per published table."""
         own = self.store.commits.rows().filter(F.col("run_id") == self.run_id)
@@ -366,8 +404,10 @@ class PublishedVersion:
         format=None,
     ) -> DataFrame | Page:
         unfiltered = not term and wanted_status(status) is None
+        if unfiltered and format != NDJSON:
+            return self._page(SEARCH, SEARCH_COLUMNS, sort_by, sort_order, limit, offset)
         return search_view(
-            self.table(SEARCH),
+            self.table(SEARCH).drop(ROW),
             term,
             status,
             sort_by,
@@ -375,10 +415,15 @@ class PublishedVersion:
             limit,
             offset,
             format,
-            total=self.entry["row_counts"][SEARCH] if unfiltered else None,
             stored=True,
         )
 
+    def report_page(
+        self, sort_by=None, sort_order=None, limit=None, offset=None
+    ) -> Page:
+        """A page of the safety report, sorted as a search is; a column that it lacks is no sort key."""
+        return self._page(REPORT, REPORT_COLUMNS, sort_by, sort_order, limit, offset)
+
     def release_history(self, limit=None, offset=None, format=None) -> DataFrame | Page:
         return records.release_history(self.table(HISTORY), limit, offset, format)
 
