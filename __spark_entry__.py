@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -21,6 +20,7 @@ from pkgwarden.functions import (  # noqa: E402
     version_at_least,
     version_key,
     version_key_text,
+    version_literal,
 )
 from pkgwarden.operators import (  # noqa: E402
     JoinLimits,
@@ -53,12 +53,13 @@ from pkgwarden.sources import tables  # noqa: E402
 from pkgwarden.sources.schemas import LOGS  # noqa: E402
 from pkgwarden.streaming import json_rows  # noqa: E402
 
-# The operators of the training-data pipeline are an optional part.
-if importlib.util.find_spec("pkgwarden.llm") is None:
-    corpus_pipeline = llm_queries = None
-else:
+# The operators of the training-data pipeline are an optional part: without it, or without what it
+# needs, the other queries are there all the same.
+try:
     import corpus_pipeline
     from pkgwarden.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
 
 # Options of the delimited feeds, for writing test feeds.
 CSV = {"sep": ";", "quote": '"', "escape": '"', "header": True}
@@ -168,9 +169,9 @@ def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.scratch_path(spark, "logs")
     tables.create_if_missing(spark, path, LOGS)
     tables.append(feeds.log_entries(spark, sf_dir).select("ts", "msg"), path)
-    # One more message, whose time comes from the declared default.
+    # One more message, whose time comes from the default that the table declares.
     message = spark.range(0, 1, numPartitions=1).select(F.lit("appended").alias("msg"))
-    tables.append(message, path, LOGS, {"ts": F.current_timestamp().cast("timestamp_ntz")})
+    tables.append(message, path)
     added = append_message(tables.scan(spark, path, LOGS), "refreshed")
     return _old_times(added, "ts", F.col("msg").isin("appended", "refreshed"))
 
@@ -210,6 +211,24 @@ def published_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published(spark, sf_dir).search_packages(term="ring", status="SAFE", format="ndjson")
 
 
+def published_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page from the middle of the published report, read by its index."""
+    version = published(spark, sf_dir)
+    middle = version.entry["row_counts"]["package_safety_report"] // 2
+    return version.report_page("version", "desc", 200, middle).rows
+
+
+def published_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(spark, sf_dir).search_packages(sort_by="published", limit=60, offset=100).rows
+
+
+def late_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published archive files from a version on, by their stored keys."""
+    files = published(spark, sf_dir).table("stage_cran_archive")
+    late = F.col("version_key") >= version_literal(spark, "5.40")
+    return files.filter(late).select("file_name", "Package", "Version")
+
+
 def sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     published(spark, sf_dir).register_views()
     return spark.sql(
@@ -285,24 +304,6 @@ def left_join_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_join(parts, files, "Package", limits=limits)
 
 
-def left_join_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that are hot by their entries, by the product of both sides only, null, and missing."""
-    level = F.col("event_type")
-    rows = feeds.table(spark, sf_dir, "events").select(
-        "event_id", F.when(level != "click", level).alias("k")
-    )
-    priority = F.element_at(
-        F.array(*[F.lit(name) for name in EVENT_TYPES]), (F.col("p_size") % 7 + 1).cast("int")
-    )
-    parts = feeds.table(spark, sf_dir, "part").filter("p_size % 7 < 5")
-    lookup = parts.filter("p_partkey % 50 = 0").select(priority.alias("k"), "p_partkey")
-    limits = JoinLimits(broadcast_rows=0, cell_rows=2, cell_pairs=500)
-    joined = lookup_join(rows, lookup, "k", limits=limits)
-    return joined.groupBy("k", "p_partkey").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")
-    )
-
-
 def left_join_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events with all parts by a key of many values: one hot by its rows, one by its entries,
     null and missing ones. The product grows as the tables do."""
@@ -521,6 +522,9 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "refresh_publish": refresh_publish,
         "published_report": published_report,
         "published_search": published_search,
+        "published_page_deep": published_page_deep,
+        "published_search_page": published_search_page,
+        "late_versions": late_versions,
         "sql_views": sql_views,
         "advisory_flatten": advisory_flatten,
         "advisory_lookup": advisory_lookup,
@@ -531,7 +535,6 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "version_function": version_function,
         "left_join_advisories": left_join_advisories,
         "left_join_cells": left_join_cells,
-        "left_join_hot": left_join_hot,
         "left_join_whole": left_join_whole,
         "safety_report": safety_report,
         "safety_counts": safety_counts,
@@ -666,6 +669,17 @@ def core_oracle_sql() -> dict[str, str]:
         "published_search": with_feeds
         + f" SELECT {_SEARCH} FROM searchable"
         f" WHERE {_term('%ring%')} AND osv_safety_status = 'SAFE'",
+        "published_page_deep": with_feeds
+        + f' SELECT {_REPORT} FROM report ORDER BY "Version" DESC NULLS LAST, "Package", osv_id,'
+        ' "Title", "Description", "Published", status, osv_safety_status'
+        " LIMIT 200 OFFSET (SELECT count(*) // 2 FROM report)",
+        "published_search_page": with_feeds
+        + f' SELECT {_SEARCH} FROM searchable ORDER BY "Published", "Package", "Version", osv_id,'
+        ' "Title", "Description", "License", status, osv_safety_status LIMIT 60 OFFSET 100',
+        "late_versions": with_feeds
+        + ' SELECT file_name, "Package", "Version" FROM archive_parsed WHERE '
+        + key('"Version"')
+        + " >= [5, 40]",
         "sql_views": with_feeds
         + " SELECT status, osv_safety_status, count(*) AS n,"
         f" count(*) FILTER ({key(chr(34) + 'Version' + chr(34))} >= [25, 3, 2]) AS n_late"
@@ -695,12 +709,6 @@ def core_oracle_sql() -> dict[str, str]:
         "left_join_cells": with_feeds
         + ' SELECT concat(\'pkg\', p_partkey) AS "Package", p_name, "Version", size FROM part'
         " LEFT JOIN archive_parsed ON concat('pkg', p_partkey) = \"Package\"",
-        "left_join_hot": "WITH r AS (SELECT event_id, CASE WHEN event_type <> 'click'"
-        " THEN event_type END AS k FROM events), l AS (SELECT "
-        f" {list(EVENT_TYPES)}[(p_size % 7 + 1)::INTEGER] AS k, p_partkey FROM part"
-        " WHERE p_size % 7 < 5 AND p_partkey % 50 = 0)"
-        " SELECT k, p_partkey, count(*) AS n, sum(event_id)::BIGINT AS ids"
-        " FROM r LEFT JOIN l USING (k) GROUP BY ALL",
         "left_join_whole": "WITH r AS (SELECT event_id, CASE WHEN event_type = 'view' THEN 0"
         " WHEN event_type = 'signup' THEN event_id WHEN event_type <> 'click' THEN user_id END AS k"
         " FROM events), l AS (SELECT CASE WHEN p_size = 1 THEN 1 ELSE p_partkey END AS k, p_partkey"
