@@ -2,22 +2,29 @@
 
 A text is cut into lines, a line into tokens: runs of letters, digits and ``_ + / . -``, and every
 other character that is no white space by itself. A token has features of its shape (length,
-kinds of characters, changes between them), of the words around it and of the file (shares of
-digits and of ``= :``). The field scores the tags outside, begin and inside; the best tag sequence
-of a line is found by Viterbi decoding. It is trained on a bounded sample of documents
-(``FIT_DOCS``), whose tags are those of the patterns' matches, by the exact gradient of the
-likelihood.
+kinds of characters, changes between them, longest runs, signs inside), of the words around it and of
+the file (shares of digits and of ``= :``). The field scores the tags outside, begin and inside; the
+best tag sequence of a line is found by Viterbi decoding.
+
+It is trained by the exact gradient of the likelihood on two tables: the labelled lines of
+``secret_shapes``, and windows of at most ``DOC_TOKENS`` tokens of each of at most ``FIT_DOCS``
+documents of different texts, around the patterns' matches and elsewhere, tagged as the patterns match.
+Every window is seen a second time without its words, so shapes and file features have to
+tell secrets that no known word announces.
 
 Decoding is exact and short: a token for which outside is better whatever its neighbours are is
 outside in the best sequence, so only the runs between such tokens are decoded, many at a time.
 
 Spans are code points, end exclusive. Pattern spans always stay; a decoded span is added as ``crf``
-where it touches none of them. Null and empty texts have no spans.
+unless it lies inside a pattern span. Null and empty texts have no spans. Texts are worked on whole, about
+a million characters at a time or one longer text alone (about 150 bytes of arrays a character).
+Rows of equal texts have equal spans; ties of tag sequences go to outside first.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgwarden.llm.codes import U64, SliceHasher, chunks, code_points, mix
+from pkgwarden.llm.secret_shapes import labelled_lines
 
 #: Kinds of spans, in the order of spans that start together. The patterns are fixed values.
 KINDS = ("assign", "access", "hex", "crf")
@@ -38,12 +46,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: As ``[0-9a-f]+`` of 16 and more characters: runs are maximal either way.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-#: Documents that the field is trained on, at most, and tokens taken from them.
-FIT_DOCS = 3_000
-FIT_TOKENS = 200_000
-ROUNDS = 40
-#: Longer lines are cut for training (not for decoding): steps along a line are not vectorised.
-TRAINED_TOKENS = 200
+#: Documents that the field is trained on, at most, and tokens taken from each, at most.
+FIT_DOCS = 1_500
+DOC_TOKENS = 48
+#: Tokens of a window of a document: so many before and after.
+AROUND = 10
+ROUNDS = 50
 PENALTY = 1e-4
 
 Span = tuple[int, int, int]
@@ -81,9 +89,15 @@ _WORDS = 1 << 13
 _SHAPES = (len(_LENGTHS) + 1) * 64
 _CHANGES = (len(_LENGTHS) + 1) * 8
 _FILES = (len(_LENGTHS) + 1) * 16
+_RUNS = 6 * 5 * 4
+_SIGNS = 4 * 4 * 4 * 3 * 2
 #: Sizes of the feature groups: shape of the token, of the one before, of the one after; changes;
-#: file; word before, before that, after, own word; place in the line.
-GROUPS = (_SHAPES, _SHAPES + 1, _SHAPES + 1, _CHANGES, _FILES, *[_WORDS + 1] * 4, 4)
+#: file; longest runs; signs; place in the line; word before, before that, after, own word. A word may
+#: be missing, or hidden in training.
+GROUPS = (
+    _SHAPES, _SHAPES + 1, _SHAPES + 1, _CHANGES, _FILES, _RUNS, _SIGNS, 4, *[_WORDS + 2] * 4,
+)
+WORD_GROUPS = slice(8, 12)
 _BASES = np.concatenate(([0], np.cumsum(GROUPS)))
 
 
@@ -130,6 +144,22 @@ def tokens_of(texts: list[str]) -> Tokens:
         (lower > 0) + 2 * (upper > 0) + 4 * (digits > 0) + 8 * (symbols > 0) + 16 * hexadecimal
         + 32 * (other > 0)
     )
+    # The longest runs of small letters, of digits and of capitals.
+    turns = np.flatnonzero(np.diff(kinds, prepend=255))
+    run = np.repeat(np.diff(np.append(turns, len(kinds))), np.diff(np.append(turns, len(kinds))))
+    edges = np.stack([starts, np.minimum(ends, len(kinds) - 1)], axis=1).ravel()
+
+    def longest(kind: int, limits: list[int]) -> np.ndarray:
+        found = np.maximum.reduceat(np.where(kinds == kind, run, 0), edges)[::2]
+        return np.searchsorted(limits, found, "right")
+
+    runs = (longest(_LOWER, [1, 2, 3, 5, 8]) * 5 + longest(_DIGIT, [1, 2, 4, 8])) * 4 + longest(
+        _UPPER, [1, 2, 5]
+    )
+    dashes, dots, slashes = (np.minimum(within(codes == ord(c)), 3) for c in "-./")
+    other_signs = np.minimum(within((codes == ord("_")) | (codes == ord("+"))), 2)
+    dashed = digits + letters_af + within((codes >= 65) & (codes <= 70)) + within(codes == 45) == length
+    signs = (((dashes * 4 + dots) * 4 + slashes) * 3 + other_signs) * 2 + dashed
     changed = np.concatenate(([0], (kinds[1:] != kinds[:-1]).astype(np.int64)))
     sums = np.cumsum(changed)
     changes = np.minimum((sums[ends - 1] - sums[starts]) // 2, 7)
@@ -164,11 +194,13 @@ def tokens_of(texts: list[str]) -> Tokens:
             beside(shape, 1, _SHAPES),
             size * 8 + changes,
             size * 16 + file,
+            runs,
+            signs,
+            new_line + 2 * last,
             beside(words, -1, _WORDS),
             beside(words, -2, _WORDS),
             beside(words, 1, _WORDS),
             words,
-            new_line + 2 * last,
         ],
         axis=1,
     )
@@ -316,35 +348,59 @@ def tag_spans(tokens: Tokens, spans: list[list[tuple[int, int]]]) -> np.ndarray:
     return tags
 
 
-def fit_texts(texts: list[str]) -> Field:
-    """Train on the lines of texts that hold a secret, and on as many others again and more."""
-    features, lines, tags, taken = [], [], [], 0
-    for part in chunks(texts):
-        own = [t or "" for t in texts[part]]
-        tokens = tokens_of(own)
-        marked = tag_spans(tokens, [secret_parts(t) for t in own])
-        line = np.cumsum(tokens.new_line) - 1
-        count = int(line[-1]) + 1 if len(line) else 0
-        secret = np.bincount(line, marked > 0, count) > 0
-        # Other lines by their number: about one in eight.
-        chosen = secret | (mix(np.arange(count).astype(U64)) & U64(7) == U64(0))
-        keep = chosen[line] if count else np.zeros(0, bool)
-        if taken + keep.sum() > FIT_TOKENS:
-            keep &= np.cumsum(keep) + taken <= FIT_TOKENS
-        taken += int(keep.sum())
-        starts = np.flatnonzero(tokens.new_line)
-        place = np.arange(len(line)) - (starts[line] if count else 0)
-        features.append(tokens.features[keep])
-        lines.append((place % TRAINED_TOKENS == 0)[keep])
-        tags.append(marked[keep])
-        if taken >= FIT_TOKENS:
+def windows_of(text: str, spans: list[tuple[int, int]], most: int = DOC_TOKENS) -> Windows:
+    """At most ``most`` tokens of a text, in windows of neighbours of one line.
+
+    Windows lie around the given spans first and then around tokens drawn by their place.
+    """
+    tokens = tokens_of([text])
+    count = len(tokens.start)
+    tags = tag_spans(tokens, [spans])
+    keep = np.zeros(count, bool)
+    order = np.argsort(mix(np.arange(count).astype(U64)), kind="stable")
+    order = np.concatenate((order[tags[order] == BEGIN], order[tags[order] != BEGIN]))
+    line = np.cumsum(tokens.new_line)
+    for at in order.tolist():
+        low, high = max(at - AROUND, 0), min(at + AROUND + 1, count)
+        own = np.arange(low, high)[line[low:high] == line[at]]
+        new = own[~keep[own]]
+        if keep.sum() + len(new) > most:
             break
-    if not features:
-        return train_field(np.empty((0, len(GROUPS)), np.int32), np.empty(0, bool), np.empty(0))
-    new_line = np.concatenate(lines)
-    if len(new_line):
-        new_line[0] = True
-    return train_field(np.concatenate(features), new_line, np.concatenate(tags))
+        keep[new] = True
+    first = tokens.new_line | np.append(True, ~keep[:-1])
+    return Windows(tokens.features[keep], first[keep], tags[keep])
+
+
+@dataclass
+class Windows:
+    """Tokens that the field is trained on: features, where a window begins, tags."""
+
+    features: np.ndarray
+    first: np.ndarray
+    tags: np.ndarray
+
+    @staticmethod
+    def joined(parts: list[Windows]) -> Windows:
+        columns = zip(*[(p.features, p.first, p.tags) for p in parts], strict=True)
+        return Windows(*[np.concatenate(c) for c in columns])
+
+    def without_words(self) -> Windows:
+        hidden = self.features.copy()
+        hidden[:, WORD_GROUPS] = _BASES[:-1][WORD_GROUPS] + _WORDS + 1
+        return Windows(hidden, self.first, self.tags)
+
+
+def fit_windows(parts: list[Windows]) -> Field:
+    """Train on the labelled lines and on windows of documents, each with its words and without."""
+    known = [windows_of(text, spans, 1_000) for text, spans in labelled_lines()]
+    whole = Windows.joined(known + parts)
+    both = Windows.joined([whole, whole.without_words()])
+    return train_field(both.features, both.first, both.tags)
+
+
+def fit_texts(texts: list[str]) -> Field:
+    """Train on the labelled lines and on some texts, tagged as the patterns match."""
+    return fit_windows([windows_of(t, secret_parts(t)) for t in texts if t])
 
 
 def decoded_spans(texts: list[str], model: Field) -> list[list[Span]]:
@@ -395,18 +451,49 @@ SPANS = T.ArrayType(
 
 
 def train(docs: DataFrame, text: str = "text", max_docs: int = FIT_DOCS) -> Field:
-    """Train on at most ``max_docs`` documents: those whose text has the smallest hash."""
-    sample = (
-        docs.select(F.col(text).alias("text"))
-        .filter("text IS NOT NULL")
-        .withColumn("draw", F.xxhash64("text"))
+    """Train on at most ``max_docs`` documents of different texts: those of the smallest hashes.
+
+    Only their hashes are broadcast. Windows (bounded by ``DOC_TOKENS``) are cut out where the texts
+    are and meet in one task, which hands the model's weights to the driver.
+    """
+    texts = docs.select(F.col(text).alias("_text")).filter("_text <> ''")
+    drawn = texts.withColumn("_draw", F.xxhash64("_text"))
+    chosen = drawn.select("_draw").distinct().orderBy("_draw").limit(max_docs)
+    sample = drawn.join(F.broadcast(chosen), "_draw")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for draw, one in zip(frame["_draw"], frame["_text"], strict=True):
+                own = windows_of(one, secret_parts(one))
+                yield pd.DataFrame(
+                    {
+                        "draw": [draw],
+                        "features": [own.features.tobytes()],
+                        "first": [own.first.tobytes()],
+                        "tags": [own.tags.tobytes()],
+                    }
+                )
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # In a fixed order, and copies of a text once.
+        found = {row.draw: row for frame in batches for row in frame.itertuples()}
+        parts = [
+            Windows(
+                np.frombuffer(row.features, np.int32).reshape(-1, len(GROUPS)),
+                np.frombuffer(row.first, bool),
+                np.frombuffer(row.tags, np.int8),
+            )
+            for _, row in sorted(found.items())
+        ]
+        model = fit_windows(parts)
+        yield pd.DataFrame({"weights": [model.weights.tobytes()], "steps": [model.steps.tobytes()]})
+
+    cut_out = sample.mapInPandas(cut, "draw long, features binary, first binary, tags binary")
+    learnt = cut_out.repartition(1).mapInPandas(learn, "weights binary, steps binary").first()
+    return Field(
+        np.frombuffer(learnt.weights, np.float32).reshape(-1, 3),
+        np.frombuffer(learnt.steps, np.float64).reshape(3, 3),
     )
-    limit = sample.select("draw").orderBy("draw").limit(max_docs).agg(F.max("draw")).first()[0]
-    if limit is None:
-        return fit_texts([])
-    # Copies of a text share a hash; they count once.
-    rows = sample.filter(F.col("draw") <= limit).dropDuplicates(["draw"]).orderBy("draw")
-    return fit_texts([row.text for row in rows.limit(max_docs).collect()])
 
 
 def find_secrets(docs: DataFrame, model: Field, text: str = "text") -> Column:
