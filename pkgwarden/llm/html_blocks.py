@@ -1,20 +1,24 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags. A block has its number of words, its share of
-characters inside links, the same two figures of its neighbours, and what encloses it: an article,
-page furniture (menu, header, footer, sidebar, form), a class or id that names an advert, a notice
-or the like, reader comments, a heading. A decision tree trained on the small labelled table
-``LABELLED_PAGES`` tells which blocks are main text.
+characters inside links, and the same two figures of its neighbours; further whether an article, page
+furniture (menu, header, footer, sidebar) or a heading encloses it, whether it stands beside an article, and, where a class or id names an
+advert, a notice, a form or reader comments, the share of the page's words that lies in that element: a
+name on an element that holds most of the page tells nothing about a block. A decision tree trained on
+labelled pages (``LABELLED_PAGES`` and layouts drawn by rules) tells which blocks are main text.
 
 Scripts, styles, markup, comments of the markup and hidden elements are no text. Character
 references are decoded; white space inside a block (line breaks too) becomes one space; blocks
 without text vanish. A null or empty page has the text ''. Unclosed and wrongly nested tags are
-borne: an end tag closes what is open inside its element, and one without a start is ignored.
+borne: an end tag closes what is open inside its element, one without a start is ignored, and a tag that
+is not closed ends at the next ``<``. A page is read in time proportional to its length, whatever it
+holds; it is worked on whole. Equal pages have equal texts.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,7 +46,11 @@ RAW_TAGS = frozenset("script style textarea title iframe noembed noframes xmp".s
 DROPPED_TAGS = frozenset(
     "head noscript template select button svg math object canvas audio video datalist".split()
 )
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog".split())
+FURNITURE_TAGS = frozenset("nav footer aside menu".split())
+#: Elements that count like those a class names: usually small, but some pages are wrapped in one.
+HINT_TAGS = frozenset(("form", "dialog"))
+#: Elements whose class or id says something about the page, not about a block.
+PAGE_TAGS = frozenset("html body main article".split())
 FURNITURE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar dialog alert".split()
 )
@@ -54,18 +62,17 @@ HINT_WORDS = frozenset(
     " subscribe subscription share sharing social related recommended recommendations sidebar"
     " sidenav widget breadcrumb breadcrumbs menu menubar nav navbar navigation footer masthead"
     " toolbar pagination pager login signup signin register search toc skip copyright legal"
-    " disclaimer gdpr paywall trending popular tags tagcloud byline meta".split()
+    " disclaimer gdpr paywall trending popular tags tagcloud".split()
 )
 COMMENT_WORDS = frozenset(
-    "comment comments commentlist commenter disqus reply replies respond discussion reader"
+    "comment comments commentlist commenter disqus reply replies respond discussion"
     " feedback responses".split()
 )
 ARTICLE_WORDS = frozenset("article content post entry story maincontent".split())
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>",
-    re.S,
-)
+_OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/><]*))")
+_COMMENT_END = re.compile(r"--!?>")
+_STOP = re.compile(r"[<>\"']")
 _ATTRIBUTE = re.compile(
     r"(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I
 )
@@ -83,6 +90,8 @@ def _flags(tag: str, attributes: str, outer: int) -> int:
         flags |= FURNITURE
     elif tag in DROPPED_TAGS:
         flags |= DROPPED
+    elif tag in HINT_TAGS:
+        flags |= HINT
     elif tag == "a":
         flags |= LINK
     elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
@@ -100,7 +109,7 @@ def _flags(tag: str, attributes: str, outer: int) -> int:
                     flags |= FURNITURE
                 elif value in ("main", "article"):
                     flags |= ARTICLE
-            elif name in ("class", "id"):
+            elif tag not in PAGE_TAGS:
                 words = set(_LETTERS.findall(value))
                 if words & COMMENT_WORDS:
                     flags |= COMMENT
@@ -108,26 +117,88 @@ def _flags(tag: str, attributes: str, outer: int) -> int:
                     flags |= HINT
                 elif words & ARTICLE_WORDS and tag in ("div", "section"):
                     flags |= ARTICLE
+            elif tag == "article" and set(_LETTERS.findall(value)) & COMMENT_WORDS:
+                # Reader comments may be articles themselves.
+                flags |= COMMENT
     return flags
 
 
+def markup(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """Pieces of a page in order: the text before a tag, its slash, its lower-case name, its attributes.
+
+    The last piece has no name. A quote counts behind an equals sign and if it is closed. Each
+    character is looked at a bounded number of times.
+    """
+    at, size = 0, len(page)
+    unclosed: set[str] = set()
+    while opening := _OPENING.search(page, at):
+        text = page[at : opening.start()]
+        comment, declaration, slash, tag = opening.groups()
+        if comment:
+            end = _COMMENT_END.search(page, opening.end())
+            at = end.end() if end else size
+            yield text, "", "!", ""
+            continue
+        if declaration:
+            end = page.find(">", opening.end())
+            at = end + 1 if end >= 0 else size
+            yield text, "", "!", ""
+            continue
+        place = first = opening.end()
+        while True:
+            stop = _STOP.search(page, place)
+            if stop is None:
+                last = at = size
+                break
+            mark, last = stop.group(), stop.start()
+            if mark == ">":
+                at = last + 1
+                break
+            if mark == "<":
+                at = last
+                break
+            place = last + 1
+            if mark not in unclosed and page[first:last].rstrip().endswith("="):
+                closing = page.find(mark, place)
+                if closing < 0:
+                    unclosed.add(mark)
+                else:
+                    place = closing + 1
+                    first = place
+        yield text, slash, tag.lower(), page[opening.end() : last]
+    yield page[at:], "", "", ""
+
+
 @dataclass
 class Block:
     text: str
     words: int
     links: float
     flags: int
+    #: Numbers of the innermost elements that a hint, and reader comments, are named on; 0 for none.
+    hint: int = 0
+    comment: int = 0
+
+
+@dataclass
+class Page:
+    """Blocks, and for each named element the one that it lies in."""
+
+    blocks: list[Block]
+    outer: list[int]
 
 
-def text_blocks(page: str | None) -> list[Block]:
+def text_blocks(page: str | None) -> Page:
     """The flat blocks of a page that hold text, in order."""
     page = page or ""
     blocks: list[Block] = []
+    outer = [0]
     parts: list[str] = []
     linked = 0
-    # Flags of what is open; the parts of a block all lie in the same block-level element.
-    stack: list[tuple[str, int]] = []
-    flags = 0
+    # What is open, with what held before it; the parts of a block all lie in one block-level element.
+    stack: list[tuple[str, tuple[int, int, int]]] = []
+    opened: dict[str, int] = {}
+    flags = hint = comment = 0
 
     def put(raw: str) -> None:
         nonlocal linked
@@ -137,54 +208,88 @@ def text_blocks(page: str | None) -> list[Block]:
             if flags & LINK:
                 linked += len(text.strip())
 
-    def close(own: int) -> None:
+    def close() -> None:
         nonlocal linked
         if parts:
             words = "".join(parts).split()
             if words:
                 text = " ".join(words)
                 share = min(1.0, linked / max(1, sum(map(len, words))))
-                blocks.append(Block(text, len(words), share, own))
+                blocks.append(Block(text, len(words), share, flags, hint, comment))
             parts.clear()
         linked = 0
 
-    at = 0
-    while match := _MARKUP.search(page, at):
-        put(page[at : match.start()])
-        at = match.end()
-        end, tag, attributes = match.group(1), match.group(2), match.group(3)
-        if tag is None:
+    skipped = ""  # the element whose raw content is left out
+    for text, slash, tag, attributes in markup(page):
+        if skipped:
+            # What stands before its end tag is no text, whatever it looks like.
+            if not (slash and tag == skipped):
+                continue
+            skipped = ""
             continue
-        tag = tag.lower()
+        put(text)
         if tag == "br":
             put(" ")
             continue
         if tag in BLOCK_TAGS:
-            close(flags)
-        if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    flags = stack[i][1]
-                    del stack[i:]
-                    break
+            close()
+        if slash:
+            if opened.get(tag):
+                name = ""
+                while name != tag:
+                    name, (flags, hint, comment) = stack.pop()
+                    opened[name] -= 1
             continue
-        if tag in VOID_TAGS:
+        if not tag or tag == "!" or tag in VOID_TAGS:
             continue
         if tag in RAW_TAGS:
-            stop = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
-            at = page.find(">", stop.start()) + 1 if stop else len(page)
-            at = at or len(page)
+            skipped = tag
             continue
         if tag in ("p", "li") and stack and stack[-1][0] == tag:
-            flags = stack.pop()[1]
+            _, (flags, hint, comment) = stack.pop()
+            opened[tag] -= 1
         if tag == "body":
-            flags = 0
+            flags = hint = comment = 0
             stack.clear()
-        stack.append((tag, flags))
-        flags |= _flags(tag, attributes, flags)
-    put(page[at:])
-    close(flags)
-    return blocks
+            opened.clear()
+        stack.append((tag, (flags, hint, comment)))
+        opened[tag] = opened.get(tag, 0) + 1
+        added = _flags(tag, attributes, flags)
+        flags |= added
+        if added & HINT:
+            outer.append(hint)
+            hint = len(outer) - 1
+        elif tag in ARTICLE_TAGS:
+            # What is named around a whole article says nothing about its blocks.
+            hint = 0
+        if added & COMMENT:
+            outer.append(comment)
+            comment = len(outer) - 1
+    close()
+    return Page(blocks, outer)
+
+
+def named_shares(page: Page) -> tuple[list[float], list[float]]:
+    """For each block the share of the page's words, outside furniture, in the innermost element around
+    it that a hint is named on, and in the one that reader comments are named on; 0 without one."""
+    inside = [0] * len(page.outer)
+    total = 0
+    for block in page.blocks:
+        if not block.flags & FURNITURE:
+            total += block.words
+            inside[block.hint] += block.words
+            if block.comment != block.hint:
+                inside[block.comment] += block.words
+    # Inner elements have larger numbers than those they lie in.
+    for number in range(len(page.outer) - 1, 0, -1):
+        inside[page.outer[number]] += inside[number]
+    share = [0.0, *(n / max(total, 1) for n in inside[1:])]
+    # An element without such words is as small as can be, yet named.
+    least = 1e-6
+    return (
+        [max(share[b.hint], least) if b.hint else 0.0 for b in page.blocks],
+        [max(share[b.comment], least) if b.comment else 0.0 for b in page.blocks],
+    )
 
 
 #: Columns of the feature table.
@@ -197,29 +302,39 @@ FEATURES = (
     "links_after",
     "article",
     "furniture",
-    "hint",
-    "comment",
     "heading",
+    "beside_article",
+    "hint_share",
+    "comment_share",
 )
 
 
-def block_features(words: list[int], links: list[float], flags: list[int]) -> np.ndarray:
+def block_features(
+    words: list[int],
+    links: list[float],
+    flags: list[int],
+    hint_shares: list[float],
+    comment_shares: list[float],
+) -> np.ndarray:
     """One row of ``FEATURES`` for each block of a page; the neighbours of the ends are empty."""
     own = np.zeros((len(words), len(FEATURES)))
     own[:, 0], own[:, 1] = words, links
     own[1:, 2], own[1:, 3] = own[:-1, 0], own[:-1, 1]
     own[:-1, 4], own[:-1, 5] = own[1:, 0], own[1:, 1]
     marks = np.array(flags, np.int64)
-    for column, flag in enumerate((ARTICLE, FURNITURE, HINT, COMMENT, HEADING), 6):
+    for column, flag in enumerate((ARTICLE, FURNITURE, HEADING), 6):
         own[:, column] = (marks & flag) > 0
+    inside = own[:, 6] > 0
+    own[:, 9] = ~inside & inside.any()
+    own[:, 10], own[:, 11] = hint_shares, comment_shares
     return own
 
 
 # ---- the tree ------------------------------------------------------------------------------
 
 #: Labelled blocks of small pages: words, share of linked characters, what encloses the block (A
-#: article, F furniture, H hint of class or id, C reader comments, T heading) and whether it is
-#: main text.
+#: article, F furniture, H an element that a hint is named on, C one of reader comments, T heading) and
+#: whether it is main text. Neighbours with the same H or C lie in one element.
 LABELLED_PAGES: list[list[tuple[int, float, str, int]]] = [
     [(1, 1.0, "F", 0), (1, 1.0, "F", 0), (2, 1.0, "F", 0), (9, 0.0, "H", 0), (8, 0.0, "AT", 1),
      (60, 0.0, "A", 1), (3, 0.0, "A", 1), (45, 0.1, "A", 1), (12, 0.0, "F", 0)],
@@ -257,51 +372,112 @@ LABELLED_PAGES: list[list[tuple[int, float, str, int]]] = [
     [(150, 0.0, "H", 0), (1, 0.0, "A", 1), (160, 0.0, "C", 0), (2, 0.0, "A", 1), (90, 0.0, "F", 0),
      (3, 0.0, "A", 1), (2, 0.4, "H", 0), (1, 0.0, "C", 0), (3, 0.2, "F", 0), (4, 0.0, "A", 1)],
 ]
-_LETTER_FLAGS = {"A": ARTICLE, "F": FURNITURE, "H": HINT, "C": COMMENT, "T": HEADING}
+_LETTER_FLAGS = {"A": ARTICLE, "F": FURNITURE, "T": HEADING, "H": HINT, "C": COMMENT}
+
+Labelled = list[tuple[int, float, str, int]]
+
 
+def drawn_page(draw: random.Random) -> Labelled:
+    """A page of a common layout, drawn by rules.
 
-def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the labelled table."""
+    Menus are short links, adverts and notices short texts, paragraphs of any length with few links;
+    comments come after the article, or not at all. Some pages mark their parts and some do not; without
+    marks only the figures tell, and short blocks count as their neighbours do.
+    """
+    marks = draw.choice(["tags", "classes", "wrapped", "none", "none"])
+    page: Labelled = []
+
+    def add(least: int, most: int, links: float, kind: str, main: int, spread: float = 0.0) -> None:
+        share = min(1.0, max(0.0, links + draw.uniform(-spread, spread)))
+        page.append((draw.randint(least, most), round(share, 2), kind, main))
+
+    named = {"tags": ("F", "H", "A", "C"), "classes": ("H", "H", "A", "C"), "wrapped": ("", "H", "H", "C")}
+    menu, advert, article, comments = named.get(marks, ("", "", "", ""))
+    bare = article == "A" and draw.random() < 0.2
+    for _ in range(0 if bare else draw.randint(2, 8)):
+        add(1, 4, 1.0, menu, 0)
+    if marks != "none" and draw.random() < 0.7:
+        add(3, 30, draw.choice([0.0, 0.4, 1.0]), advert, 0, 0.2)
+    # Articles that are marked may be as short as a line.
+    body = draw.randint(0 if article == "A" else 2, 12)
+    if body < 2 or draw.random() < 0.7:
+        add(1, 14, 0.0, article + "T", 1)
+    for i in range(body):
+        short = draw.random() < 0.25 and i < body - 1
+        add(1 if short else 18, 9 if short else 160, draw.choice([0.0, 0.0, 0.05, 0.15]), article, 1)
+        if marks in ("tags", "classes") and draw.random() < 0.15:
+            add(3, 25, draw.choice([0.0, 0.6]), "AH" if article == "A" else "H", 0, 0.1)
+        if article == "A" and draw.random() < 0.3:
+            # Inside a marked article lists of links and notes belong to it as well.
+            add(1, 40, 0.5, article, 1, 0.5)
+    if marks != "none" and draw.random() < 0.4:
+        for _ in range(draw.randint(1, 6)):
+            add(3, 90, 0.0, comments, 0)
+    for _ in range(0 if bare else draw.randint(1, 5)):
+        add(1, 9, draw.choice([1.0, 0.8]), menu, 0, 0.1)
+    return page
+
+
+def labelled_blocks(drawn: int = 1_500, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the labelled table and of drawn pages."""
+    draw = random.Random(seed)
     rows, labels = [], []
-    for page in LABELLED_PAGES:
+    for page in [*LABELLED_PAGES, *(drawn_page(draw) for _ in range(drawn))]:
         words, links, marks, main = zip(*page, strict=True)
         flags = [sum(_LETTER_FLAGS[letter] for letter in mark) for mark in marks]
-        rows.append(block_features(list(words), list(links), flags))
+        blocks, outer, before = [], [0], 0
+        for count, share, own in zip(words, links, flags, strict=True):
+            element = []
+            for flag, held in ((HINT, blocks[-1].hint if blocks else 0), (COMMENT, blocks[-1].comment if blocks else 0)):
+                if own & flag and not (held and before & flag):
+                    outer.append(0)
+                    held = len(outer) - 1
+                element.append(held if own & flag else 0)
+            blocks.append(Block("", count, share, own, *element))
+            before = own
+        shares = named_shares(Page(blocks, outer))
+        rows.append(block_features(list(words), list(links), flags, *shares))
         labels.extend(main)
     return np.concatenate(rows), np.array(labels)
 
 
 class DecisionTree:
-    """A binary classification tree: splits that lower the Gini impurity most."""
+    """A binary classification tree: splits that lower the Gini impurity most, the first column of
+    equally good ones; nodes of fewer than ``least`` rows on a side are not made."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 10) -> None:
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 12, least: int = 2) -> None:
         # Node: (column, threshold, left, right), or (-1, label, 0, 0) at a leaf.
         self.nodes: list[tuple[int, float, int, int]] = []
+        self.least = least
         self._grow(rows, labels, depth)
 
+    def _split(self, rows: np.ndarray, labels: np.ndarray) -> tuple[float, int, float] | None:
+        best = None
+        count = np.arange(1, len(labels))
+        for column in range(rows.shape[1]):
+            order = np.argsort(rows[:, column], kind="stable")
+            values, ones = rows[order, column], np.cumsum(labels[order])
+            left, right = ones[:-1], ones[-1] - ones[:-1]
+            rest = len(labels) - count
+            impurity = left * (1 - left / count) + right * (1 - right / rest)
+            allowed = (values[1:] > values[:-1]) & (count >= self.least) & (rest >= self.least)
+            if allowed.any():
+                at = int(np.argmin(np.where(allowed, impurity, np.inf)))
+                if best is None or impurity[at] < best[0] - 1e-9:
+                    best = (float(impurity[at]), column, float(values[at] + values[at + 1]) / 2)
+        return best
+
     def _grow(self, rows: np.ndarray, labels: np.ndarray, depth: int) -> int:
         at = len(self.nodes)
         self.nodes.append((-1, float(2 * labels.sum() > len(labels)), 0, 0))
-        if depth == 0 or labels.min() == labels.max():
-            return at
-        best = None
-        for column in reversed(range(rows.shape[1])):
-            values = np.unique(rows[:, column])
-            # Of equally good splits, what encloses a block wins over its figures.
-            for threshold in (values[1:] + values[:-1]) / 2:
-                left = rows[:, column] <= threshold
-                impurity = sum(
-                    len(part) * part.mean() * (1 - part.mean())
-                    for part in (labels[left], labels[~left])
-                )
-                if best is None or impurity < best[0] - 1e-12:
-                    best = (impurity, column, threshold, left)
+        best = None if depth == 0 or labels.min() == labels.max() else self._split(rows, labels)
         if best is None:
             return at
-        _, column, threshold, left = best
+        _, column, threshold = best
+        left = rows[:, column] <= threshold
         low = self._grow(rows[left], labels[left], depth - 1)
         high = self._grow(rows[~left], labels[~left], depth - 1)
-        self.nodes[at] = (column, float(threshold), low, high)
+        self.nodes[at] = (column, threshold, low, high)
         return at
 
     def predict(self, rows: np.ndarray) -> np.ndarray:
@@ -322,11 +498,15 @@ def train() -> DecisionTree:
     return DecisionTree(*labelled_blocks())
 
 
-def main_text(blocks: list[Block], tree: DecisionTree) -> str:
+def main_text(page: Page, tree: DecisionTree) -> str:
+    blocks = page.blocks
     if not blocks:
         return ""
     rows = block_features(
-        [b.words for b in blocks], [b.links for b in blocks], [b.flags for b in blocks]
+        [b.words for b in blocks],
+        [b.links for b in blocks],
+        [b.flags for b in blocks],
+        *named_shares(page),
     )
     kept = tree.predict(rows)
     return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
@@ -350,11 +530,11 @@ def extract_main_text(
     @F.pandas_udf(result)
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            blocks = [text_blocks(page) for page in batch]
+            cut = [text_blocks(page) for page in batch]
             yield pd.DataFrame(
                 {
-                    "main_text": [main_text(b, own) for b in blocks],
-                    "n_blocks": [len(b) for b in blocks],
+                    "main_text": [main_text(page, own) for page in cut],
+                    "n_blocks": [len(page.blocks) for page in cut],
                 }
             )
 

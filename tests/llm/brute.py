@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html.parser
 import re
 
 import numpy as np
@@ -90,3 +91,42 @@ def nearest(ids: list[int], vectors: np.ndarray, query: int, count: int) -> list
         scores += own[i] * vectors[:, i]
     order = sorted((-s, i) for s, i in zip(scores.tolist(), ids, strict=True) if i != query)
     return [(i, -s) for s, i in order[:count]]
+
+
+class ArticleParser(html.parser.HTMLParser):
+    """The blocks inside the article of a page that marks its parts, by the library's parser."""
+
+    BLOCKS = frozenset("p li ul div h1 article".split())
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.open, self.skipped = [""], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "article":
+            self.open += 1
+        if tag in ("script", "style", "aside", "form", "nav"):
+            self.skipped += 1
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+        if tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+        if tag == "article":
+            self.open -= 1
+        if tag in ("script", "style", "aside", "form", "nav"):
+            self.skipped -= 1
+
+    def handle_data(self, data):
+        if self.open and not self.skipped:
+            self.blocks[-1] += data
+
+
+def article_text(page: str | None) -> str:
+    parser = ArticleParser()
+    parser.feed(page or "")
+    parser.close()
+    return "\n".join(t for t in (" ".join(b.split()) for b in parser.blocks) if t)

@@ -51,6 +51,15 @@ def test_op1_edits_and_likeness(spark, documents):
         assert marks.setdefault(text, found[key].fingerprint) == found[key].fingerprint
 
 
+def test_op2_equals_the_articles(spark):
+    pages = {r.page_id: r for r in queries.table(spark, sf_dir(), "pages").collect()}
+    found = run(spark, "op2_html_blocks")
+    assert len(found) == len(pages)
+    for r in found:
+        text = brute.article_text(pages[r.page_id].html)
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, text, len(text))
+
+
 def test_op3_base_spans(spark, documents):
     found = {r.doc_id: r for r in run(spark, "op3_crf_secrets")}
     for key, text in documents:
