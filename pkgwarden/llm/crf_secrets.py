@@ -15,8 +15,8 @@ tell secrets that no known word announces.
 Decoding is exact and short: a token for which outside is better whatever its neighbours are is
 outside in the best sequence, so only the runs between such tokens are decoded, many at a time.
 
-Spans are code points, end exclusive. Pattern spans always stay; a decoded span is added as ``crf``
-unless it lies inside a pattern span. Null and empty texts have no spans. Texts are worked on whole, about
+Spans are code points, end exclusive. Pattern spans always stay; a decoded span
+(it holds no white space, and ``LEAST_CHARS`` or more characters) is added as ``crf`` unless it lies inside a pattern span. Null and empty texts have no spans. Texts are worked on whole, about
 a million characters at a time or one longer text alone (about 150 bytes of arrays a character).
 Rows of equal texts have equal spans; ties of tag sequences go to outside first.
 """
@@ -49,6 +49,8 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 #: Documents that the field is trained on, at most, and tokens taken from each, at most.
 FIT_DOCS = 1_500
 DOC_TOKENS = 48
+#: Shorter decoded spans are no secrets.
+LEAST_CHARS = 6
 #: Tokens of a window of a document: so many before and after.
 AROUND = 10
 ROUNDS = 50
@@ -411,12 +413,15 @@ def decoded_spans(texts: list[str], model: Field) -> list[list[Span]]:
     inside = tags != OUT
     if not inside.any():
         return found
-    # A span begins at a begin tag, at an inside tag after outside, and with each line.
+    # A span begins at a begin tag, at an inside tag after outside, and after any white space, which
+    # a secret does not hold.
     before = np.append(False, inside[:-1])
-    begins = inside & ((tags == BEGIN) | ~before | tokens.new_line)
+    apart = np.append(True, tokens.start[1:] != tokens.end[:-1]) | tokens.new_line
+    begins = inside & ((tags == BEGIN) | ~before | apart)
     after = np.append(begins[1:] | ~inside[1:], True)
     starts, stops = np.flatnonzero(begins), np.flatnonzero(inside & after)
-    for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
+    long = tokens.end[stops] - tokens.start[starts] >= LEAST_CHARS
+    for s, e in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
         found[tokens.doc[s]].append((int(tokens.start[s]), 3, int(tokens.end[e])))
     return found
 
