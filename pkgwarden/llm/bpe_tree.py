@@ -5,7 +5,9 @@ Token sequences form a monoid: the encoding of ``a + b`` follows from the encodi
 are merged by rank. Two neighbours are joined by encoding a window of bytes around their boundary
 anew; the window grows until the tokens outside it are stable. That is provable: a token sequence
 is the encoding of its bytes if and only if each pair of neighbours encodes to itself. So it is
-enough that the pair at either edge of the window does. Decoding concatenates up the same tree.
+enough that the pair at either edge of the window does. To the right the window takes in one token at a
+time, and only what that token changes is encoded again, so a long run in which every boundary moves
+costs a small window for each token. Decoding concatenates up the same tree.
 
 A null text is taken as empty; an empty text has no tokens. Lone surrogates cannot be in a Spark
 string. An unknown id makes decoding fail.
@@ -14,6 +16,7 @@ string. An unknown id makes decoding fail.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -31,8 +34,11 @@ LEAF = 8
 #: Pieces a worker remembers, and half as many runs of bytes and pairs; others are worked out
 #: each time.
 REMEMBERED = 120_000
-#: Longer runs are not remembered.
+#: Longer pieces, and runs of bytes, are not remembered.
 LONGEST_REMEMBERED = 64
+LONGEST_RUN = 256
+#: From so many bytes on the lowest rank is found by a heap.
+HEAP_BYTES = 48
 #: Rows turned into Python objects at a time.
 ROWS_AT_ONCE = 128
 #: Ids joined at a leaf of the decoding tree.
@@ -64,6 +70,12 @@ class TreeCodec:
         known = self.runs.get(data)
         if known is not None:
             return known
+        parts = self._merge_long(data) if len(data) >= HEAP_BYTES else self._merge_short(data)
+        if len(self.runs) < REMEMBERED // 2 and len(data) <= LONGEST_RUN:
+            self.runs[data] = parts
+        return parts
+
+    def _merge_short(self, data: bytes) -> list[Token]:
         parts = [data[i : i + 1] for i in range(len(data))]
         rank, none = self.ranks.get, len(self.ranks) + 1
         costs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
@@ -78,10 +90,37 @@ class TreeCodec:
                 costs[i] = rank(parts[i] + parts[i + 1], none)
             if i > 0:
                 costs[i - 1] = rank(parts[i - 1] + parts[i], none)
-        if len(self.runs) < REMEMBERED // 2 and len(data) <= LONGEST_REMEMBERED:
-            self.runs[data] = parts
         return parts
 
+    def _merge_long(self, data: bytes) -> list[Token]:
+        """The same by a heap of pairs; a pair that has changed since is passed over."""
+        count = len(data)
+        parts: list[Token | None] = [data[i : i + 1] for i in range(count)]
+        after = list(range(1, count + 1))
+        before = list(range(-1, count - 1))
+        rank = self.ranks.get
+        waiting = [
+            (cost, i, 2) for i in range(count - 1) if (cost := rank(data[i : i + 2])) is not None
+        ]
+        heapq.heapify(waiting)
+        while waiting:
+            _, i, size = heapq.heappop(waiting)
+            left, j = parts[i], after[i]
+            if left is None or j >= count or len(left) + len(parts[j]) != size:
+                continue
+            parts[i], parts[j] = left + parts[j], None
+            after[i] = nxt = after[j]
+            if nxt < count:
+                before[nxt] = i
+                cost = rank(parts[i] + parts[nxt])
+                if cost is not None:
+                    heapq.heappush(waiting, (cost, i, size + len(parts[nxt])))
+            if (previous := before[i]) >= 0:
+                cost = rank(parts[previous] + parts[i])
+                if cost is not None:
+                    heapq.heappush(waiting, (cost, previous, len(parts[previous]) + size))
+        return [part for part in parts if part is not None]
+
     def stable(self, left: Token, right: Token) -> bool:
         """Two neighbouring tokens encode to themselves."""
         known = self.pairs.get((left, right))
@@ -92,26 +131,30 @@ class TreeCodec:
         return known
 
     def join(self, left: list[Token], right: list[Token]) -> list[Token]:
-        """The encoding of two encoded neighbours' bytes together."""
-        if self.stable(left[-1], right[0]):
-            return left + right
-        # Tokens of either side inside the window.
-        before, after = 1, 1
+        """The encoding of two encoded neighbours' bytes together; ``left`` becomes it."""
+        for i, token in enumerate(right):
+            if self.stable(left[-1], token):
+                left.extend(right[i:])
+                break
+            self._take_in(left, token)
+        return left
+
+    def _take_in(self, left: list[Token], token: Token) -> None:
+        """Encode one more token, in a window that grows to the left until the rest is stable."""
+        width = 1
         while True:
-            window = self.merge(b"".join(left[-before:] + right[:after]))
-            left_holds = before >= len(left) or self.stable(left[-before - 1], window[0])
-            right_holds = after >= len(right) or self.stable(window[-1], right[after])
-            if left_holds and right_holds:
-                return left[: max(len(left) - before, 0)] + window + right[after:]
-            before = before if left_holds else min(2 * before, len(left))
-            after = after if right_holds else min(2 * after, len(right))
+            window = self.merge(b"".join(left[-width:]) + token)
+            if width >= len(left) or self.stable(left[-width - 1], window[0]):
+                left[-width:] = window
+                return
+            width = min(2 * width, len(left))
 
     def encode(self, data: bytes) -> list[Token]:
         """Tokens of one piece, by halves."""
         if data in self.ranks:
             return [data]
         if len(data) <= LEAF:
-            return self.merge(data)
+            return list(self.merge(data))
         middle = len(data) // 2
         return self.join(self.encode(data[:middle]), self.encode(data[middle:]))
 
