@@ -11,7 +11,8 @@ hold fewer rows than asked for.
 Equal vectors are one candidate, with its ``k + 1`` smallest ids (no further one can be among the
 ``k`` nearest of any query), so copies cannot fill a leaf. Neighbouring
 leaves form blocks of bounded size; a query is sent once to each block of which it visits a leaf, and
-a block returns the nearest of the leaves visited. Scores are summed in double precision from the first component to the last.
+a block returns the nearest of the leaves visited. A block of many queries, or of a large leaf, is cut by
+its own counts. Scores are summed in double precision from the first component to the last.
 
 Vectors that are null, zero, or hold null, nan or infinite components take no part, neither do
 those of another length than most. Of several vectors of one id the smallest counts; an id that is
@@ -329,29 +330,44 @@ def search(index: Index, queries: DataFrame, k: int, visits: int | None = None)
         return pd.Series(found, dtype=object)
 
     distinct = asked.groupBy("first").agg(F.min("vec").alias("vec"))
-    q_cuts = max(1, -(-distinct.count() // QUERY_BLOCK))
-    # A leaf of more vectors than a block is cut by their hash; a query meets each of its parts.
-    largest = int(index.held.max(initial=0))
-    v_cuts = max(1, -(-largest // BLOCK))
+    probes = settle(
+        distinct.select("first", "vec", F.explode(probe("vec")).alias("probe")).select(
+            "probe.block", "probe.leaves", "first", "vec"
+        )
+    )
+    block_table = spark.createDataFrame(
+        [(i, int(b)) for i, b in enumerate(blocks)], "leaf long, block long"
+    )
+    placed = index.vectors.join(F.broadcast(block_table), "leaf")  # a row for each leaf
+    # Each block is cut by its own counts (a row a block); one that no query visits is left out.
+    asking = probes.groupBy("block").agg(F.count(F.lit(1)).alias("asking"))
+    holding = placed.groupBy("block").agg(F.count(F.lit(1)).alias("holding"))
+    cuts = settle(
+        asking.join(holding, "block").select(
+            "block",
+            F.ceil(F.col("asking") / QUERY_BLOCK).alias("q_cuts"),
+            F.ceil(F.col("holding") / BLOCK).alias("v_cuts"),
+        )
+    )
 
-    def cut(cuts: int) -> Column:
-        return F.pmod(F.xxhash64("first"), F.lit(cuts)).cast("long")
+    def own_cut(count: str) -> Column:
+        return F.pmod(F.xxhash64("first"), F.col(count)).cast("long")
 
-    def every(cuts: int) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long")))
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
 
     left = (
-        distinct.select("first", "vec", F.explode(probe("vec")).alias("probe"))
-        .select("probe.block", "probe.leaves", cut(q_cuts).alias("q"), "first", "vec")
-        .withColumn("v", every(v_cuts))
-    )
-    block_table = spark.createDataFrame(
-        [(i, int(b)) for i, b in enumerate(blocks)], "leaf long, block long"
+        probes.join(cuts, "block")
+        .withColumn("q", own_cut("q_cuts"))
+        .withColumn("v", every("v_cuts"))
+        .drop("q_cuts", "v_cuts")
     )
     right = (
-        index.vectors.join(F.broadcast(block_table), "leaf")  # a row for each leaf
-        .select("block", "leaf", cut(v_cuts).alias("v"), "first", "vec")
-        .withColumn("q", every(q_cuts))
+        placed.select("block", "leaf", "first", "vec")
+        .join(cuts, "block")
+        .withColumn("v", own_cut("v_cuts"))
+        .withColumn("q", every("q_cuts"))
+        .drop("q_cuts", "v_cuts")
     )
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
