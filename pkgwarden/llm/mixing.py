@@ -5,13 +5,16 @@ stops at ``MOST_COPIES`` times its source's size and the excess is shared anew.
 document ``floor(target / size)`` times. What is left of its target (less than its size) is fitted
 with whole documents by their exact lengths: every length first gets its proportional number of
 documents, rounded down; then a bounded-knapsack dynamic programme over the documents left
-chooses how many of each length to add, so that the sum comes as near to the budget as possible
-without passing it. Where single documents do not meet the budget, the programme may add each up to
+chooses how many of each length to add, so that the sum comes as near to the budget as these can come
+without passing it. Where that misses the budget, fewer and fewer are given beforehand, at last none, so
+that a budget within ``FITTED_WORDS`` gets the largest sum not above it that there is. Where single
+documents do not meet the budget, the programme may add each up to
 ``MOST_COPIES`` times in all. Which documents of a length are taken is decided by a seeded hash of their id
 and text, so runs agree.
 
 Sources are told apart exactly, null is one of them; an empty or null text has size 0 and takes no
-words. A source without words has the target 0. Repeated rows are separate documents.
+words. A source without words has the target 0. Repeated rows are separate documents. Texts of any length
+are counted whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,19 +41,41 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def targets_of(sizes: list[int], weights: list[float], most: int = MOST_COPIES) -> list[float]:
-    """Targets of the sources: the total by weight, capped at ``most`` times the size."""
-    total = float(sum(sizes))
-    capped: set[int] = set()
-    while True:
-        free = [i for i in range(len(sizes)) if i not in capped]
-        left = total - sum(most * sizes[i] for i in capped)
-        weight = sum(weights[i] for i in free)
-        shares = {i: left * weights[i] / weight for i in free}
-        above = {i for i in free if shares[i] > most * sizes[i]}
-        if not above:
-            return [float(most * sizes[i]) if i in capped else shares[i] for i in range(len(sizes))]
-        capped |= above
+def with_targets(
+    sources: DataFrame, weights: tuple[float, ...], most: int = MOST_COPIES
+) -> DataFrame:
+    """Add ``target`` to one row a source (``source``, ``source_size``): the total by weight, capped at
+    ``most`` times the size, the excess shared anew by weight.
+
+    Sources that are capped have the smallest sizes for their weight: in that order a source is capped
+    if it and all before it are above their cap when what those before leave is shared by the rest.
+    """
+    name = F.asc_nulls_last("source")
+    weight = F.element_at(
+        F.array(*[F.lit(float(w)) for w in weights]),
+        (F.pmod(F.row_number().over(Window.orderBy(name)) - 1, F.lit(len(weights))) + 1).cast("int"),
+    )
+    weighed = sources.withColumn("weight", weight).withColumn("most", most * F.col("source_size"))
+    everything = Window.partitionBy()
+    before = Window.orderBy(F.col("most") / F.col("weight"), name).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    taken = lambda column: F.sum(column).over(everything) - F.coalesce(
+        F.sum(column).over(before), F.lit(0)
+    )
+    shared = weighed.withColumns(
+        {
+            "left_words": F.sum("source_size").over(everything)
+            - F.coalesce(F.sum("most").over(before), F.lit(0)),
+            "left_weight": taken("weight"),
+            "place": F.row_number().over(Window.orderBy(F.col("most") / F.col("weight"), name)),
+        }
+    ).withColumn("above", F.col("left_words") * F.col("weight") / F.col("left_weight") > F.col("most"))
+    first = F.min(F.when(~F.col("above"), F.struct("place", "left_words", "left_weight"))).over(everything)
+    target = F.when(
+        F.col("first").isNull() | (F.col("place") < F.col("first.place")), F.col("most").cast("double")
+    ).otherwise(F.col("first.left_words") * F.col("weight") / F.col("first.left_weight"))
+    return shared.withColumn("first", first).select("source", "source_size", target.alias("target"))
 
 
 def fit_budget(
@@ -59,16 +84,27 @@ def fit_budget(
     """How many documents of each length to take so that their sum comes near the budget.
 
     Never passes it; ``counts`` bounds each length. ``least`` (by default the proportional numbers,
-    rounded down) is taken in any case.
+    rounded down) is taken first; while the sum misses the budget, less of it is.
     """
-    chosen = np.zeros(len(lengths), np.int64)
     whole = int((lengths * counts).sum())
     if budget <= 0 or whole == 0:
-        return chosen
+        return np.zeros(len(lengths), np.int64)
     if budget >= whole:
         return counts.astype(np.int64)
     if least is None:
         least = np.array([int(c) * budget // whole for c in counts], np.int64)
+    best, less = _fitted(lengths, counts, budget, least), 1
+    while (lengths * best).sum() < budget and least.any():
+        # Twice as many documents of each length are set free each time.
+        least = np.maximum(least - less, 0)
+        found = _fitted(lengths, counts, budget, least)
+        best = max(best, found, key=lambda taken: (lengths * taken).sum())
+        less *= 2
+    return best
+
+
+def _fitted(lengths: np.ndarray, counts: np.ndarray, budget: int, least: np.ndarray) -> np.ndarray:
+    """``least``, and the documents that bring the sum nearest to the budget from below."""
     chosen = least.copy()
     left = budget - int((lengths * chosen).sum())
     spare = counts - chosen
@@ -125,8 +161,8 @@ def mix_sources(
 
     Returns the key, ``source``, ``text_key`` (a hash of the text), ``size``, ``source_size``,
     ``target`` (of the source) and ``copies``. The sources, in the order of code points with null
-    last, have the weights in turn. Only one row a source comes to the driver; the lengths of a
-    source (one row each) meet in one task.
+    last, have the weights in turn. Targets are found in one task that gets a row a source; the lengths of
+    a source (one row each) meet in one task.
     """
     text_key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     sized = settle(
@@ -141,16 +177,9 @@ def mix_sources(
     lengths = settle(
         sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     )
-    sources = sorted(
-        lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect(),
-        key=lambda row: (row.source is None, (row.source or "").encode("utf-8", "surrogatepass")),
-    )
-    sizes = [row.words for row in sources]
-    targets = targets_of(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
-    plan = docs.sparkSession.createDataFrame(
-        [(r.source, r.words, t) for r, t in zip(sources, targets, strict=True)],
-        "source string, source_size long, target double",
-    )
+    sizes = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    # A row a source, written so that the join's sides are plain exchanges.
+    plan = settle(with_targets(sizes, weights))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("size")
@@ -183,7 +212,7 @@ def mix_sources(
 
     same = lengths.source.eqNullSafe(plan.source)
     fitted = settle(
-        lengths.join(F.broadcast(plan), same)
+        lengths.join(plan, same)
         .select(lengths.source, "size", "n", "source_size", "target")
         .groupBy("source")
         .applyInPandas(
@@ -244,13 +273,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .filter(F.col(copies) > 0)
     )
     text_key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    first = Window.partitionBy(docs[key], docs[source], text_key).orderBy(F.lit(0))
     found = docs.join(
-        counted,
+        settle(counted),
         docs[key].eqNullSafe(F.col(of_key))
         & docs[source].eqNullSafe(F.col(of_source))
         & (text_key == F.col(of_text)),
-    ).withColumn(row, F.row_number().over(first))
+    )
     repeated = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
-    once = found.filter(F.col(row) == 1).withColumn(row, repeated)
+    # Each task keeps one of its own repeated rows first.
+    once = found.dropDuplicates([of_key, of_source, of_text]).withColumn(row, repeated)
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
