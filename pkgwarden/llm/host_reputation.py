@@ -8,8 +8,9 @@ the level's shares. A host is blocked if the lower bound of its posterior share
 ``max_bad``. Hosts without labelled pages have the posterior of what is known above them.
 
 Null or unusable urls have the empty host and path; they form one host like any other. Outcomes
-that are null are left out; a page with several outcomes counts each. The registered domain is
-taken as the last two labels of a host and the suffix as the last one.
+that are null are left out; a page with several outcomes counts each. Urls of any length are read
+whole. The suffix of a host is the longest of its endings in a table of suffixes of two or three labels,
+else its last label, and the registered domain is the suffix with one label more.
 """
 
 from __future__ import annotations
@@ -46,6 +47,13 @@ class Limits:
     strength: tuple[float, float] = (1.0, 1000.0)
 
 
+#: Endings of two labels below which names are registered.
+LONG_SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp",
+    "co.kr", "co.in", "co.za", "com.br", "com.cn", "com.mx", "com.tr", "com.ar", "com.sg", "com.tw",
+)
+
+
 def _lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -74,9 +82,25 @@ def matched_rule(rules: list[Rule], host: Column, path: Column) -> tuple[Column,
     return text.cast("string"), verdict.cast("string")
 
 
-def _first_labels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+def with_levels(hosts: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """Add the registered ``domain`` and the ``suffix`` of every ``host``.
+
+    ``suffixes`` has one column, ``suffix``: endings of two or three labels, in any case.
+    """
+    host = F.col("host")
+    labels = F.lit(1)
+    if suffixes is not None:
+        known = suffixes.select(_lower_ascii(F.col("suffix")).alias("_ending")).distinct()
+        for count in (2, 3):
+            found = known.select("_ending", F.lit(True).alias(f"_has{count}"))
+            ending = F.substring_index(host, ".", -count)
+            hosts = hosts.join(found, ending == F.col("_ending"), "left").drop("_ending")
+            labels = F.when(F.col(f"_has{count}"), F.lit(count)).otherwise(labels)
+    parts = F.split(host, r"\.", -1)
+    last = lambda count: F.array_join(
+        F.slice(parts, F.greatest(F.size(parts) - count + 1, F.lit(1)), count), "."
+    )
+    return hosts.withColumns({"domain": last(labels + 1), "suffix": last(labels)}).drop("_has2", "_has3")
 
 
 def prior_strength(counts: DataFrame, limits: Limits) -> float:
@@ -117,15 +141,16 @@ def _summed(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def host_reputation(hosts: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def host_reputation(
+    hosts: DataFrame, limits: Limits = Limits(), suffixes: DataFrame | None = None
+) -> DataFrame:
     """Posterior share of bad pages of every host, and whether its lower bound passes the limit.
 
     ``hosts`` has one row a host: ``host, n, bad`` (labelled pages and bad ones, 0 where none).
     It is read once for each level, so hand over a written table. Returns ``host, n, bad, share,
     bound, blocked``.
     """
-    domain, suffix = _first_labels(F.col("host"))
-    keyed = hosts.select("host", "n", "bad", domain.alias("domain"), suffix.alias("suffix"))
+    keyed = with_levels(hosts.select("host", "n", "bad"), suffixes)
     total = keyed.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = ((total.bad or 0) + 1) / ((total.n or 0) + 2)
 
@@ -161,6 +186,7 @@ def filter_urls(
     limits: Limits = Limits(),
     key: str = "page_id",
     url: str = "url",
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """Judge every page: ``key, host, path, rule, verdict, share, bound``.
 
@@ -169,7 +195,7 @@ def filter_urls(
     """
     parts = pages.select(key, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     hosts = settle(count_outcomes(parts, outcomes, key))
-    judged = host_reputation(hosts, limits).select("host", "share", "bound", "blocked")
+    judged = host_reputation(hosts, limits, suffixes).select("host", "share", "bound", "blocked")
     rule, verdict = matched_rule(rules, F.col("host"), F.col("path"))
     own = F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow"))
     return parts.join(judged, "host").select(

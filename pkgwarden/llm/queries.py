@@ -131,7 +131,11 @@ def op7_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    judged = host_reputation.filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    endings = F.array(*[F.lit(s) for s in host_reputation.LONG_SUFFIXES])
+    suffixes = spark.range(1).select(F.explode(endings).alias("suffix"))
+    judged = host_reputation.filter_urls(
+        table(spark, sf_dir, "pages"), outcomes, URL_RULES, suffixes=suffixes
+    )
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -214,7 +218,9 @@ def oracle_sql() -> dict[str, str]:
     }
 
 
-SQL_HOST_REPUTATION = """
+_ENDINGS = ", ".join(f"'{suffix}'" for suffix in host_reputation.LONG_SUFFIXES)
+
+SQL_HOST_REPUTATION = f"""
 WITH parts AS (
   SELECT page_id,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
@@ -223,8 +229,12 @@ WITH parts AS (
   FROM pages
 ), hosts AS (
   SELECT host, count(bad) AS n, count(*) FILTER (bad) AS bad,
-    array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-    string_split(host, '.')[-1] AS suffix
+    CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_ENDINGS})
+      THEN array_to_string(string_split(host, '.')[-3:], '.')
+      ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+    CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_ENDINGS})
+      THEN array_to_string(string_split(host, '.')[-2:], '.')
+      ELSE string_split(host, '.')[-1] END AS suffix
   FROM parts LEFT JOIN (SELECT doc_id, quality = 0 OR toxic = 1 AS bad FROM labels) l
     ON page_id = doc_id AND bad IS NOT NULL
   GROUP BY host

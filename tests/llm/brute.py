@@ -93,6 +93,27 @@ def nearest(ids: list[int], vectors: np.ndarray, query: int, count: int) -> list
     return [(i, -s) for s, i in order[:count]]
 
 
+def targets_of(sizes: list[int], weights: list[float], most: int = 3) -> list[float]:
+    """The total by weight; what is above ``most`` times a size is shared anew, again and again."""
+    capped: set[int] = set()
+    while True:
+        free = [i for i in range(len(sizes)) if i not in capped]
+        left = sum(sizes) - sum(most * sizes[i] for i in capped)
+        shares = {i: left * weights[i] / sum(weights[j] for j in free) for i in free}
+        above = {i for i in free if shares[i] > most * sizes[i]}
+        if not above:
+            return [shares.get(i, float(most * sizes[i])) for i in range(len(sizes))]
+        capped |= above
+
+
+def best_sum(lengths: list[int], counts: list[int], budget: int) -> int:
+    """The largest sum of so many documents that is not above the budget."""
+    sums = {0}
+    for length, count in zip(lengths, counts, strict=True):
+        sums = {s + length * k for s in sums for k in range(count + 1) if s + length * k <= budget}
+    return max(sums)
+
+
 class ArticleParser(html.parser.HTMLParser):
     """The blocks inside the article of a page that marks its parts, by the library's parser."""
 

@@ -523,6 +523,27 @@ def test_tree_equals_the_library(ranks, monkeypatch):
         assert codec.encode_text(text).tolist() == encoding.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("text", ["=" * 10**6, "a" * 10**6, "ab" * 5 * 10**5, "\n" * 10**6, "漢字" * 10**5])
+def test_long_runs_take_time_in_proportion(ranks, text):
+    codec = bpe_tree.TreeCodec(ranks, public_tokenizers.PATTERN)
+    began = time.process_time()
+    ids = codec.encode_text(text)
+    assert codec.decode_ids(ids.tolist()) == text.encode()
+    assert time.process_time() - began < 10
+    part = text[: 20_011]
+    encoding = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
+    assert codec.encode_text(part).tolist() == encoding.encode_ordinary(part)
+
+
+def test_heap_and_scan_merge_alike(ranks):
+    codec, draw = bpe_tree.TreeCodec(ranks, public_tokenizers.PATTERN), random.Random(6)
+    for _ in range(300):
+        data = "".join(draw.choice("aabetn =é") for _ in range(draw.randrange(1, 90))).encode()
+        assert codec._merge_long(data) == codec._merge_short(data)
+
+
 def test_codec_of_odd_rows(spark, docs, nothing):
     codec = bpe_tree.BpeTree(
         spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -540,6 +561,22 @@ def test_codec_of_odd_rows(spark, docs, nothing):
 # ---- urls ----------------------------------------------------------------------------------
 
 
+def test_sites_below_a_long_suffix_do_not_lend_each_other_reputation(spark):
+    rows = [("a.bad.co.uk", 90, 90), ("b.bad.co.uk", 0, 0), ("www.good.co.uk", 3, 0), ("x.example.net", 50, 0),
+            ("co.uk", 0, 0), ("", 0, 0), ("y.z.k12.ca.us", 4, 4)]
+    hosts = spark.createDataFrame(rows, "host string, n long, bad long")
+    suffixes = spark.createDataFrame([("CO.uk",), ("k12.ca.us",), ("co.uk",)], "suffix string")
+    levels = {r.host: (r.domain, r.suffix) for r in host_reputation.with_levels(hosts, suffixes).collect()}
+    assert levels["a.bad.co.uk"] == ("bad.co.uk", "co.uk") and levels["co.uk"] == ("co.uk", "co.uk")
+    assert levels["y.z.k12.ca.us"] == ("z.k12.ca.us", "k12.ca.us") and levels[""] == ("", "")
+    plain = {r.host: (r.domain, r.suffix) for r in host_reputation.with_levels(hosts, None).collect()}
+    assert plain["a.bad.co.uk"] == ("co.uk", "uk") and plain["x.example.net"] == ("example.net", "net")
+    found = {r.host: r for r in host_reputation.host_reputation(hosts, suffixes=suffixes).collect()}
+    assert len(found) == len(rows)
+    assert found["b.bad.co.uk"].blocked and not found["www.good.co.uk"].blocked
+    assert found["b.bad.co.uk"].share > 0.7 > 0.3 > found["www.good.co.uk"].share
+
+
 def test_url_parts_and_rules(spark):
     rules = [
         host_reputation.Rule("net", "/", "block"),
@@ -602,6 +639,19 @@ def test_words_decide_and_odd_rows(spark, docs, nothing):
 # ---- windows -------------------------------------------------------------------------------
 
 
+def test_packed_hashes_with_equal_first_parts():
+    """Hashes that agree in the first 64 bits and differ in their checks are different."""
+    hashes = np.array([5, 5, 7, 5, 9, 7], np.uint64)
+    checks = np.array([1, 2, 3, 1, 0xFFFFFF, 4], np.uint32)
+    back = window_dedup.unpack_hashes(window_dedup.pack_hashes(hashes, checks))
+    assert (back[0] == hashes).all() and (back[1] == checks).all()
+    order, same = window_dedup.again(hashes, checks)
+    assert order[same].tolist() == [3]
+    known = np.array([5, 5, 9], np.uint64), np.array([3, 2, 0xFFFFFF], np.uint32)
+    assert window_dedup.held_in(hashes, checks, *known).tolist() == [False, True, False, False, True, False]
+    assert not window_dedup.held_in(hashes, checks, *window_dedup.unpack_all([])).any()
+
+
 def test_windows_of_odd_rows(spark, docs, nothing):
     draw = random.Random(6)
     words = [f"w{draw.randrange(4)}" for _ in range(120)]
@@ -630,22 +680,37 @@ def test_word_offsets():
 # ---- mixing --------------------------------------------------------------------------------
 
 
-def test_targets():
-    assert mixing.targets_of([10, 10, 10], [1, 2, 3]) == [5.0, 10.0, 15.0]
-    capped = mixing.targets_of([1, 99, 20], [1.0, 2.0, 3.0])
+def test_targets(spark):
+    def targets(sizes, weights=(1.0, 2.0, 3.0)):
+        rows = [(f"s{i:03}" if i else None, size) for i, size in enumerate(sizes)]
+        df = spark.createDataFrame(rows[::-1], "source string, source_size long")
+        found = mixing.with_targets(df, tuple(weights)).collect()
+        found.sort(key=lambda r: (r.source is None, r.source or ""))
+        # The source without a name is the last one.
+        return [r.target for r in found]
+
+    assert targets([10, 10, 10]) == [5.0, 10.0, 15.0]
+    capped = targets([20, 1, 99])
     assert capped[0] == 3.0 and sum(capped) == pytest.approx(120) and capped[2] <= 60
-    assert mixing.targets_of([], []) == [] and mixing.targets_of([0, 0], [1, 2]) == [0.0, 0.0]
+    assert targets([]) == [] and targets([0, 0]) == [0.0, 0.0]
+    draw = random.Random(4)
+    for _ in range(6):
+        sizes = [draw.choice([0, 1, 5, 40, 900, draw.randrange(5_000)]) for _ in range(draw.randint(1, 30))]
+        weights = [(1.0, 2.0, 3.0)[i % 3] for i in range(len(sizes))]
+        expected = brute.targets_of(sizes[1:] + sizes[:1], weights)
+        assert targets(sizes) == pytest.approx(expected)
 
 
 def test_budgets_are_met():
     draw = np.random.default_rng(2)
-    for _ in range(60):
+    for _ in range(300):
         lengths = np.sort(draw.choice(np.arange(1, 40), 6, replace=False))
         counts = draw.integers(1, 5, 6)
         budget = int(draw.integers(0, (lengths * counts).sum() + 5))
         taken = mixing.fit_budget(lengths, counts, budget)
         assert (taken >= 0).all() and (taken <= counts).all()
-        assert (lengths * taken).sum() <= budget
+        # As near as any choice comes from below.
+        assert (lengths * taken).sum() == brute.best_sum(lengths.tolist(), counts.tolist(), budget)
     assert mixing.fit_budget(np.array([3, 5]), np.array([9, 9]), 41)[1] >= 0
     many = np.arange(1, 2001)
     taken = mixing.fit_budget(many, np.full(2000, 3), 2_345_678)

@@ -133,6 +133,16 @@ def test_op8_held_out_fold(spark):
     assert sum(clean) <= 0.1 * len(clean)
 
 
+def test_op8_finds_held_out_toxic_documents(spark):
+    """On a table of more labels: the fold that was not learnt from."""
+    directory = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in queries.table(spark, directory, "labels").collect()}
+    rows = queries.op8_toxicity(spark, directory).filter("held_out").collect()
+    toxic = [r.predicted for r in rows if labels.get(r.doc_id) == 1]
+    clean = [r.predicted for r in rows if labels.get(r.doc_id) == 0]
+    assert len(toxic) > 50 and np.mean(toxic) >= 0.6 and np.mean(clean) <= 0.02
+
+
 def test_op9_equals_plain_removal(spark, documents):
     expected = brute.without_repeats(documents, 20)
     for r in run(spark, "op9_window_dedup"):
