@@ -5,14 +5,16 @@ A malformed record or a missing path raises; nothing is skipped silently.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Collection
 from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pkgwarden.sources import split_csv
+from pkgwarden.sources import split_csv, split_json
 from pkgwarden.sources.schemas import (
     ADVISORY,
     ARCHIVE_TEXT,
@@ -132,12 +134,31 @@ def read_archive(
     return read_delimited(spark, path, ARCHIVE_TEXT, schema, multi_line=multi_line)
 
 
+def _size_in_bytes(setting: str) -> int:
+    """A size as Spark's settings have it, such as ``128m`` or ``134217728b``."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]?)i?b?\s*", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit if unit not in ("", "b") else " ")
+
+
 def _read_json(
     spark: SparkSession, path: str, schema: T.StructType, one_record_per_line: bool
 ) -> DataFrame:
-    return spark.read.schema(schema).json(
-        path, multiLine=not one_record_per_line, mode="FAILFAST"
-    )
+    def plain(paths: str | list[str], whole: bool) -> DataFrame:
+        return spark.read.schema(schema).json(paths, multiLine=whole, mode="FAILFAST")
+
+    if one_record_per_line:
+        return plain(path, False)
+    # Only names and sizes are listed. A file of more than a split's size is worth splitting.
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    most = _size_in_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    large = sorted(r["path"] for r in listed.filter(F.col("length") > most).collect())
+    if not large:
+        return plain(path, True)
+    elements, irregular = split_json.read_elements(spark, large)
+    frames = [split_json.parsed(elements, schema)] if len(irregular) < len(large) else []
+    small = sorted(r["path"] for r in listed.filter(F.col("length") <= most).collect())
+    frames += [plain(files, True) for files in (small, irregular) if files]
+    return reduce(DataFrame.unionByName, frames)
 
 
 def read_advisories(
@@ -145,7 +166,8 @@ def read_advisories(
 ) -> DataFrame:
     """Advisory documents, normally one file each; ``path`` may be a glob.
 
-    A feed delivered as JSON lines (``one_record_per_line``) can be split within a file.
+    A feed delivered as JSON lines (``one_record_per_line``) can be split within a file, and so is an
+    array of documents in a file larger than a split (see ``split_json``).
     """
     return _read_json(spark, path, ADVISORY, one_record_per_line)
 

@@ -24,17 +24,23 @@ from urllib.parse import unquote
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pkgwarden.sources.splits import (
+    ATTEMPTS,
+    HEAD,
+    IRREGULAR,
+    MOVED,
+    RECORD,
+    TAIL,
+    SplitsMoved,
+    assembled,
+    lines_with_splits,
+)
 from pkgwarden.sources.tables import settle
 
-#: Splits of a file may differ between two readings (their size depends on the cores that a cluster has
-#: at the time), which is noticed; so often the states are counted anew.
-ATTEMPTS = 3
-
-RECORD, HEAD, TAIL, IRREGULAR, MOVED = range(5)
 _PIECE = T.StructType(
     [
         T.StructField("file", T.StringType()),
@@ -64,14 +70,7 @@ class Split:
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines without their line feed, with the split they are in."""
-    meta = F.col("_metadata")
-    return spark.read.option("lineSep", "\n").text(path).select(
-        meta["file_path"].alias("file"),
-        meta["file_block_start"].alias("start"),
-        meta["file_block_length"].alias("length"),
-        "value",
-    )
+    return lines_with_splits(spark, path, "\n")
 
 
 def _number_of(text: Column, found: str) -> Column:
@@ -200,23 +199,6 @@ def _pieces(lines: DataFrame, known: list[Split], delimiter: str, quote: str) ->
     return lines.mapInArrow(work, _PIECE)
 
 
-def _assembled(pieces: DataFrame) -> DataFrame:
-    """Records that lie in several splits. A tail begins one, the heads up to the next tail go on."""
-    broken = pieces.filter(F.col("kind").isin(HEAD, TAIL))
-    order = Window.partitionBy("file").orderBy("start", "kind")
-    # Two rows a split at most, without their texts.
-    numbered = broken.select("file", "start", "kind").withColumn(
-        "number", F.sum(F.when(F.col("kind") == TAIL, 1).otherwise(0)).over(order)
-    )
-    parts = F.array_sort(F.collect_list(F.struct("start", "text")))
-    return (
-        broken.join(numbered, ["file", "start", "kind"])
-        .groupBy("file", "number")
-        .agg(F.max("header").alias("header"), F.max("crlf").alias("crlf"), parts.alias("parts"))
-        .select("file", "crlf", "header", F.array_join(F.col("parts")["text"], "\n").alias("text"))
-    )
-
-
 def read_records(
     spark: SparkSession, files: list[str], known: list[Split], delimiter: str, quote: str
 ) -> tuple[DataFrame, list[str]]:
@@ -234,11 +216,11 @@ def read_records(
             break
         known = splits(spark, paths, quote)
     else:
-        raise RuntimeError("the splits of the files differ each time they are read")
+        raise SplitsMoved(f"the splits of {paths} differ each time they are read")
     irregular = sorted({row["file"] for row in found})
     regular = pieces.filter(~F.col("file").isin(irregular)) if irregular else pieces
     whole = regular.filter(F.col("kind") == RECORD).select("file", "crlf", "header", "text")
-    records = whole.union(_assembled(regular))
+    records = whole.union(assembled(regular, "\n", ["crlf", "header"]))
     # As the parser has it where the lines of a file end so.
     text = F.when(F.col("crlf"), F.replace("text", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("text"))
     return records.withColumn("text", F.regexp_replace(text, r"\r\z", "")).filter("header OR text <> ''"), irregular

@@ -16,6 +16,7 @@ from pkgwarden.sources import (
     read_delimited,
     read_key_values,
     split_csv,
+    split_json,
     tables,
 )
 
@@ -202,6 +203,57 @@ def test_key_values_as_array_and_as_lines(spark, tmp_path):
     assert [tuple(r) for r in read_key_values(spark, lines, True).collect()] == expected
 
 
+def json_documents(seed: int, count: int) -> list[dict]:
+    draw = random.Random(seed)
+    texts = ["plain", 'a "quote" and \\', "}{][ ,", "line\nbreak", "é漢🙂", "\\\\\"", "", "}" * 30]
+    return [
+        {
+            "id": draw.choice(texts) + str(i),
+            "affected": [
+                {"package": {"name": draw.choice(texts), "ecosystem": "E"},
+                 "ranges": [{"events": [{"introduced": "0"}, {"fixed": draw.choice(texts)}]}] * draw.randrange(3)}
+                for _ in range(draw.randrange(3))
+            ],
+            "other": [[1, {"x": []}], None, True],
+        }
+        for i in range(count)
+    ]
+
+
+@pytest.mark.parametrize(("seed", "indent"), [(0, None), (1, 1), (2, 4)])
+def test_a_large_array_is_read_by_several_tasks(spark, tmp_path, small_splits, seed, indent):
+    text = json.dumps(json_documents(seed, 25), indent=indent, ensure_ascii=seed % 2 == 0)
+    path = write(tmp_path, "a b%20c.json", f" {text}\n")
+    known = split_json.states(spark, [path])
+    assert len(known) > 10 and any(s.inside for s in known) and len({s.depth for s in known}) > 2
+    whole = spark.read.schema(schemas.ADVISORY).json(path, multiLine=True)
+    found = read_advisories(spark, path)
+    assert found.schema == whole.schema and whole.count() == 25
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_large_files_that_are_no_arrays_of_objects(spark, tmp_path, small_splits):
+    documents = json_documents(3, 6)
+    write(tmp_path, "ALL/object.json", json.dumps(documents[0] | {"more": ["x" * 400]}, indent=1))
+    write(tmp_path, "ALL/array.json", json.dumps(documents, indent=1))
+    write(tmp_path, "ALL/small.json", '{"id": "s"}')
+    write(tmp_path, "ALL/empty.json", "[" + " " * 400 + "]")
+    path = str(tmp_path / "ALL/*.json")
+    whole = spark.read.schema(schemas.ADVISORY).json(path, multiLine=True)
+    found = read_advisories(spark, path)
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+
+
+@pytest.mark.parametrize("cut", [3, 60])
+def test_a_large_array_that_is_cut_off_raises(spark, tmp_path, small_splits, cut):
+    path = write(tmp_path, "t.json", json.dumps(json_documents(5, 9))[:-cut])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_advisories(spark, path).collect()
+    other = write(tmp_path, "u.json", '[{"id": "a"}, 7, {"id": "b"}' + ' , {"id": "c"}' * 40 + "]")
+    with pytest.raises(Exception, match="(?i)malformed|cannot"):
+        read_advisories(spark, other).collect()
+
+
 def test_shared_folder_comes_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert tables.scratch_path(spark, "x").startswith(configured)
