@@ -19,6 +19,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -31,6 +32,7 @@ from pkgwarden.operators.joins import DEFAULT_LIMITS, JoinLimits, Size, measure
 from pkgwarden.operators.ordering import SortKey, total_order
 from pkgwarden.operators.paging import DEFAULT_LIMIT, DEFAULT_OFFSET, Page
 from pkgwarden.operators.rank_index import ROW, IndexedTable, write_indexed
+from pkgwarden.operators.skip_table import SkipTable, write_skip_table
 from pkgwarden.operators.spread import SPREAD, with_spread
 from pkgwarden.operators.tables import KeyViolation, insert_if_absent, now
 from pkgwarden.plans import records
@@ -48,7 +50,14 @@ from pkgwarden.plans.safety import (
     packages_search,
     parse_archive,
 )
-from pkgwarden.plans.search import DEFAULT_ORDER, NDJSON, SORTABLE, search_view, sort_keys
+from pkgwarden.plans.search import (
+    DEFAULT_ORDER,
+    NDJSON,
+    SEARCHED,
+    SORTABLE,
+    search_view,
+    sort_keys,
+)
 from pkgwarden.sources import feeds, files, tables
 from pkgwarden.sources.numbered import NumberedLog
 from pkgwarden.sources.schemas import (
@@ -218,6 +227,8 @@ class PackageStore:
             found = tables.settle(with_spread(df))
             base = [*total_order(df, sort_keys()), SortKey(SPREAD)]
             write_indexed(found, path, base, _indexed(df.columns), STATUS)
+            if name == SEARCH:
+                write_skip_table(tables.scan(spark, f"{path}/rows"), f"{path}/runs", SEARCHED)
             order = [c for c in found.columns if c != STATUS]
             number = T.StructField(ROW, T.LongType())
             schema = T.StructType([*found.select(*order).schema, number, found.schema[STATUS]])
@@ -351,6 +362,17 @@ class PublishedVersion:
             self._scans[name] = tables.scan(self.store.spark, path, self._schema(name))
         return self._scans[name]
 
+    def _searched(self, term: str | None) -> DataFrame:
+        """The files of the search table that may hold a term."""
+        whole = self._indexed(SEARCH)
+        files = SkipTable(self.store.spark, f"{whole.path}/runs").files(term)
+        if files is None:
+            return whole.rows()
+        if not files:
+            return whole.rows().filter(F.lit(False))
+        reader = self.store.spark.read.schema(whole.schema).option("basePath", f"{whole.path}/rows")
+        return reader.parquet(*map(unquote, files))
+
     def _schema(self, name: str) -> T.StructType:
         return T.StructType.fromJson(json.loads(self.entry["schemas"][name]))
 
@@ -407,7 +429,7 @@ class PublishedVersion:
         if unfiltered and format != NDJSON:
             return self._page(SEARCH, SEARCH_COLUMNS, sort_by, sort_order, limit, offset)
         return search_view(
-            self.table(SEARCH).drop(ROW),
+            self._searched(term).drop(ROW),
             term,
             status,
             sort_by,
