@@ -37,7 +37,7 @@ WINDOW = 20
 BATCH_CHARS = 12_000_000
 _BASE = 0xD6E8FEB86659FD93
 _CHECK_BASE = 0xA0761D6478BD642F
-#: Bytes of a packed hash: eight of the first and three of the second.
+#: Bytes of the second hash.
 _CHECK_BYTES = 3
 
 
@@ -73,25 +73,43 @@ def window_hashes(
     return mix(rolled[starts]), short, starts
 
 
+def _low_bytes(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of each value."""
+    size = values.dtype.itemsize
+    table = values.astype(values.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, size)
+    return np.ascontiguousarray(table[:, :width]).tobytes()
+
+
+def _from_low_bytes(data: bytes, offset: int, count: int, width: int, kind: type) -> np.ndarray:
+    table = np.zeros((count, np.dtype(kind).itemsize), np.uint8)
+    table[:, :width] = np.frombuffer(data, np.uint8, count * width, offset).reshape(count, width)
+    return table.view(np.dtype(kind).newbyteorder("<")).ravel().astype(kind)
+
+
 def pack_hashes(hashes: np.ndarray, checks: np.ndarray) -> bytes:
-    """Hashes, then the low bytes of their checks."""
-    low = checks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :_CHECK_BYTES]
-    return hashes.astype("<u8").tobytes() + np.ascontiguousarray(low).tobytes()
+    """Steps from hash to hash, in as many bytes as the widest takes, then the checks.
+
+    Ascending hashes of a batch lie close together: a million of them take six bytes each.
+    """
+    steps = np.diff(hashes, prepend=U64(0))
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + _low_bytes(steps, width) + _low_bytes(checks, _CHECK_BYTES)
 
 
 def unpack_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    count = len(data) // (8 + _CHECK_BYTES)
-    low = np.zeros((count, 4), np.uint8)
-    low[:, :_CHECK_BYTES] = np.frombuffer(data, np.uint8, offset=8 * count).reshape(count, _CHECK_BYTES)
-    return np.frombuffer(data, "<u8", count).astype(U64), low.view("<u4").ravel().astype(np.uint32)
+    width = data[0]
+    count = (len(data) - 1) // (width + _CHECK_BYTES)
+    steps = _from_low_bytes(data, 1, count, width, np.uint64)
+    checks = _from_low_bytes(data, 1 + count * width, count, _CHECK_BYTES, np.uint32)
+    return np.cumsum(steps, dtype=U64), checks
 
 
-def unpack_all(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of several packed lists, one after another."""
+def unpack_all(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and checks of several packed lists, one after another, and the list of each."""
     found = [unpack_hashes(blob) for blob in blobs]
-    if not found:
-        return np.empty(0, U64), np.empty(0, np.uint32)
-    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+    hashes = np.concatenate([np.empty(0, U64), *(h for h, _ in found)])
+    checks = np.concatenate([np.empty(0, np.uint32), *(c for _, c in found)])
+    return hashes, checks, np.repeat(np.arange(len(found)), [len(h) for h, _ in found])
 
 
 def again(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,8 +248,8 @@ def remove_repeats(
         batches = table.column("batch").to_numpy()
         blobs = table.column("hashes").to_pylist()
         order = np.argsort(batches, kind="stable")
-        hashes, checks = unpack_all([blobs[i] for i in order])
-        owner = np.repeat(batches[order], [len(blobs[i]) // (8 + _CHECK_BYTES) for i in order])
+        hashes, checks, of = unpack_all([blobs[i] for i in order])
+        owner = batches[order][of]
         # Stable: among equal hashes the smallest batch comes first.
         by_hash, later = again(hashes, checks)
         told, at = owner[by_hash][later], by_hash[later]
@@ -264,7 +282,7 @@ def remove_repeats(
     )
 
     def apply(own: pa.Table, told: pa.Table) -> pa.Table:
-        known = unpack_all(told.column("known").to_pylist())
+        known = unpack_all(told.column("known").to_pylist())[:2]
         rows = list(_Batch(own, size).kept(known))
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         arrow = to_arrow_schema(schema)

@@ -649,7 +649,15 @@ def test_packed_hashes_with_equal_first_parts():
     assert order[same].tolist() == [3]
     known = np.array([5, 5, 9], np.uint64), np.array([3, 2, 0xFFFFFF], np.uint32)
     assert window_dedup.held_in(hashes, checks, *known).tolist() == [False, True, False, False, True, False]
-    assert not window_dedup.held_in(hashes, checks, *window_dedup.unpack_all([])).any()
+    assert not window_dedup.held_in(hashes, checks, *window_dedup.unpack_all([])[:2]).any()
+    draw = np.random.default_rng(1)
+    for count in (1, 2, 1000):
+        many = np.sort(draw.integers(0, 1 << 64, count, dtype=np.uint64))
+        low = draw.integers(0, 1 << 24, count, dtype=np.uint32)
+        packed = window_dedup.pack_hashes(many, low)
+        assert all((a == b).all() for a, b in zip(window_dedup.unpack_hashes(packed), (many, low), strict=True))
+        assert len(packed) <= 1 + 11 * count
+    assert window_dedup.unpack_all([packed, packed])[2].tolist() == [0] * 1000 + [1] * 1000
 
 
 def test_windows_of_odd_rows(spark, docs, nothing):
