@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Leaves of the tree, in bytes.
-LEAF = 8
-#: Pieces a worker remembers, and half as many runs of bytes and pairs; others are worked out
+LEAF = 16
+#: Pieces a worker remembers, and a quarter as many runs of bytes and of pairs; others are worked out
 #: each time.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 #: Longer pieces, and runs of bytes, are not remembered.
 LONGEST_REMEMBERED = 64
 LONGEST_RUN = 256
@@ -45,6 +46,7 @@ ROWS_AT_ONCE = 128
 DECODE_LEAF = 4096
 
 Token = bytes
+_SINGLE = [bytes((b,)) for b in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,6 +63,9 @@ class TreeCodec:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(pattern).findall
+        self.none = len(ranks) + 1 + max(ranks.values(), default=0)
+        # Ranks of all pairs of bytes.
+        self.first = [ranks.get(bytes((a, b)), self.none) for a in range(256) for b in range(256)]
         self.runs: dict[bytes, list[Token]] = {}
         self.pairs: dict[tuple[Token, Token], bool] = {}
         self.pieces: dict[str, bytes] = {}
@@ -71,25 +76,27 @@ class TreeCodec:
         if known is not None:
             return known
         parts = self._merge_long(data) if len(data) >= HEAP_BYTES else self._merge_short(data)
-        if len(self.runs) < REMEMBERED // 2 and len(data) <= LONGEST_RUN:
+        if len(self.runs) < REMEMBERED // 4 and len(data) <= LONGEST_RUN:
             self.runs[data] = parts
         return parts
 
     def _merge_short(self, data: bytes) -> list[Token]:
-        parts = [data[i : i + 1] for i in range(len(data))]
-        rank, none = self.ranks.get, len(self.ranks) + 1
-        costs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        single, first, none = _SINGLE, self.first, self.none
+        parts = [single[b] for b in data]
+        costs = [first[a << 8 | b] for a, b in pairwise(data)]
+        rank = self.ranks.get
         while costs:
             best = min(costs)
             if best == none:
                 break
             i = costs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            merged = parts[i] + parts.pop(i + 1)
+            parts[i] = merged
             del costs[i]
             if i < len(costs):
-                costs[i] = rank(parts[i] + parts[i + 1], none)
-            if i > 0:
-                costs[i - 1] = rank(parts[i - 1] + parts[i], none)
+                costs[i] = rank(merged + parts[i + 1], none)
+            if i:
+                costs[i - 1] = rank(parts[i - 1] + merged, none)
         return parts
 
     def _merge_long(self, data: bytes) -> list[Token]:
@@ -126,7 +133,7 @@ class TreeCodec:
         known = self.pairs.get((left, right))
         if known is None:
             known = self.merge(left + right) == [left, right]
-            if len(self.pairs) < REMEMBERED // 2:
+            if len(self.pairs) < REMEMBERED // 4:
                 self.pairs[left, right] = known
         return known
 
@@ -162,8 +169,11 @@ class TreeCodec:
         """Ids of one match of the pattern, as packed 32-bit numbers."""
         known = self.pieces.get(piece)
         if known is None:
-            tokens = self.encode(piece.encode("utf-8", "surrogatepass"))
-            known = np.fromiter(map(self.ranks.__getitem__, tokens), np.int32).tobytes()
+            data = piece.encode("utf-8", "surrogatepass")
+            # A piece of one leaf is remembered as a piece only.
+            one_leaf = len(data) <= LEAF and data not in self.ranks
+            tokens = self._merge_short(data) if one_leaf else self.encode(data)
+            known = array("i", map(self.ranks.__getitem__, tokens)).tobytes()
             if len(self.pieces) < REMEMBERED and len(piece) <= LONGEST_REMEMBERED:
                 self.pieces[piece] = known
         return known
