@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 # a segment that is no 32-bit integer (one above the largest).
 DOT, DASH = ".", "-"
 UNPARSABLE_SEGMENT = 2147483648
+#: Segments that the SQL function computes without a lambda; most versions have no more.
+WRITTEN_OUT = 4
 
 
 def version_key(version: Column) -> Column:
@@ -56,9 +58,25 @@ def version_key_text(key: Column) -> Column:
 
 
 def register_version_function(spark: SparkSession, name: str = "r_ver") -> None:
-    """Make the version key callable from SQL text in this session."""
+    """Make the version key callable from SQL text in this session.
+
+    The first segments are written out: an expression without a lambda is computed once for a literal
+    version, and compiled for a column.
+    """
+    segments = f"split(replace(v, '{DASH}', '{DOT}'), '\\\\{DOT}', -1)"
+
+    def digits(segment: str, unparsable: str) -> str:
+        return f"lpad(hex(coalesce(CAST(try_cast({segment} AS INT) AS BIGINT), {unparsable})), 8, '0')"
+
+    first = []
+    for i in range(WRITTEN_OUT):
+        segment = f"get({segments}, {i})"
+        unparsable = f"if({segment} IS NULL, NULL, {UNPARSABLE_SEGMENT}L)"
+        first.append(f"coalesce({digits(segment, unparsable)}, '')")
+    others = f"slice({segments}, {WRITTEN_OUT + 1}, size({segments}))"
+    rest = f"array_join(transform({others}, segment -> {digits('segment', f'{UNPARSABLE_SEGMENT}L')}), '')"
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(v STRING) RETURNS BINARY RETURN "
-        f"unhex(array_join(transform(split(replace(v, '{DASH}', '{DOT}'), '\\\\{DOT}', -1), segment -> "
-        f"lpad(hex(coalesce(CAST(try_cast(segment AS INT) AS BIGINT), {UNPARSABLE_SEGMENT}L)), 8, '0')), ''))"
+        f"unhex(concat({', '.join(first)}, CASE WHEN size({segments}) > {WRITTEN_OUT} THEN {rest}"
+        f" WHEN v IS NOT NULL THEN '' END))"
     )
