@@ -17,21 +17,32 @@ from pyspark.sql import functions as F
 # a segment that is no 32-bit integer (one above the largest).
 DOT, DASH = ".", "-"
 UNPARSABLE_SEGMENT = 2147483648
-#: Segments that the SQL function computes without a lambda; most versions have no more.
+#: Segments that are computed without a lambda; most versions have no more.
 WRITTEN_OUT = 4
 
 
+def _digits(segment: Column, unparsable: Column) -> Column:
+    number = F.coalesce(segment.try_cast("int").cast("bigint"), unparsable)
+    return F.lpad(F.hex(number), 8, "0")
+
+
 def version_key(version: Column) -> Column:
-    """``binary`` that sorts like the version; null for a null version."""
+    """``binary`` that sorts like the version; null for a null version.
+
+    The first segments are written out: what needs no lambda is compiled. Make the version null where
+    no key is wanted: below a condition the segments would be cut anew for every use.
+    """
     # With one separator the split needs no regular expression.
     segments = F.split(F.replace(version, F.lit(DASH), F.lit(DOT)), rf"\{DOT}", -1)
-    digits = F.transform(
-        segments,
-        lambda segment: F.lpad(
-            F.hex(F.coalesce(segment.try_cast("int").cast("bigint"), F.lit(UNPARSABLE_SEGMENT))), 8, "0"
-        ),
-    )
-    return F.unhex(F.array_join(digits, ""))
+    unparsable = F.lit(UNPARSABLE_SEGMENT)
+    first = []
+    for i in range(WRITTEN_OUT):
+        segment = F.get(segments, i)
+        first.append(F.coalesce(_digits(segment, F.when(segment.isNotNull(), unparsable)), F.lit("")))
+    others = F.slice(segments, WRITTEN_OUT + 1, F.size(segments))
+    rest = F.array_join(F.transform(others, lambda segment: _digits(segment, unparsable)), "")
+    rest = F.when(F.size(segments) > WRITTEN_OUT, rest).when(version.isNotNull(), F.lit(""))
+    return F.unhex(F.concat(*first, rest))
 
 
 def version_literal(spark: SparkSession, version: str | None) -> Column:

@@ -100,8 +100,8 @@ def classify(
     lookup = lookup.drop("introduced_v", "fixed_v")
     joined = lookup_join(packages, lookup, "Package", how, size, limits)
     if VERSION_KEY not in packages.columns:
-        needed = F.when(F.col("osv_id").isNotNull(), version_key(F.col("Version")))
-        joined = joined.withColumn(VERSION_KEY, needed)
+        needed = F.when(F.col("osv_id").isNotNull(), F.col("Version"))
+        joined = joined.withColumn(VERSION_KEY, version_key(needed))
     found = safety_status(
         F.col("osv_id"), F.col(VERSION_KEY), F.col("introduced_key"), F.col("fixed_key")
     )

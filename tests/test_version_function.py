@@ -1,12 +1,13 @@
-"""The SQL function gives the version key, and a literal's key once."""
+"""Keys of versions of any length, from SQL and as a Column; a literal's key is computed once."""
 
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from pkgwarden.functions import register_version_function, version_key
+from pkgwarden.functions import register_version_function, version_at_least, version_key
 
 
 def test_the_function_gives_the_key_of_any_version(spark):
@@ -31,3 +32,22 @@ def test_the_key_of_a_literal_is_not_computed_for_every_row(spark, plan_of):
     assert "0x0000000300000000" in plan_of(late)
     assert plan_of(spark.sql("SELECT r_ver('3-0.x') AS k, v FROM some_versions")).count("unhex") == 0
     assert late.first()["n"] == 1
+
+
+def test_keys_of_versions_of_any_length(spark):
+    def number(segment: str) -> int:
+        known = re.fullmatch(r"\+?\d+", segment.strip())
+        return int(segment) if known and int(segment) < 2**31 else 2**31
+
+    versions = ["7", "", "1.2.3.4", "1.2.3.4.5", "1-2.x-4-2147483648.6..7", " 5 .+4-007.a.b.c", "....", "1.2.3.4.-"]
+    rows = spark.createDataFrame([(v,) for v in versions], "v string").select("v", version_key(F.col("v")).alias("k"))
+    for row in rows.collect():
+        segments = re.split("[.-]", row["v"])
+        assert bytes(row["k"]) == b"".join(number(s).to_bytes(4, "big") for s in segments), row["v"]
+
+
+def test_a_literal_is_compared_by_its_key(spark, plan_of):
+    rows = spark.range(5).select(F.col("id").cast("string").alias("v"))
+    late = rows.select(version_at_least(F.col("v"), F.lit("3-0")).alias("late"))
+    assert "0x0000000300000000" in plan_of(late)
+    assert [r["late"] for r in late.collect()] == [False, False, False, False, True]
