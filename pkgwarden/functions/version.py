@@ -34,15 +34,21 @@ def version_key(version: Column) -> Column:
     """
     # With one separator the split needs no regular expression.
     segments = F.split(F.replace(version, F.lit(DASH), F.lit(DOT)), rf"\{DOT}", -1)
-    unparsable = F.lit(UNPARSABLE_SEGMENT)
-    first = []
-    for i in range(WRITTEN_OUT):
-        segment = F.get(segments, i)
-        first.append(F.coalesce(_digits(segment, F.when(segment.isNotNull(), unparsable)), F.lit("")))
-    others = F.slice(segments, WRITTEN_OUT + 1, F.size(segments))
+    unparsable, count = F.lit(UNPARSABLE_SEGMENT), F.array_size(segments)
+
+    def number(i: int) -> Column:
+        absent = F.when(count > i, unparsable).otherwise(F.lit(0).cast("bigint"))
+        return F.coalesce(F.get(segments, i).try_cast("int").cast("bigint"), absent)
+
+    def pair(i: int) -> Column:
+        """Two segments are one number of eight bytes; what is absent is cut off below."""
+        return F.lpad(F.hex(F.shiftleft(number(i), 32).bitwiseOR(number(i + 1))), 16, "0")
+
+    second = F.when(count > 2, pair(2)).otherwise(F.lit(""))
+    first = F.substring(F.unhex(F.concat(pair(0), second)), F.lit(1), 4 * count)
+    others = F.slice(segments, WRITTEN_OUT + 1, count)
     rest = F.array_join(F.transform(others, lambda segment: _digits(segment, unparsable)), "")
-    rest = F.when(F.size(segments) > WRITTEN_OUT, rest).when(version.isNotNull(), F.lit(""))
-    return F.unhex(F.concat(*first, rest))
+    return F.concat(first, F.when(count > WRITTEN_OUT, F.unhex(rest)).otherwise(F.lit(bytearray())))
 
 
 def version_literal(spark: SparkSession, version: str | None) -> Column:

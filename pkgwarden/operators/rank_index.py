@@ -118,14 +118,10 @@ def _cells(stored: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def write_indexed(
-    df: DataFrame,
-    path: str,
-    base: Sequence[SortKey],
-    columns: Sequence[str],
-    partition_by: str | None = None,
-) -> None:
-    """Write a table in its base order, and its index below ``path`` for the given columns.
+def write_rows(
+    df: DataFrame, path: str, base: Sequence[SortKey], partition_by: str | None = None
+) -> DataFrame:
+    """Write a table in its base order, with its row numbers, below ``path``; returns the stored rows.
 
     The keys of ``base`` leave no two rows unordered but equal ones. ``df`` is read more than once:
     hand over a written table.
@@ -136,7 +132,11 @@ def write_indexed(
     # As a page reads it: without a schema, Spark would guess the type of the partition column.
     fields = [f for f in sorted_rows.schema.fields if f.name != partition_by]
     fields += [f for f in sorted_rows.schema.fields if f.name == partition_by]
-    stored = tables.scan(df.sparkSession, f"{path}/rows", T.StructType(fields))
+    return tables.scan(df.sparkSession, f"{path}/rows", T.StructType(fields))
+
+
+def write_index(stored: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """Write the index of the rows that ``write_rows`` has stored, for the given columns."""
     cells = tables.replace(_cells(stored, columns), f"{path}/cells")
     rows = stored.select(F.lit(BASE).alias("ordering"), ROW)
     both = _ranges(
@@ -145,6 +145,17 @@ def write_indexed(
     tables.replace(both.coalesce(1), f"{path}/ranges")
 
 
+def write_indexed(
+    df: DataFrame,
+    path: str,
+    base: Sequence[SortKey],
+    columns: Sequence[str],
+    partition_by: str | None = None,
+) -> None:
+    """Write a table in its base order, and its index below ``path`` for the given columns."""
+    write_index(write_rows(df, path, base, partition_by), path, columns)
+
+
 @dataclass(frozen=True)
 class IndexedTable:
     """A table written by ``write_indexed``. ``schema`` is that of its rows."""

@@ -8,7 +8,7 @@ than three characters, or with wildcards, read everything.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -37,6 +37,14 @@ def runs_of(text: str) -> set[str]:
     return {text[i : i + RUN] for i in range(len(text) - RUN + 1)}
 
 
+def runs_in(texts: Iterable[str]) -> set[str]:
+    """All runs of three characters of any text, without a set for each text."""
+    found: set[tuple[str, ...]] = set()
+    for text in texts:
+        found.update(zip(*(text[i:] for i in range(RUN)), strict=False))
+    return set(map("".join, found))
+
+
 def write_skip_table(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Write the runs of the columns of a stored frame, by file, in the order of the runs."""
     lowered = [F.lower(F.col(f"`{c}`").cast("string")).alias(c) for c in columns]
@@ -47,7 +55,7 @@ def write_skip_table(df: DataFrame, path: str, columns: Sequence[str]) -> None:
             for file, rows in frame.groupby("_file"):
                 for column in columns:
                     # Values occur often; each is cut once in a batch.
-                    found = set().union(*map(runs_of, rows[column].dropna().unique()))
+                    found = runs_in(rows[column].dropna().unique())
                     if found:
                         yield pd.DataFrame({"gram": sorted(found), "column": column, "file": file})
 

@@ -31,7 +31,7 @@ from pkgwarden.operators.filters import status_is, wanted_status
 from pkgwarden.operators.joins import DEFAULT_LIMITS, JoinLimits, Size, measure
 from pkgwarden.operators.ordering import SortKey, total_order
 from pkgwarden.operators.paging import DEFAULT_LIMIT, DEFAULT_OFFSET, Page
-from pkgwarden.operators.rank_index import ROW, IndexedTable, write_indexed
+from pkgwarden.operators.rank_index import ROW, IndexedTable, write_index, write_rows
 from pkgwarden.operators.skip_table import SkipTable, write_skip_table
 from pkgwarden.operators.spread import SPREAD, with_spread
 from pkgwarden.operators.tables import KeyViolation, insert_if_absent, now
@@ -226,9 +226,12 @@ class PackageStore:
             path = self._path(f"{version}/{name}")
             found = tables.settle(with_spread(df))
             base = [*total_order(df, sort_keys()), SortKey(SPREAD)]
-            write_indexed(found, path, base, _indexed(df.columns), STATUS)
+            stored = write_rows(found, path, base, STATUS)
+            steps = [lambda: write_index(stored, path, _indexed(df.columns))]
             if name == SEARCH:
-                write_skip_table(tables.scan(spark, f"{path}/rows"), f"{path}/runs", SEARCHED)
+                # What a search and what a page is read by need the stored rows only.
+                steps.append(lambda: write_skip_table(stored, f"{path}/runs", SEARCHED))
+            _side_by_side(spark, *steps)
             order = [c for c in found.columns if c != STATUS]
             number = T.StructField(ROW, T.LongType())
             schema = T.StructType([*found.select(*order).schema, number, found.schema[STATUS]])

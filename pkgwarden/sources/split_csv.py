@@ -74,7 +74,14 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _number_of(text: Column, found: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(found), F.lit("")))
+    """By bytes: characters would have to be counted one by one."""
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(found), F.lit("")))
+    return (removed / len(found.encode())).cast("bigint")
+
+
+def _returns_within(text: Column) -> Column:
+    """Whether a text has a carriage return that is not its last character."""
+    return F.contains(text, F.lit("\r")) & (F.instr(text, "\r") < F.length(text))
 
 
 def splits(spark: SparkSession, path: str | list[str], quote: str = '"') -> list[Split]:
@@ -85,10 +92,9 @@ def splits(spark: SparkSession, path: str | list[str], quote: str = '"') -> list
     """
     lines = _lines(spark, path).withColumn("at", F.monotonically_increasing_id())
     quotes = _number_of(F.col("value"), quote)
-    returns = F.instr(F.substring(F.col("value"), 1, F.greatest(F.length("value") - 1, F.lit(0))), "\r")
     found = lines.groupBy("file", "start", "length").agg(
         (F.sum(quotes) % 2 == 1).alias("odd"),
-        F.max((quotes % 2 == 1) | (returns > 0)).alias("long"),
+        F.max((quotes % 2 == 1) | _returns_within(F.col("value"))).alias("long"),
         F.min_by(F.endswith(F.col("value"), F.lit("\r")), "at").alias("crlf"),
     )
     ordered, file, inside, crlf = [], None, False, False

@@ -3,19 +3,40 @@
 from __future__ import annotations
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from pkgwarden import PackageStore
 from pkgwarden.functions import contains_any
-from pkgwarden.operators.skip_table import SkipTable, runs_of, write_skip_table
+from pkgwarden.operators.skip_table import SkipTable, runs_in, runs_of, write_skip_table
+from pkgwarden.plans import refresh
 from pkgwarden.sources.feeds import _size_in_bytes
 from test_refresh import write_feeds
 
 
 def test_runs():
     assert runs_of("abcab") == {"abc", "bca", "cab"} and runs_of("ab") == set() == runs_of("")
+    texts = ["abcab", "", "ab", "xyz ring", "straße\n", "a\x00b𝄞c"]
+    assert runs_in(texts) == set().union(*map(runs_of, texts)) and runs_in([]) == set()
+
+
+def test_a_refresh_writes_the_runs_beside_the_index(spark, tmp_path, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+
+    def met(step):
+        def run(stored, path, *more):
+            if refresh.SEARCH in path:
+                both.wait()
+            step(stored, path, *more)
+
+        return run
+
+    monkeypatch.setattr(refresh, "write_skip_table", met(refresh.write_skip_table))
+    monkeypatch.setattr(refresh, "write_index", met(refresh.write_index))
+    version = PackageStore(spark, str(tmp_path / "store")).refresh(write_feeds(tmp_path / "feeds"), "first")
+    assert version.search_packages(term="nothing like it", format="ndjson").count() == 0
 
 
 @pytest.fixture(scope="module")

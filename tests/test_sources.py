@@ -7,6 +7,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pkgwarden.sources import (
@@ -300,3 +301,18 @@ def test_a_table_keeps_its_defaults(spark, tmp_path):
     tables.append(spark.createDataFrame([("a",)], "msg string"), new, schema)
     tables.append(spark.createDataFrame([("b",)], "msg string"), new)
     assert {r.n for r in spark.read.parquet(new).collect()} == {42}
+
+
+def test_quotes_and_returns_of_a_line_are_counted_by_bytes(spark):
+    texts = ["", "\r", "a\r", "\ra", "\r\r", "ß\r", "ß\rß", 'x"ß""', '"', "«ß««", "ß"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    value = F.col("t")
+    found = rows.select(
+        "t",
+        split_csv._number_of(value, '"').alias("quotes"),
+        split_csv._number_of(value, "«").alias("wide"),
+        split_csv._returns_within(value).alias("returns"),
+    )
+    for row in found.collect():
+        t = row["t"]
+        assert (row["quotes"], row["wide"], row["returns"]) == (t.count('"'), t.count("«"), "\r" in t[:-1]), t

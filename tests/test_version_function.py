@@ -51,3 +51,13 @@ def test_a_literal_is_compared_by_its_key(spark, plan_of):
     late = rows.select(version_at_least(F.col("v"), F.lit("3-0")).alias("late"))
     assert "0x0000000300000000" in plan_of(late)
     assert [r["late"] for r in late.collect()] == [False, False, False, False, True]
+
+
+def test_two_segments_are_written_as_one_number(spark, plan_of):
+    rows = spark.range(5).select(F.col("id").cast("string").alias("v"))
+    # Two pairs, and the segments beyond them.
+    assert plan_of(rows.select(version_key(F.col("v")).alias("k"))).count("lpad(hex(") == 3
+    odd = [None, "", "1", "1-2", "1.2.3", "x.1.2147483648", "2147483647.x.2147483647.x", "a.1.2.3.4"]
+    found = spark.createDataFrame([(v,) for v in odd], "v string").select(version_key(F.col("v")).alias("k"))
+    sizes = [None if row["k"] is None else len(row["k"]) for row in found.collect()]
+    assert sizes == [None, 4, 4, 8, 12, 12, 16, 20]
