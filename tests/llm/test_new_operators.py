@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pkgwarden.llm import count_rtree, hard_negatives, whitening
+from pkgwarden.sources.tables import shared_dir
 
 # ---- whitening -----------------------------------------------------------------------------
 
@@ -342,3 +344,65 @@ def test_one_large_group_of_near_copies(spark):
     sets = plain_sets(texts)
     found = {r.doc_id: r.component for r in count_rtree.similarity_join(df, block=64, chunk=9000).collect()}
     assert [found[i] for i in range(len(texts))] == plain_components(range(len(texts)), sets)
+
+
+def test_packed_keys_come_back():
+    draw = np.random.default_rng(5)
+    for count in (1, 2, 300, 70_000):
+        keys = draw.integers(0, 1 << 64, count, dtype=np.uint64)
+        keys[: count // 3] = draw.choice(np.array([0, 1, (1 << 64) - 1, 1 << 63], np.uint64), count // 3)
+        ids = draw.integers(0, 1 << 40, count, dtype=np.uint64)
+        found = []
+        for bucket, size, data in zip(*count_rtree.by_bucket(keys, ids, 9), strict=True):
+            own, numbers = count_rtree.unpacked(data, size)
+            found += [(bucket, k, i) for k, i in zip(own.tolist(), numbers.tolist(), strict=True)]
+        wanted = [(k >> 55, k >> 23 & 0xFFFFFFFF, i) for k, i in zip(keys.tolist(), ids.tolist(), strict=True)]
+        assert sorted(found) == sorted(wanted)
+
+
+def test_stars_hold_the_members_of_all_blocks():
+    draw = random.Random(6)
+    rows = [(draw.randrange(400), draw.randrange(60)) for _ in range(900)]
+    rows += [(1 << 31, 7), (1 << 31, 7), (0xFFFFFFFF, 3), (0xFFFFFFFF, 1 << 39)]
+    blocks = {}
+    for key, number in rows:
+        blocks.setdefault(key, set()).add(number)
+    wanted = {}
+    for members in blocks.values():
+        if len(members) > 1:
+            wanted.setdefault(min(members), set()).update(members - {min(members)})
+    keys, ids = (np.array(c) for c in zip(*rows, strict=True))
+    found = list(count_rtree.stars(keys.astype(np.uint32), ids.astype(np.uint64)))
+    assert {least: set(others.tolist()) for least, others in found} == wanted
+    assert len(found) == len(wanted) and all(np.all(np.diff(o.astype(int)) > 0) for _, o in found)
+    assert not list(count_rtree.stars(np.empty(0, np.uint32), np.empty(0, np.uint64)))
+
+
+def test_sets_of_one_number_are_compared(spark):
+    """With 3 bits nearly all sets share their number with others."""
+    texts = near_texts(11)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component for r in count_rtree.similarity_join(df, id_bits=3).collect()}
+    labels = plain_components(range(len(texts)), plain_sets(texts))
+    assert [found[i] for i in range(len(texts))] == labels
+
+
+def test_join_writes_little(spark):
+    """Scratch tables hold neither the keys of all sets nor a row for each shared key and set."""
+    draw = random.Random(9)
+    texts = []
+    for _ in range(700):
+        texts.append(" ".join(f"w{draw.randrange(10**6)}" for _ in range(500)))
+    for _ in range(30):
+        own = [f"v{draw.randrange(10**6)}" for _ in range(500)]
+        texts += [" ".join(w if draw.random() > 0.003 else "x" for w in own) for _ in range(12)]
+
+    def written() -> int:
+        found = (os.path.join(d, f) for d, _, names in os.walk(shared_dir(spark)) for f in names)
+        return sum(os.path.getsize(f) for f in found)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(4)
+    before = written()
+    found = {r.doc_id: r.component for r in count_rtree.similarity_join(df).collect()}
+    assert len(found) == len(texts) and len(set(found.values())) == 730
+    assert written() - before < 0.25 * sum(map(len, texts))
